@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,8 +13,17 @@ from pyspark.sql import functions as F
 SPACE = r"\x20\x09-\x0D"
 
 
+def show_code(spark: SparkSession) -> None:
+    """Let Python workers of this machine import the package from where the driver did."""
+    env, top = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
+    have = env.get("PYTHONPATH", "")
+    if top not in have.split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [top, have]))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the tables, read by Spark (the path may be in any store Spark knows)."""
+    show_code(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cotejo.llm import quality, secrets, urlfilter
+from cotejo.llm import quality, secrets, simhash, urlfilter
 from cotejo.llm.common import read_table
 
 #: Hosts with one of these in a label are on the block list that op5 uses.
@@ -21,6 +21,13 @@ URL_RULES = [
 ]
 
 
+def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its fingerprint and the smallest document it is linked with."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = simhash.near_duplicates(docs)
+    return out.select("doc_id", simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: base secrets (counts and digest) and all reported spans."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -55,6 +62,7 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op3_secret_scans": op3_secret_scans,
     "op4_quality_rules": op4_quality_rules,
     "op5_url_filters": op5_url_filters,
