@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,19 +28,33 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; only where that is unset (tests) one of our own."""
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cotejo-checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the folder of ``spark.checkpoint.dir`` and read on from there.
+    """Write ``df`` to the shared folder and read on from there.
 
-    The rows survive the loss of executors and are computed once. Only where the
-    setting is missing (tests) a folder of our own is used.
+    The rows survive the loss of executors and are computed once.
     """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="cotejo-checkpoint-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def write_and_read(df: DataFrame) -> DataFrame:
+    """The same by a Parquet table, for wide rows of which later steps read some columns.
+
+    The table stays in the shared folder until that is emptied.
+    """
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def let(value: Column, body) -> Column:
     """Evaluate ``value`` once and use it in ``body`` as often as needed."""
     return F.transform(F.array(value), body)[0]

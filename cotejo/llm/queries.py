@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cotejo.llm import quality, secrets, simhash, urlfilter
+from cotejo.llm import packing, quality, secrets, simhash, urlfilter
 from cotejo.llm.common import read_table
 
 #: Hosts with one of these in a label are on the block list that op5 uses.
@@ -61,9 +62,20 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("row.page_id").alias("page_id"), "host", "path", "rule", "verdict")
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per piece of a document: its place in its document and in its sequence."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return out.select(
+        "doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("length"), F.crc32("ids").alias("ids_crc32"),
+        "doc_tokens", "sequence_id", "offset",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op3_secret_scans": op3_secret_scans,
     "op4_quality_rules": op4_quality_rules,
     "op5_url_filters": op5_url_filters,
+    "op9_packing": op9_packing,
 }
