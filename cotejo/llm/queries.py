@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cotejo.llm import packing, quality, secrets, simhash, urlfilter
+from cotejo.llm import ann, packing, quality, secrets, simhash, urlfilter
 from cotejo.llm.common import read_table
 
 #: Hosts with one of these in a label are on the block list that op5 uses.
@@ -62,6 +62,12 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("row.page_id").alias("page_id"), "host", "path", "rule", "verdict")
 
 
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest other vectors of every fiftieth vector."""
+    vectors = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.nearest(vectors, F.col("id") % 50 == 0)
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per piece of a document: its place in its document and in its sequence."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -77,5 +83,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_secret_scans": op3_secret_scans,
     "op4_quality_rules": op4_quality_rules,
     "op5_url_filters": op5_url_filters,
+    "op6_nearest_neighbours": op6_nearest_neighbours,
     "op9_packing": op9_packing,
 }
