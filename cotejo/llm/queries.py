@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cotejo.llm import ann, packing, quality, secrets, simhash, urlfilter
+from cotejo.llm import ann, packing, quality, secrets, simhash, tokencount, urlfilter
 from cotejo.llm.common import read_table
 
 #: Hosts with one of these in a label are on the block list that op5 uses.
@@ -68,6 +68,13 @@ def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(vectors, F.col("id") % 50 == 0)
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: bytes, tokens, and whether it has more than 1024 tokens."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = tokencount.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return out.select("row.doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per piece of a document: its place in its document and in its sequence."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -84,5 +91,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": op4_quality_rules,
     "op5_url_filters": op5_url_filters,
     "op6_nearest_neighbours": op6_nearest_neighbours,
+    "op8_token_counts": op8_token_counts,
     "op9_packing": op9_packing,
 }
