@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cotejo.llm import ann, packing, quality, secrets, simhash, tokencount, urlfilter
+from cotejo.llm import ann, packing, quality, secrets, simhash, tokencount, toxicity, urlfilter
 from cotejo.llm.common import read_table
 
 #: Hosts with one of these in a label are on the block list that op5 uses.
@@ -85,6 +85,22 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def held_out(id) -> Column:
+    """A fifth of the ids, by their CRC-32 as text."""
+    return F.crc32(id.cast("string")) % 5 == 0
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: the score of a classifier trained on labels outside the held-out fifth."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = read_table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    model = toxicity.fit(docs, labels, ~held_out(F.col("doc_id")))
+    out = toxicity.score_documents(docs, model)
+    return out.select(
+        "row.doc_id", held_out(F.col("row.doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op3_secret_scans": op3_secret_scans,
@@ -93,4 +109,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_nearest_neighbours": op6_nearest_neighbours,
     "op8_token_counts": op8_token_counts,
     "op9_packing": op9_packing,
+    "op10_toxicity": op10_toxicity,
 }
