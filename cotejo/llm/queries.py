@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cotejo.llm import ann, packing, quality, secrets, simhash, tokencount, toxicity, urlfilter
+from cotejo.llm import ann, html, packing, pieces, quality, secrets, simhash, tokencount, toxicity, urlfilter
 from cotejo.llm.common import read_table
 
 #: Hosts with one of these in a label are on the block list that op5 uses.
@@ -29,6 +29,20 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: the best segmentation, the scores of the four best, and the round trip."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    out = pieces.segment(docs, model, n=4)
+    text = F.coalesce("row.text", F.lit(""))
+    return out.select(
+        F.col("row.doc_id").alias("doc_id"), F.size("ids").cast("long").alias("n_pieces"), F.get("scores", F.lit(0)).alias("score"),
+        F.concat_ws(",", F.col("scores").cast("array<string>")).alias("nbest_scores"),
+        F.xxhash64("ids").alias("ids_hash"), F.xxhash64("edits").alias("edits_hash"),
+        (pieces.decoder(model)("ids") == text).alias("round_trip"),
+    )
+
+
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: base secrets (counts and digest) and all reported spans."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -68,6 +82,14 @@ def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(vectors, F.col("id") % 50 == 0)
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per page: its visible text and the lines of it."""
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "html")
+    out = html.extract_text(pages)
+    lines = F.when(F.col("text") == "", F.lit(0)).otherwise(F.size(F.split("text", "\n", -1))).cast("long")
+    return out.select(F.col("row.page_id").alias("page_id"), "text", F.char_length("text").cast("long").alias("n_chars"), lines.alias("n_lines"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: bytes, tokens, and whether it has more than 1024 tokens."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -103,10 +125,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op2_sentencepiece": op2_sentencepiece,
     "op3_secret_scans": op3_secret_scans,
     "op4_quality_rules": op4_quality_rules,
     "op5_url_filters": op5_url_filters,
     "op6_nearest_neighbours": op6_nearest_neighbours,
+    "op7_html_extraction": op7_html_extraction,
     "op8_token_counts": op8_token_counts,
     "op9_packing": op9_packing,
     "op10_toxicity": op10_toxicity,
