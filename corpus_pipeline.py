@@ -1,8 +1,64 @@
-"""From raw documents to packed training sequences."""
+"""From raw documents to packed training sequences.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet
+and read again as the next one's docs. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cotejo.llm import packing, quality, secrets, simhash, toxicity
+from cotejo.llm.common import read_table, show_code, write_and_read
+from cotejo.llm.queries import held_out
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the document rules and whose host is not refused."""
+    show_code(spark)
+    return quality.keep_good(docs)
+
+
+def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below one half, by a model of this stage's own labelled documents."""
+    labels = read_table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    model = toxicity.fit(docs, labels, ~held_out(F.col("doc_id")))
+    return toxicity.score_documents(docs, model).filter("score < 0.5").select("row.*")
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the one of the smallest id, of each group of near duplicates."""
+    show_code(spark)
+    return simhash.drop_near_duplicates(docs)
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with a mark in place of every secret."""
+    return secrets.redact(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences: doc_id, start, ids, doc_tokens, sequence_id, offset."""
+    show_code(spark)
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("toxicity", toxicity_filter),
+    ("simhash_near_dedup", near_dedup),
+    ("secret_scans", secret_scans),
+    ("packing", pack),
+]
+
+#: Tokens cannot be had in SQL; tests hold the stages against plain Python.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = write_and_read(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -60,6 +60,12 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def once(value: Column) -> Column:
+    """``value`` as a generated column, so that no filter above it is pushed into it (and
+    with the filter another evaluation of everything it is made of)."""
+    return F.explode(F.array(value))
+
+
 def as_row(df: DataFrame) -> Column:
     """All columns of ``df`` in one struct, so that no derived name can clash with them."""
     return F.struct(*[F.col(f"`{c}`") for c in df.columns])

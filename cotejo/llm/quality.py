@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cotejo.llm.common import SPACE, as_row, cut_lineage, let, words_of
+from cotejo.llm.common import SPACE, as_row, cut_lineage, let, once, words_of
 
 #: Figures of ``measure`` in order.
 FIGURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
@@ -86,7 +86,7 @@ def measure(docs: DataFrame, text: str = "text", limits: QualityLimits = Quality
         "n_repeat_words": _repeat_words(F.col("words"), limits.window),
         "n_lines": F.size("lines"),
     }
-    return out.select("row", F.struct(*[figures[k].cast("long").alias(k) for k in FIGURES]).alias("fig"))
+    return out.select("row", once(F.struct(*[figures[k].cast("long").alias(k) for k in FIGURES])).alias("fig"))
 
 
 def rule_columns(fig: Column, limits: QualityLimits = QualityLimits()) -> dict[str, Column]:

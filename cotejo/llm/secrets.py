@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cotejo.llm.common import as_row, let
+from cotejo.llm.common import as_row, let, once
 
 #: Fixed patterns of the base scan. Letters of the words stand in either case.
 ASSIGN = (
@@ -167,7 +167,7 @@ def secret_spans(text: Column, scope: int = 200, min_secret: int = 12, min_weak:
 
 def scan_secrets(docs: DataFrame, text: str = "text", scope: int = 200) -> DataFrame:
     """Columns ``row`` (the input row) and ``parts`` (structs s, k, e, r, w; see ``KINDS``)."""
-    return docs.select(as_row(docs).alias("row")).withColumn("parts", secret_spans(F.col("row")[text], scope))
+    return docs.select(as_row(docs).alias("row")).select("row", once(secret_spans(F.col("row")[text], scope)).alias("parts"))
 
 
 def span_list(parts: Column) -> Column:
