@@ -8,8 +8,9 @@ with the leftovers of neighbouring partitions by a second pass, which fills wind
 after another; the rest of each such group is split into lengths that are powers of two.
 
 Tokenising works per distinct run of non-space characters of a batch: the tokenizer drops
-white space, so a text's ids are those of its runs in order. Ids of runs are cached up to
-``CACHE`` entries a worker.
+white space, lower-cases, and always cuts between a letter and a full stop or comma, so a
+text's ids are those of such runs in order. Ids of runs are cached up to ``CACHE`` entries
+a worker. A run of plain letters goes straight to the tokenizer's model.
 
 Defined results: a null or empty text is just the end id; every id of every row lies in
 exactly one piece; repeated rows are packed as often as they occur; an empty table gives
@@ -19,6 +20,7 @@ an empty result; columns other than id and text are ignored.
 from __future__ import annotations
 
 import bisect
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +32,9 @@ from pyspark.sql import functions as F
 from cotejo.llm.common import write_and_read
 
 #: Runs whose ids a worker keeps, and runs that one call of the tokenizer gets.
-CACHE, CALL = 400_000, 256
+CACHE, CALL = 500_000, 64
+#: Runs that are one word for any tokenizer of this kind; a stop that ends a word.
+PLAIN, STOP = re.compile("[a-z]+").fullmatch, "([A-Za-zÀ-ÖØ-öø-ÿ])([.,])"
 #: Partitions whose leftovers are merged together.
 GROUP = 32
 
@@ -52,26 +56,36 @@ class RunEncoder:
         self.used = 0
 
     def _learn(self, runs: list[str]) -> None:
-        for i in range(0, len(runs), CALL):
-            part = runs[i : i + CALL]
+        plain = [r for r in runs if PLAIN(r)]
+        model = self.tokenizer.model
+        ids = [[t.id for t in model.tokenize(r)] for r in plain]
+        self._keep(plain, np.array([len(x) for x in ids], np.int64), np.array([i for x in ids for i in x], np.uint32))
+        rest = [r for r in runs if not PLAIN(r)]
+        for i in range(0, len(rest), CALL):
+            part = rest[i : i + CALL]
             found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
             begins = np.cumsum([0, *(len(r) + 1 for r in part[:-1])])
             owner = np.searchsorted(begins, [a for a, _ in found.offsets], "right") - 1
             counts = np.bincount(owner, minlength=len(part)) if len(owner) else np.zeros(len(part), np.int64)
-            n, m = len(self.at), len(found.ids)
-            if n + len(part) > len(self.size):
-                self.size, self.start = (np.concatenate((x, np.zeros(len(x) + len(part), np.int64))) for x in (self.size, self.start))
-            if self.used + m > len(self.flat):
-                self.flat = np.concatenate((self.flat, np.zeros(len(self.flat) + m, np.uint32)))
-            self.flat[self.used : self.used + m] = found.ids
-            self.size[n : n + len(part)] = counts
-            self.start[n : n + len(part)] = self.used + np.cumsum(counts) - counts
-            self.used += m
-            self.at.update(zip(part, range(n, n + len(part))))
+            self._keep(part, counts, found.ids)
+
+    def _keep(self, runs: list[str], counts: np.ndarray, ids) -> None:
+        n, m = len(self.at), len(ids)
+        if n + len(runs) > len(self.size):
+            self.size, self.start = (np.concatenate((x, np.zeros(len(x) + len(runs), np.int64))) for x in (self.size, self.start))
+        if self.used + m > len(self.flat):
+            self.flat = np.concatenate((self.flat, np.zeros(len(self.flat) + m, np.uint32)))
+        self.flat[self.used : self.used + m] = ids
+        self.size[n : n + len(runs)] = counts
+        self.start[n : n + len(runs)] = self.used + np.cumsum(counts) - counts
+        self.used += m
+        self.at.update(zip(runs, range(n, n + len(runs))))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, and the number of ids of each text."""
-        lists = pc.ascii_split_whitespace(texts)
+        if not pc.any(pc.match_substring(texts, "<|")).as_py():  # special tokens are told apart by case
+            texts = pc.ascii_lower(texts)
+        lists = pc.ascii_split_whitespace(pc.replace_substring_regex(texts, STOP, r"\1 \2"))
         runs = pc.dictionary_encode(lists.flatten())
         distinct = runs.dictionary.to_pylist()
         if len(self.at) + len(distinct) > CACHE:
