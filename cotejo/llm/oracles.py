@@ -1 +1,89 @@
-SQL = {}
+"""DuckDB SQL for the queries of this subpackage that SQL can express.
+
+op1 (XXH64 of shingles), op2, op7, op8, op9 and op10 have none; tests hold them against
+plain versions.
+"""
+
+from __future__ import annotations
+
+from cotejo.llm import secrets
+from cotejo.llm.queries import LISTED_WORDS, URL_RULES
+
+WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _quoted(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _matches(kind: int, pattern: str) -> str:
+    """doc_id, i, m, s, e of all matches; starts are running sums of gaps and matches."""
+    p = _quoted(pattern)
+    return f"""SELECT doc_id, {kind} AS k, m, e - length(m) AS s, e FROM (SELECT doc_id, m, sum(length(g) + length(m)) OVER (PARTITION BY doc_id ORDER BY i) AS e
+        FROM (SELECT doc_id, unnest(ms) AS m, unnest(gaps[1:len(ms)]) AS g, generate_subscripts(ms, 1) AS i
+              FROM (SELECT doc_id, regexp_extract_all(t, {p}, 0) AS ms, string_split_regex(t, {p}) AS gaps FROM docs) WHERE len(ms) > 0))"""
+
+
+OP3 = f"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+assign AS ({_matches(0, secrets.ASSIGN)}), access AS ({_matches(1, secrets.WEAK_ACCESS)}),
+hex AS ({_matches(2, secrets.HEX)}), users AS ({_matches(5, secrets.USER)}), ends AS ({_matches(6, secrets.ENDPOINT)}),
+valued AS (SELECT *, length(regexp_extract(m, {_quoted(secrets.ASSIGN)}, 2)) AS v FROM assign),
+parts AS (
+  SELECT doc_id, 0 AS k, s, e, 's' AS r, false AS w FROM valued WHERE v >= 12
+  UNION ALL SELECT doc_id, 1, s, e, 'i', false FROM access WHERE e - s >= 18
+  UNION ALL SELECT doc_id, 2, s, e, 's', false FROM hex
+  UNION ALL SELECT doc_id, 3, s, e, 's', true FROM valued WHERE v BETWEEN 6 AND 11
+  UNION ALL SELECT doc_id, 4, s, e, 'i', true FROM access WHERE e - s BETWEEN 8 AND 17
+  UNION ALL SELECT doc_id, 5, s, e, 'i', true FROM users
+  UNION ALL SELECT doc_id, 6, s, e, 'e', true FROM ends),
+numbered AS (SELECT *, row_number() OVER () AS n FROM parts),
+near AS (SELECT a.n, bool_or(b.r = 'i') AS i, bool_or(b.r = 's') AS sec, bool_or(b.r = 'e') AS ep
+  FROM numbered a JOIN numbered b ON a.doc_id = b.doc_id AND a.n <> b.n AND b.s <= a.e + 200 AND b.e >= a.s - 200 GROUP BY a.n),
+kept AS (SELECT p.* FROM numbered p LEFT JOIN near USING (n)
+  WHERE NOT w OR (r = 'i' AND sec) OR (r = 's' AND (i OR ep)) OR (r = 'e' AND i AND sec)),
+named AS (SELECT doc_id, k, s, e, concat({_quoted(','.join(secrets.KINDS))}.string_split(',')[k + 1], ':', CAST(s AS BIGINT), ':', CAST(e AS BIGINT)) AS x FROM kept)
+SELECT d.doc_id, count(x) FILTER (k = 0) AS n_assign, count(x) FILTER (k = 1) AS n_access, count(x) FILTER (k = 2) AS n_hex,
+  sha256(coalesce(string_agg(x, ',' ORDER BY s, k) FILTER (k < 3), '')) AS base_sha256, coalesce(string_agg(x, ',' ORDER BY s, k), '') AS spans
+FROM documents d LEFT JOIN named n ON n.doc_id = d.doc_id GROUP BY d.doc_id
+"""
+
+RULES = ("short", "repetitive", "symbols", "dup_lines")
+OP4 = rf"""
+WITH docs AS (SELECT doc_id, source, coalesce(text, '') AS t, {WORDS} AS ws FROM documents),
+pos AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i, len(ws) AS n FROM docs),
+grams AS (SELECT doc_id, i, n, string_agg(w, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS g FROM pos),
+twice AS (SELECT doc_id, i, i + 7 <= n AND count(*) FILTER (i + 7 <= n) OVER (PARTITION BY doc_id, g) > 1 AS d FROM grams),
+covered AS (SELECT doc_id, coalesce(bool_or(d) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 7 PRECEDING AND CURRENT ROW), false) AS c FROM twice),
+repeats AS (SELECT doc_id, count(*) FILTER (c) AS n_repeat_words FROM covered GROUP BY doc_id),
+lines AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT l) AS n_dup_lines FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM docs)
+  WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+fig AS (SELECT doc_id, source, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+  CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines
+  FROM docs LEFT JOIN repeats USING (doc_id) LEFT JOIN lines USING (doc_id)),
+rules AS (SELECT *, n_words < 20 AS short, 100 * n_repeat_words > 30 * n_words AS repetitive, 100 * n_symbols > 10 * word_chars AS symbols, 100 * n_dup_lines > 30 * n_lines AS dup_lines FROM fig),
+hosts AS (SELECT source, count(*) AS n, {", ".join(f"count(*) FILTER ({r}) AS {r}" for r in RULES)} FROM rules WHERE source IS NOT NULL GROUP BY source),
+prior AS (SELECT {", ".join(f"avg({r} / n) AS m_{r}, var_pop({r} / n) AS v_{r}" for r in RULES)} FROM hosts),
+strength AS (SELECT *, {", ".join(f"CASE WHEN v_{r} > 0 AND m_{r} * (1 - m_{r}) / v_{r} - 1 > 0 THEN m_{r} * (1 - m_{r}) / v_{r} - 1 ELSE 1.0 END AS s_{r}" for r in RULES)} FROM prior),
+refused AS (SELECT source FROM hosts, strength WHERE greatest({", ".join(f"({r} + m_{r} * s_{r}) / (n + s_{r})" for r in RULES)}) > 0.5)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, short OR repetitive AS base_failed,
+  NOT (short OR repetitive) AND (source IS NULL OR source NOT IN (SELECT source FROM refused)) AS kept FROM rules
+"""
+
+_FITS = sorted(URL_RULES, key=lambda r: -len(r.text))
+
+
+def _fits(r) -> str:
+    return f"((host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}'))"
+
+
+OP5 = rf"""
+WITH p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host,
+  regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+r AS (SELECT *, CASE {" ".join(f"WHEN {_fits(r)} THEN '{r.text}'" for r in _FITS)} END AS rule FROM p)
+SELECT page_id, host, path, rule, CASE rule {" ".join(f"WHEN '{r.text}' THEN '{r.verdict}'" for r in _FITS)}
+  ELSE CASE WHEN regexp_matches(host, '{"|".join(LISTED_WORDS)}') THEN 'block' ELSE 'allow' END END AS verdict FROM r
+"""
+
+SQL = {"op3_secret_scans": OP3, "op4_quality_rules": OP4, "op5_url_filters": OP5}
