@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from cotejo.llm.common import as_row, cut_lineage
 
-#: Hash bits used, so that products stay within 64 bits.
-MASK = (1 << 55) - 1
+#: Bits used of each hash: with the factors of ``_factor`` products stay within 64 bits.
+MASK = (1 << 44) - 1
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -90,17 +90,17 @@ class Cascade:
         return depth % 2 == 1
 
 
+def _factor(level: int, j: int) -> int:
+    return 16 * level + j + 1
+
+
 def _positions(h1: np.ndarray, h2: np.ndarray, level: int, j: int, m: int) -> np.ndarray:
     """Position of hash j on a level: as ``_position`` computes it in Spark."""
-    a = (h1 >> np.int64(1 + level % 8)) & np.int64(MASK)
-    b = (h2 >> np.int64(1 + level // 8)) & np.int64(MASK)
-    return (a + j * b + j * j) % m
+    return ((h1 & np.int64(MASK)) + _factor(level, j) * (h2 & np.int64(MASK))) % m
 
 
 def _position(h1: Column, h2: Column, level: int, j: int, m: int) -> Column:
-    a = F.shiftright(h1, 1 + level % 8).bitwiseAND(F.lit(MASK))
-    b = F.shiftright(h2, 1 + level // 8).bitwiseAND(F.lit(MASK))
-    return F.pmod(a + b * j + j * j, F.lit(m))
+    return F.pmod(h1.bitwiseAND(F.lit(MASK)) + h2.bitwiseAND(F.lit(MASK)) * _factor(level, j), F.lit(m))
 
 
 def key_hashes(key: Column) -> tuple[Column, Column]:
@@ -132,7 +132,8 @@ def build_cascade(universe: DataFrame, rate: float = 0.01, max_bits: int = 1 <<
         if n == 0:
             return out
         p = rate if level == 0 else 0.5
-        m = max(64, 32 * math.ceil(n * math.log2(1 / p) * 1.4427 / 32))
+        # odd, and never twice the same, so that keys that meet on one level part on another
+        m = (max(64, math.ceil(n * math.log2(1 / p) * 1.4427)) | 1) + 2 * level
         k = max(1, round(math.log2(1 / p)))
         if out.bits() + m > max_bits:
             return None
@@ -142,8 +143,8 @@ def build_cascade(universe: DataFrame, rate: float = 0.01, max_bits: int = 1 <<
             .groupBy(F.shiftright("at", 5).alias("word"))
             .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at").bitwiseAND(F.lit(31)).cast("int"))).alias("bits"))
             .toPandas()
-        )  # at most m / 32 rows
-        words = np.zeros(m // 32, dtype=np.uint32)
+        )  # at most m / 32 + 1 rows
+        words = np.zeros(m // 32 + 1, dtype=np.uint32)
         words[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).astype(np.uint32)
         out.levels.append((words, m, k))
         # what this level accepts wrongly must be refused by the next, all it encodes accepted there
