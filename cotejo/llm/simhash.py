@@ -84,6 +84,11 @@ MASKS = covering_masks(list(range(64)))
 SECOND = [[m | s for s in covering_masks([p for p in range(64) if not m >> p & 1])] for m in MASKS]
 
 
+def bits_apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Differing bits of signed fingerprints (numpy counts the bits of absolute values)."""
+    return np.bitwise_count((x ^ y).view(np.uint64))
+
+
 def _groups(x: np.ndarray) -> np.ndarray:
     """For distinct fingerprints, the index of the first member of each one's group."""
     first = np.full(len(x), -1)
@@ -96,7 +101,7 @@ def _groups(x: np.ndarray) -> np.ndarray:
             near = np.zeros(len(rest), bool)
             for at in range(0, len(front), 64):
                 todo = np.flatnonzero(~near)
-                d = np.bitwise_count(x[front[at : at + 64], None] ^ x[rest[todo]][None, :])
+                d = bits_apart(x[front[at : at + 64], None], x[rest[todo]][None, :])
                 near[todo] |= (d <= RADIUS).any(axis=0)
             front, rest = rest[near], rest[~near]
             first[front] = seed
@@ -117,7 +122,7 @@ def _links(batches):
             for i in range(width):
                 for j in range(i + 1, width):
                     x, y = fp[s + i], fp[s + j]
-                    ok = np.bitwise_count(x ^ y) <= RADIUS
+                    ok = bits_apart(x, y) <= RADIUS
                     a.append(x[ok])
                     b.append(y[ok])
         large = stops - starts > 3
