@@ -16,7 +16,8 @@ def teacher_profile(calls: DataFrame) -> DataFrame:
     piece of evidence each. In order of arrival a call sets the weight to the larger of
     old and new plus a tenth for every piece of evidence after the first known so far. So
     the result is the largest, over calls j, of weight j plus all bonuses from j on; both
-    parts are window sums, and no state is folded row by row.
+    parts are window sums, and no state is folded row by row. All windows and the final
+    aggregation share one shuffle by teacher and node.
     """
     key, order = ["docente_id", "nodo_id"], ["seq", "semana", "texto", "peso"]
     forth = Window.partitionBy(*key).orderBy(*order)
@@ -24,7 +25,7 @@ def teacher_profile(calls: DataFrame) -> DataFrame:
     first = F.row_number().over(Window.partitionBy(*key, "texto").orderBy(*order)) == 1
     known = F.sum(F.col("fresh").cast("long")).over(forth.rowsBetween(Window.unboundedPreceding, 0))
     back = Window.partitionBy(*key).orderBy(*[F.desc(c) for c in order])
-    rows = calls.withColumn("fresh", first).withColumn("at", F.row_number().over(forth)).withColumn("known", known)
+    rows = calls.repartition(*key).withColumn("fresh", first).withColumn("at", F.row_number().over(forth)).withColumn("known", known)
     rows = rows.withColumn("later", F.sum(BONUS * (F.col("known") - 1)).over(back.rowsBetween(Window.unboundedPreceding, 0)))
     reached = (F.col("peso") * UNIT).cast("long") + F.col("later")
     seen = F.when(F.col("fresh"), F.struct("at", "texto"))
