@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from cotejo.llm.common import write_and_read
 
 #: Runs whose ids a worker keeps, and runs that one call of the tokenizer gets.
-CACHE, CALL = 500_000, 64
+CACHE, CALL = 250_000, 64
 #: Runs that are one word for any tokenizer of this kind; a stop that ends a word.
 PLAIN, STOP = re.compile("[a-z]+").fullmatch, "([A-Za-zÀ-ÖØ-öø-ÿ])([.,])"
 #: Partitions whose leftovers are merged together.
@@ -101,6 +101,16 @@ class RunEncoder:
         return ids, np.diff(bounds)
 
 
+_encoders: dict[str, RunEncoder] = {}
+
+
+def _kept(path: str) -> RunEncoder:
+    """The worker's encoder: loaded once, with what it has learnt, for all its tasks."""
+    if path not in _encoders:
+        _encoders[path] = RunEncoder(path)
+    return _encoders[path]
+
+
 class Packer:
     """Bounded-space best fit of pieces (document, its tokens, start, ids) into windows."""
 
@@ -183,7 +193,7 @@ def _rows(sequences, schema: pa.Schema, part: int, number) -> pa.RecordBatch:
 def _pack_partition(path: str, window: int, open_windows: int, min_cut: int, end_id: int, schema: pa.Schema):
     def run(batches):
         part = TaskContext.get().partitionId()
-        encoder, packer, done = RunEncoder(path), Packer(window, open_windows, min_cut), 0
+        encoder, packer, done = _kept(path), Packer(window, open_windows, min_cut), 0
         end = np.array([end_id], np.uint32)
         for batch in batches:
             docs, texts = batch.column(0), pc.fill_null(batch.column(1), "")
