@@ -28,6 +28,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +36,9 @@ from cotejo.llm.common import as_row
 
 SPACE = "▁"
 UNIT = re.compile(f"{SPACE}*[^{SPACE}\n]+|\n|{SPACE}+")
-MAX_UNITS = 300_000
+MAX_UNITS = 200_000
+#: Longest unit that is solved together with others, and how many at a time.
+SHORT, TOGETHER = 48, 4096
 
 
 class Lattice:
@@ -65,6 +68,83 @@ class Lattice:
         #: Pieces with score and id, and beginnings of pieces with None.
         self.starts: dict[str, tuple[int, int] | None] = {p[:i]: None for p in self.pieces for i in range(1, len(p))} | self.pieces
 
+        self._build_trie()
+
+    def _build_trie(self) -> None:
+        """The beginnings of pieces as numbered nodes; steps are sorted keys (node, character)."""
+        chars = sorted({c for p in self.pieces for c in p})
+        self.chars = np.zeros(0x110000, np.int32)  # 0: in no piece
+        self.chars[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+        self.width = len(chars) + 1
+        number = {p: i for i, p in enumerate(self.starts, 1)} | {"": 0}
+        keys = np.array([number[p[:-1]] * self.width + self.chars[ord(p[-1])] for p in self.starts], np.int64)
+        order = np.argsort(keys)
+        self.steps, self.nodes = keys[order], np.array(list(number.values())[:-1], np.int64)[order]
+        found = [(v if v else (0, -1)) for v in self.starts.values()]
+        self.node_score = np.array([0, *(v[0] for v in found)], np.int64)
+        self.node_id = np.array([-1, *(v[1] for v in found)], np.int32)
+
+    def solve_many(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """``solve`` for units of which every character has a piece: all ids one after
+        another, and number of ids, score and loss of each unit.
+
+        The units are worked on side by side, position by position.
+        """
+        sizes = np.array([len(u) for u in units])
+        text = self.chars[np.frombuffer("".join(units).encode("utf-32-le"), np.uint32)].astype(np.int64)
+        first = np.repeat(np.cumsum(sizes) - sizes, sizes)
+        stop = first + np.repeat(sizes, sizes)
+        place = np.arange(len(text))
+        at, node, length = place, np.zeros(len(text), np.int64), 0
+        begins, ends, found = [], [], []
+        while len(at):  # walk the trie from every position at once
+            key = node * self.width + text[at + length]
+            i = np.minimum(np.searchsorted(self.steps, key), len(self.steps) - 1)
+            on = self.steps[i] == key
+            at, node, length = at[on], self.nodes[i[on]], length + 1
+            whole = self.node_id[node] >= 0
+            begins.append(at[whole])
+            ends.append(at[whole] + length)
+            found.append(node[whole])
+            more = at + length < stop[at]
+            at, node = at[more], node[more]
+        begin, end, node = map(np.concatenate, (begins, ends, found))
+        order = np.lexsort((end, begin, begin - first[begin]))  # by place within the unit
+        begin, end, node = begin[order], end[order], node[order]
+        unit = np.repeat(np.arange(len(units)), sizes)[begin]
+        score = self.node_score[node]
+        # cuts: one more than characters for each unit
+        left, right = begin + unit, end + unit
+        low, n = -(1 << 60), len(text) + len(units)
+        origin = np.cumsum(sizes + 1) - sizes - 1
+        forth, back, rest = np.full(n, low), np.zeros(n, np.int64), np.full(n, low)
+        forth[origin] = 0
+        rest[origin + sizes] = 0
+        steps = np.searchsorted(begin - first[begin], np.arange(int(sizes.max()) + 1))
+        for a, b in zip(steps[:-1], steps[1:]):
+            reach = forth[left[a:b]] + score[a:b]
+            better = np.flatnonzero(reach > forth[right[a:b]])  # ends of one unit's arcs differ
+            forth[right[a:b][better]], back[right[a:b][better]] = reach[better], a + better
+        for a, b in zip(steps[-2::-1], steps[:0:-1]):
+            if a < b:
+                heads = np.flatnonzero(np.diff(left[a:b], prepend=-1))
+                rest[left[a:b][heads]] = np.maximum.reduceat(rest[right[a:b]] + score[a:b], heads)
+        on = np.zeros(len(begin), bool)
+        cuts, bottom = origin + sizes, origin
+        while len(cuts):
+            arcs = back[cuts]
+            on[arcs] = True
+            cuts = left[arcs]
+            go = cuts > bottom
+            cuts, bottom = cuts[go], bottom[go]
+        best = forth[origin + sizes]
+        off = np.where(on, low, forth[left] + score + rest[right])
+        through = np.full(len(units), low)
+        np.maximum.at(through, unit, off)
+        path = np.flatnonzero(on)
+        path = path[np.argsort(begin[path])]
+        return self.node_id[node[path]], np.bincount(unit[path], minlength=len(units)), best, np.where(through > low // 2, best - through, 1 << 60)
+
     @staticmethod
     def _score(rank: float, total: float) -> int:
         return round(-1e6 * math.log((rank + 10) * total))
@@ -148,6 +228,10 @@ class Lattice:
         return found
 
 
+def units_of(text: str | None) -> list[str]:
+    return UNIT.findall(SPACE + text.replace(" ", SPACE)) if text else []
+
+
 class Segmenter:
     """N-best segmentation of whole texts; a worker keeps the solved units."""
 
@@ -163,16 +247,24 @@ class Segmenter:
         self.used = 0
 
     def _learn(self, units: list[str]) -> None:
+        known = self.lattice.pieces
+        easy = [u for u in units if len(u) <= SHORT and all(map(known.__contains__, u))]
+        for lo in range(0, len(easy), TOGETHER):
+            some = easy[lo : lo + TOGETHER]
+            self._keep(some, *self.lattice.solve_many(some))
+        if len(easy) < len(units):
+            hard = list(set(units).difference(easy))
+            solved = [self.lattice.solve(u) for u in hard]
+            sizes = np.array([len(x[0]) for x in solved])
+            self._keep(hard, np.fromiter((i for x in solved for i in x[0]), np.int32), sizes, [x[1] for x in solved], [x[2] for x in solved])
+
+    def _keep(self, units: list[str], ids: np.ndarray, sizes: np.ndarray, score, loss) -> None:
         n = len(self.code)
-        solved = [self.lattice.solve(u) for u in units]
-        ids = np.fromiter((x for s in solved for x in s[0]), np.int32)
-        sizes = np.array([len(s[0]) for s in solved])
         if n + len(units) > len(self.table):
             self.table = np.concatenate((self.table, np.zeros((n + len(units), 4), np.int64)))
         if self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate((self.flat, np.zeros(self.used + len(ids), np.int32)))
         self.flat[self.used : self.used + len(ids)] = ids
-        score, loss = [s[1] for s in solved], [s[2] for s in solved]
         self.table[n : n + len(units)] = np.stack((self.used + np.cumsum(sizes) - sizes, sizes, score, loss), axis=1)
         self.used += len(ids)
         self.code.update(zip(units, range(n, n + len(units))))
@@ -196,11 +288,21 @@ class Segmenter:
             codes[lost] = [self.code[units[i]] for i in lost]
         return codes
 
-    def segment(self, text: str | None) -> tuple[np.ndarray, list[int], list[list[tuple[int, int, tuple[int, ...]]]]]:
+    def prepare(self, texts: list[list[str]]) -> None:
+        """Solve the new units of some texts together."""
+        fresh = set().union(*texts)
+        lost = [u for u in fresh if u not in self.code]
+        if len(self.code) + len(lost) > MAX_UNITS:
+            self.clear()
+            lost = list(fresh)
+        self._learn(lost)
+
+    def segment(self, text: str | None):
+        return self.join(units_of(text))
+
+    def join(self, units: list[str]) -> tuple[np.ndarray, list[int], list[list[tuple[int, int, tuple[int, ...]]]]]:
         """Ids of the best segmentation; scores of the n best; and for each of these the
         differences from the best as (start, number of ids replaced, new ids)."""
-        marked = SPACE + text.replace(" ", SPACE) if text else ""
-        units = UNIT.findall(marked)
         codes = self._codes(units)
         start, size, score, loss = self.table[codes].T if len(codes) else np.zeros((4, 0), np.int64)
         ends = np.cumsum(size)
@@ -224,13 +326,15 @@ class Segmenter:
 _EDITS = pa.list_(pa.list_(pa.struct([("start", pa.int32()), ("size", pa.int32()), ("ids", pa.list_(pa.int32()))])))
 
 
-def _segment(path: str, n: int):
+def _segment(path: str, n: int, at: int):
     def run(batches):
         segmenter = _kept(path, n)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
-                done = [segmenter.segment(t) for t in part.column(1).to_pylist()]
+            for lo in range(0, batch.num_rows, 200):
+                part = batch.slice(lo, 200)
+                texts = [units_of(t) for t in pc.struct_field(part.column(0), [at]).to_pylist()]
+                segmenter.prepare(texts)
+                done = [segmenter.join(t) for t in texts]
                 offsets = np.cumsum([0, *(len(d[0]) for d in done)]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([d[0] for d in done]).astype(np.int32)))
                 edits = [[[{"start": a, "size": b, "ids": c} for a, b, c in e] for e in d[2]] for d in done]
@@ -249,17 +353,35 @@ def _kept(path: str, n: int) -> Segmenter:
     return _segmenters[path, n]
 
 
+_spellings: dict[str, list[bytes]] = {}
+
+
+def _spelled(path: str) -> list[bytes]:
+    """What each piece stands for; all that decoding needs of a model."""
+    if path not in _spellings:
+        import sentencepiece
+
+        m = sentencepiece.SentencePieceProcessor(model_file=path)
+        _spellings[path] = [
+            bytes((int(m.id_to_piece(i)[3:-1], 16),)) if m.is_byte(i)
+            else b"" if m.is_control(i) or m.is_unknown(i) or m.is_unused(i)
+            else m.id_to_piece(i).replace(SPACE, " ").encode()
+            for i in range(m.get_piece_size())
+        ]
+    return _spellings[path]
+
+
 def segment(docs: DataFrame, model: str, n: int = 4, text: str = "text") -> DataFrame:
     """``row``, ``ids`` (the best segmentation), ``scores`` and ``edits`` of the n best.
 
     ``edits[i]`` turns ``ids`` into the i-th best: at each start, size ids become others.
     """
-    source = docs.select(as_row(docs).alias("row"), F.col(text).cast("string").alias("text"))
+    source = docs.select(as_row(docs).alias("row"))
     from pyspark.sql.types import ArrayType, IntegerType, LongType, StructType
 
     edit = StructType().add("start", IntegerType()).add("size", IntegerType()).add("ids", ArrayType(IntegerType()))
     schema = StructType().add(source.schema["row"]).add("ids", ArrayType(IntegerType())).add("scores", ArrayType(LongType()))
-    return source.mapInArrow(_segment(model, n), schema.add("edits", ArrayType(ArrayType(edit))))
+    return source.mapInArrow(_segment(model, n, docs.columns.index(text)), schema.add("edits", ArrayType(ArrayType(edit))))
 
 
 def decoder(model: str):
@@ -267,10 +389,11 @@ def decoder(model: str):
 
     @F.arrow_udf("string")
     def decode(ids: pa.Array) -> pa.Array:
-        spelled = _kept(model, 1).lattice.spelled
-        flat, offsets = ids.flatten().to_pylist(), ids.offsets.to_numpy() - ids.offsets[0].as_py() if len(ids) else []
-        parts = [spelled[i] for i in flat]
-        texts = (b"".join(parts[a:b]) for a, b in zip(offsets[:-1], offsets[1:]))
-        return pa.array([t[1:].decode("utf-8", "replace") for t in texts], pa.string())
+        spelled = _spelled(model)
+        texts = []
+        for x in ids:  # one text at a time: a batch of numbers would be large as Python objects
+            numbers = x.values.to_numpy().tolist() if x.is_valid else []
+            texts.append(b"".join(map(spelled.__getitem__, numbers))[1:].decode("utf-8", "replace"))
+        return pa.array(texts, pa.string())
 
     return decode
