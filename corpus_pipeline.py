@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cotejo.llm import packing, quality, secrets, simhash, toxicity
+from cotejo.llm import jaccard, packing, quality, secrets, toxicity
 from cotejo.llm.common import read_table, show_code, write_and_read
 from cotejo.llm.queries import held_out
 
@@ -29,9 +29,9 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one of the smallest id, of each group of near duplicates."""
+    """One document, the one of the smallest id, of each group of texts alike to 0.8 in five-word shingles."""
     show_code(spark)
-    return simhash.drop_near_duplicates(docs)
+    return jaccard.drop_near_duplicates(docs)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
