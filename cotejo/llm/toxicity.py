@@ -18,6 +18,7 @@ the share of toxic labels, or 0 if there are none.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import chain, repeat
@@ -61,11 +62,9 @@ def word_rows(word: bytes) -> list[int]:
 
 
 def guess_language(words: list[bytes]) -> int:
-    """Index of the language with most marker words among the first thousand, 0 if none."""
-    seen: dict[bytes, int] = {}
-    for w in words[:1000]:
-        seen[w] = seen.get(w, 0) + 1
-    hits = [sum(seen.get(m.encode(), 0) for m in ms) for ms in MARKERS.values()]
+    """Index of the language with most marker words among all words, 0 if none."""
+    seen = Counter(words)
+    hits = [sum(seen[m.encode()] for m in ms) for ms in MARKERS.values()]
     return hits.index(max(hits))
 
 
