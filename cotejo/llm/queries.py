@@ -44,7 +44,7 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: base secrets (counts and digest) and all reported spans."""
+    """Per document: base secrets (counts and digest) and all reported spans, of the weak parts that its SQL lists."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     parts = F.col("parts")
 
@@ -52,7 +52,7 @@ def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.size(F.filter(parts, lambda x: x["k"] == kind)).cast("long")
 
     base = F.filter(parts, lambda x: x["k"] < 3)
-    return secrets.scan_secrets(docs).select(
+    return secrets.scan_secrets(docs, weak=secrets.LISTED_WEAK).select(
         F.col("row.doc_id").alias("doc_id"), of(0).alias("n_assign"), of(1).alias("n_access"), of(2).alias("n_hex"),
         F.sha2(secrets.span_list(base), 256).alias("base_sha256"), secrets.span_list(parts).alias("spans"),
     )

@@ -1,7 +1,7 @@
 """Secret scans with multipart credential linking (DataFrame functions only).
 
 Strong secrets (``assign``, ``access``, ``hex``) are reported wherever they occur. Weak
-candidates - short access identifiers or user names, short secret values, endpoints - are
+candidates - access identifiers or user names, secret values of any length, endpoints - are
 reported only where complementary parts stand in the same scope, that is, at most
 ``scope`` code points apart: a weak identifier needs a secret, a weak secret needs an
 identifier or an endpoint, and an endpoint needs both an identifier and a secret. The parts
@@ -14,6 +14,8 @@ give repeated results; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +31,7 @@ HEX = r"[0-9a-f]{16,}"
 #: Patterns of the weak parts.
 WEAK_ACCESS = r"AKIA[A-Z0-9]+"
 USER = r"""(?:user|username|login|account|client_id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9._@-]{3,})"""
+ANY_USER = r"""(?i:user|username|login|account|client_id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9._@-]+)"""
 ENDPOINT = r"""[a-z][a-z0-9+]{1,9}://[A-Za-z0-9.-]+(?::[0-9]+)?"""
 
 #: Kinds in the order that breaks ties of equal starts; the first three are the base.
@@ -36,6 +39,18 @@ KINDS = ("assign", "access", "hex", "weak_secret", "weak_access", "user", "endpo
 BLOCK = 128
 
 
+class Weak(NamedTuple):
+    """What counts as a weak part: the pattern of users, the least lengths of secrets and access identifiers."""
+
+    user: str = ANY_USER
+    secret: int = 1
+    access: int = 5
+
+
+#: The narrower weak parts that the SQL of op3 lists.
+LISTED_WEAK = Weak(USER, 6, 8)
+
+
 def _empty() -> Column:
     return F.array().cast("array<struct<s:int,e:int,m:string>>")
 
@@ -137,7 +152,7 @@ def _linked(parts: Column, scope: int) -> Column:
     )
 
 
-def secret_spans(text: Column, scope: int = 200, min_secret: int = 12, min_weak: int = 6) -> Column:
+def secret_spans(text: Column, scope: int = 200, min_secret: int = 12, weak: Weak = Weak()) -> Column:
     """All reported parts of a text, by start, kind and end."""
     t = F.coalesce(text.cast("string"), F.lit(""))
 
@@ -146,9 +161,9 @@ def secret_spans(text: Column, scope: int = 200, min_secret: int = 12, min_weak:
 
     def build(assigned: Column, access: Column) -> Column:
         long = F.filter(assigned, lambda x: value_length(x) >= min_secret)
-        short = F.filter(assigned, lambda x: value_length(x).between(min_weak, min_secret - 1))
+        short = F.filter(assigned, lambda x: value_length(x).between(weak.secret, min_secret - 1))
         strong = F.filter(access, lambda x: x["e"] - x["s"] >= 18)
-        brief = F.filter(access, lambda x: (x["e"] - x["s"]).between(8, 17))
+        brief = F.filter(access, lambda x: (x["e"] - x["s"]).between(weak.access, 17))
         return _linked(
             F.concat(
                 _parts(long, 0, "s", False),
@@ -156,7 +171,7 @@ def secret_spans(text: Column, scope: int = 200, min_secret: int = 12, min_weak:
                 _parts(match_spans(t, HEX), 2, "s", False),
                 _parts(short, 3, "s", True),
                 _parts(brief, 4, "i", True),
-                _parts(match_spans(t, USER), 5, "i", True),
+                _parts(match_spans(t, weak.user), 5, "i", True),
                 _parts(match_spans(t, ENDPOINT), 6, "e", True),
             ),
             scope,
@@ -165,9 +180,9 @@ def secret_spans(text: Column, scope: int = 200, min_secret: int = 12, min_weak:
     return let(match_spans(t, ASSIGN), lambda a: let(match_spans(t, WEAK_ACCESS), lambda b: build(a, b)))
 
 
-def scan_secrets(docs: DataFrame, text: str = "text", scope: int = 200) -> DataFrame:
+def scan_secrets(docs: DataFrame, text: str = "text", scope: int = 200, weak: Weak = Weak()) -> DataFrame:
     """Columns ``row`` (the input row) and ``parts`` (structs s, k, e, r, w; see ``KINDS``)."""
-    return docs.select(as_row(docs).alias("row")).select("row", once(secret_spans(F.col("row")[text], scope)).alias("parts"))
+    return docs.select(as_row(docs).alias("row")).select("row", once(secret_spans(F.col("row")[text], scope, weak=weak)).alias("parts"))
 
 
 def span_list(parts: Column) -> Column:

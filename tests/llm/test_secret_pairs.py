@@ -1,0 +1,28 @@
+"""Multipart credentials of any length, with keys in either case."""
+
+from pyspark.sql import functions as F
+
+from cotejo.llm import secrets
+
+PAIRS = {
+    "Username: admin / Password: hunter22": ["user", "weak_secret"],
+    "LOGIN=bo passwd=x1": ["user", "weak_secret"],
+    "Client_ID: a Token: b": ["user", "weak_secret"],
+    "AKIAB secret=abc": ["weak_access", "weak_secret"],
+    "see https://db.example.org token=abc": ["weak_secret"],
+    "Username: admin only": [], "Password: abc only": [], "AKIAB only": [],
+}
+
+
+def test_mixed_case_and_short_pairs(spark):
+    df = spark.createDataFrame([(t,) for t in PAIRS], "text string")
+    got = {r.row.text: [x.split(":")[0] for x in r.spans.split(",") if x] for r in secrets.scan_secrets(df).select("row", secrets.span_list(F.col("parts")).alias("spans")).collect()}
+    assert got == PAIRS
+    left = [r.text for r in secrets.redact(df).collect()]
+    assert not any(x in t for t in left for x in ("hunter22", "x1", "=abc"))
+    assert "Username: admin only" in left and "Password: abc only" in left
+
+
+def test_marks_stand_for_whole_pairs(spark):
+    df = spark.createDataFrame([("x Username: admin / Password: hunter22 y",)], "text string")
+    assert secrets.redact(df).first().text == "x [SECRET] / [SECRET] y"
