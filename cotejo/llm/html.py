@@ -2,8 +2,11 @@
 
 A tokenizer feeds a tree builder that opens and closes elements as their content demands
 (implied ends of paragraphs, list items, table cells; void elements; unclosed and stray
-tags). Elements that are not shown are left out: ``head``, scripts, styles, templates,
-``hidden`` attributes, ``display:none`` and ``visibility:hidden``. The renderer keeps the
+tags). Elements that are not shown are built by the same rules, so that they end where a
+reader's browser ends them, but are left out of the tree: ``head`` (which the first tag or
+text that is no head content ends), scripts, styles, templates, ``datalist``, the fallbacks
+of ``audio``, ``video`` and ``canvas``, descriptions and definitions in ``svg``, annotations
+in ``math``, ``hidden`` attributes, ``display:none`` and ``visibility:hidden``. The renderer keeps the
 spacing of blocks, marks and indents list items, numbers ordered ones, keeps the white
 space of ``pre``, and aligns the columns of tables. All visible text is emitted.
 
@@ -34,7 +37,12 @@ GONE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is not markup.
 RAW = frozenset(("script", "style", "textarea", "title", "xmp", "noembed", "noframes", "iframe"))
-UNSEEN = frozenset("head script style template title noembed noframes iframe object datalist svg math audio video canvas".split())
+UNSEEN = frozenset("head script style template title noembed noframes iframe datalist audio video canvas".split())
+#: Not shown within svg or math.
+UNSEEN_IN = {"svg": frozenset("desc metadata defs symbol".split()), "math": frozenset(("annotation", "annotation-xml"))}
+HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title head html".split())
+#: Elements that no tag inside can close along with one outside.
+WALLS = frozenset(("template", "object"))
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split()
@@ -81,12 +89,12 @@ def parse(page: str) -> Node:
     root = Node("html")
     stack = [root]
     opened: Counter[str] = Counter()  # open elements by tag
-    unseen = 0  # depth within hidden elements, whose tags are only counted
-    names: list[str] = []
     at = 0
 
     def text(s: str) -> None:
-        if s and not unseen:
+        if s and opened["head"] and stack[-1].tag == "head" and not s.isspace():
+            end_head()
+        if s:
             stack[-1].children.append(html.unescape(s) if "&" in s else s)
 
     def close(ends: tuple[str, ...], within: tuple[str, ...]) -> None:
@@ -98,9 +106,18 @@ def parse(page: str) -> Node:
                 opened.subtract(n.tag for n in stack[i:])
                 del stack[i:]
                 return
-            if stack[i].tag in within:
+            if stack[i].tag in within or stack[i].tag in WALLS:
                 return
 
+    def end_head() -> None:
+        """Close the head, unless something other than ``noscript`` is open in it."""
+        i = len(stack) - 1
+        while stack[i].tag == "noscript":
+            i -= 1
+        if stack[i].tag == "head":
+            opened.subtract(n.tag for n in stack[i:])
+            del stack[i:]
+
     while at < len(page):
         m = TOKEN.search(page, at)
         if m is None:
@@ -111,21 +128,8 @@ def parse(page: str) -> Node:
         if m[2] is None:
             continue
         tag, ending = m[2].lower(), bool(m[1])
-        if unseen:
-            if ending and tag in names:
-                while names.pop() != tag:
-                    pass
-                unseen = len(names)
-            elif not ending and tag == "body" and names == ["head"]:
-                names.clear()
-                unseen = 0
-            elif not ending and tag not in VOID and not m[3].endswith("/"):
-                if tag in RAW:
-                    at = _after_raw(page, tag, at)
-                else:
-                    names.append(tag)
-                    unseen = len(names)
-            continue
+        if opened["head"] and (tag in ("body", "html", "br") if ending else tag not in HEAD):
+            end_head()
         if ending:
             if tag == "p" and not opened["p"]:
                 stack[-1].children.append(Node("p"))
@@ -136,12 +140,9 @@ def parse(page: str) -> Node:
             continue
         if tag in ("html", "body"):
             continue
-        if _hidden(tag, m[3]):
-            if tag in RAW:
-                at = _after_raw(page, tag, at)
-            elif tag not in VOID and not m[3].endswith("/"):
-                names, unseen = [tag], 1
+        if tag == "head" and (len(stack) > 1 or any(not isinstance(x, str) or x.strip() for x in root.children)):
             continue
+        hidden = _hidden(tag, m[3]) or any(opened[t] and tag in within for t, within in UNSEEN_IN.items())
         if tag in BLOCK:
             close(("p",), ("td", "th", "table", "li", "button"))
         if tag in ENDS:
@@ -153,7 +154,8 @@ def parse(page: str) -> Node:
         node = Node(tag)
         if tag == "ol" and (first := re.search(r"start\s*=\s*[\"']?(\d{1,6})", m[3])):
             node.start = int(first[1])
-        stack[-1].children.append(node)
+        if not hidden:
+            stack[-1].children.append(node)
         if tag in RAW:
             end = _after_raw(page, tag, at)
             inner = page[at:end]
