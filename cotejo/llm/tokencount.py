@@ -229,8 +229,12 @@ class TokenCounter:
         each[at] = 0
         cut = 0
         if part:
-            each[at[-1] - 1] = 0
-            cut = int(begins[at[-1] - 1]) - 1
+            last = at[-1] - 1
+            i = begins[last]
+            if last > 1 and begins[last - 1] == i - 1 and text[i - 1] == "'" and text[i:-1] in ("l", "r", "v"):
+                last -= 1  # an unfinished contraction is held back from its apostrophe on
+            each[last : at[-1]] = 0
+            cut = int(begins[last]) - 1
         return np.add.reduceat(each, at)[:-1] if units else np.zeros(0, np.int64), cut
 
     def _long(self, text: str) -> int:
