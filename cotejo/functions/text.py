@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
-# Latin letters with marks and their plain letters.
-ACCENTED = "áàâäãåéèêëíìîïóòôöõúùûüñçýÿÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÑÇÝ"
-PLAIN = "aaaaaaeeeeiiiiooooouuuuncyyAAAAAAEEEEIIIIOOOOOUUUUNCY"
+#: Inside a character class: all that counts as white space, in ASCII and beyond.
+BLANK = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 # Patterns, careers, institutions and roles that are never entities.
 INVALID_PATTERNS = [
@@ -31,19 +35,49 @@ ROLES = [
 UNDECLARED = "[No declarado]"
 
 
-def _ascii(s: Column) -> Column:
-    """Marks off Latin letters; what is not ASCII after that is dropped."""
-    return F.regexp_replace(F.translate(F.coalesce(s, F.lit("")), ACCENTED, PLAIN), r"[^\x00-\x7F]", "")
+@cache
+def _plain_letters(form: str) -> tuple[str, str, dict[str, str]]:
+    """What a Unicode decomposition leaves in ASCII: characters with one plain character, these,
+    and the characters with several (as ligatures have). Every code point is asked."""
+    one, many = {}, {}
+    for c in map(chr, range(0x80, sys.maxunicode + 1)):
+        if unicodedata.decomposition(c):
+            plain = unicodedata.normalize(form, c).encode("ascii", "ignore").decode()
+            if plain:
+                (one if len(plain) == 1 else many)[c] = plain
+    return "".join(one), "".join(one.values()), many
+
+
+def _ascii(s: Column, form: str = "NFKD") -> Column:
+    """The characters of the decomposition that are ASCII; the others are dropped.
+
+    Characters of one plain character are translated. Only texts with one of several are
+    cut at these, and they are looked up.
+    """
+    marked, plain, many = _plain_letters(form)
+    text = F.coalesce(s, F.lit(""))
+    if many:
+        several = "[" + "".join(many) + "]"
+        table = F.create_map(*[F.lit(x) for kv in many.items() for x in kv])
+        cut = F.split(text, f"(?<={several})|(?={several})", -1)
+        spelled = F.array_join(F.transform(cut, lambda x: F.coalesce(F.try_element_at(table, x), x)), "")
+        text = F.when(text.rlike(several), spelled).otherwise(text)
+    return F.regexp_replace(F.translate(text, marked, plain), r"[^\x00-\x7F]", "")
 
 
 def normalize_text(s: Column) -> Column:
     """Plain lower-case text with single spaces; null becomes empty."""
-    return F.lower(F.trim(F.regexp_replace(_ascii(s), r"\s+", " ")))
+    return F.lower(F.trim(F.regexp_replace(_ascii(s), r"[\t-\r\x1c-\x20]+", " ")))
+
+
+def strip(s: Column) -> Column:
+    """Without the white space around it."""
+    return F.regexp_replace(s, f"^[{BLANK}]+|[{BLANK}]+$", "")
 
 
 def strip_tag(s: Column) -> Column:
     """The entity without its "(inferido)" mark; what stood around the mark is joined."""
-    return F.regexp_replace(F.regexp_replace(s, r"(?i)\s*\(inferido\)\s*", ""), r"^\s+|\s+$", "")
+    return strip(F.regexp_replace(s, rf"(?i)[{BLANK}]*\(inferido\)[{BLANK}]*", ""))
 
 
 def is_invalid_entity(s: Column) -> Column:
@@ -69,7 +103,7 @@ def appears_in_text(entity: Column, normal_text: Column) -> Column:
 
 def name_words(s: Column) -> Column:
     """Upper-case plain words of a person's name, in order, repeats included."""
-    t = F.trim(F.regexp_replace(F.upper(_ascii(s)), "[^A-Z0-9]+", " "))
+    t = F.trim(F.regexp_replace(F.upper(_ascii(s, "NFD")), "[^A-Z0-9]+", " "))
     return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, " "))
 
 
@@ -87,6 +121,7 @@ def round2(x: Column) -> Column:
 
 
 def display_name(s: Column) -> Column:
+    """Lower-case name; null becomes empty."""
     return F.lower(F.coalesce(s, F.lit("")))
 
 
@@ -95,6 +130,29 @@ def report_slug(s: Column) -> Column:
     return F.substring(F.replace(F.coalesce(s, F.lit("curso")), F.lit(" "), F.lit("_")), 1, 30)
 
 
+def evidence_key(evidence: Column, kind: DataType) -> Column:
+    """JSON with sorted keys as the identity of a piece of evidence; a text is its own.
+
+    Structs and maps with the same fields in another order are the same evidence; a field
+    that is null differs from one that is absent.
+    """
+    def in_order(x: Column, t: DataType) -> Column:
+        if isinstance(t, StructType):
+            fields = sorted(t.fields, key=lambda f: f.name)
+            return F.when(x.isNotNull(), F.struct(*[in_order(x[f.name], f.dataType).alias(f.name) for f in fields]))
+        if isinstance(t, MapType):
+            return F.map_from_entries(F.array_sort(F.map_entries(F.transform_values(x, lambda _, v: in_order(v, t.valueType)))))
+        if isinstance(t, ArrayType):
+            return F.transform(x, lambda v: in_order(v, t.elementType))
+        return x
+
+    if isinstance(kind, StringType):
+        return evidence
+    if isinstance(kind, (StructType, MapType, ArrayType)):
+        return F.to_json(in_order(evidence, kind), {"ignoreNullFields": "false"})
+    return evidence.cast("string")
+
+
 def label_of(key: Column, labels: dict[str, str]) -> Column:
     """The label of a key, or the key itself."""
     pairs = [F.lit(x) for kv in labels.items() for x in kv]
