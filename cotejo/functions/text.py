@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from collections.abc import Iterable
 from functools import cache
 
 from pyspark.sql import Column
@@ -48,20 +49,31 @@ def _plain_letters(form: str) -> tuple[str, str, dict[str, str]]:
     return "".join(one), "".join(one.values()), many
 
 
+def _ranges(chars: Iterable[str], gap: int = 16) -> str:
+    """A character class of few ranges around the characters, as long classes match slowly."""
+    out: list[list[str]] = []
+    for c in sorted(chars):
+        if out and ord(c) - ord(out[-1][1]) <= gap:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "[" + "".join(f"{a}-{b}" for a, b in out) + "]"
+
+
 def _ascii(s: Column, form: str = "NFKD") -> Column:
     """The characters of the decomposition that are ASCII; the others are dropped.
 
-    Characters of one plain character are translated. Only texts with one of several are
-    cut at these, and they are looked up.
+    Characters of one plain character are translated. Texts with others near those of several
+    are cut at these, and they are looked up.
     """
     marked, plain, many = _plain_letters(form)
     text = F.coalesce(s, F.lit(""))
     if many:
-        several = "[" + "".join(many) + "]"
+        near = _ranges(many)
         table = F.create_map(*[F.lit(x) for kv in many.items() for x in kv])
-        cut = F.split(text, f"(?<={several})|(?={several})", -1)
-        spelled = F.array_join(F.transform(cut, lambda x: F.coalesce(F.try_element_at(table, x), x)), "")
-        text = F.when(text.rlike(several), spelled).otherwise(text)
+        cut = F.split(text, f"(?<={near})|(?={near})", -1)
+        spelled = F.array_join(F.transform(cut, lambda x: F.when(x.rlike(near), F.coalesce(F.try_element_at(table, x), x)).otherwise(x)), "")
+        text = F.when(text.rlike(near), spelled).otherwise(text)
     return F.regexp_replace(F.translate(text, marked, plain), r"[^\x00-\x7F]", "")
 
 
@@ -82,23 +94,31 @@ def strip_tag(s: Column) -> Column:
 
 def is_invalid_entity(s: Column) -> Column:
     """Empty, or by pattern, career (contained either way), institution or role no entity."""
-    t = normalize_text(s)
     careers = F.array(*[F.lit(c) for c in CAREERS])
-    return (
-        (t == "")
-        | t.rlike("|".join(INVALID_PATTERNS))
-        | F.exists(careers, lambda c: F.contains(t, c) | F.contains(c, t))
-        | t.rlike("|".join(INSTITUTIONS))
-        | t.rlike("^(?:" + "|".join(ROLES) + ")")
-    )
 
+    def judge(t: Column) -> Column:
+        return (
+            (t == "")
+            | t.rlike("|".join(INVALID_PATTERNS))
+            | F.exists(careers, lambda c: F.contains(t, c) | F.contains(c, t))
+            | t.rlike("|".join(INSTITUTIONS))
+            | t.rlike("^(?:" + "|".join(ROLES) + ")")
+        )
 
-def appears_in_text(entity: Column, normal_text: Column) -> Column:
-    """Is the entity, or each of its words of over three letters, in the normalised text?"""
-    e = normalize_text(strip_tag(F.coalesce(entity, F.lit(""))))
-    long = F.filter(F.split(e, " "), lambda w: F.char_length(w) > 3)
+    return F.transform(F.array(normalize_text(s)), judge)[0]  # a list of one, so that it is normalised once
+
+
+def is_supported(normal_entity: Column, normal_text: Column) -> Column:
+    """Is the normalised entity, or each of its words of over three letters, in the normalised text?"""
+    long = F.filter(F.split(normal_entity, " "), lambda w: F.char_length(w) > 3)
     every = (F.size(long) > 0) & F.forall(long, lambda w: F.contains(normal_text, w))
-    return (F.coalesce(entity, F.lit("")) != "") & (normal_text != "") & (F.contains(normal_text, e) | every)
+    return (normal_text != "") & (F.contains(normal_text, normal_entity) | every)
+
+
+def appears_in_text(entity: Column, normal_text: Column) -> Column:
+    """The same for an entity as it was found; an empty one is in no text."""
+    e = F.coalesce(entity, F.lit(""))
+    return (e != "") & is_supported(normalize_text(strip_tag(e)), normal_text)
 
 
 def name_words(s: Column) -> Column:

@@ -2,91 +2,150 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
+
+from cotejo.functions.text import evidence_key
+from cotejo.sources.scratch import cut_lineage
 
 #: A further distinct piece of evidence adds a tenth to a weight, here in units of 10^-4.
 BONUS, UNIT = 1000, 10_000
+ORDER = ("seq", "semana", "texto", "peso")
+
+
+def _evidence_rows(calls: DataFrame) -> DataFrame:
+    """Calls with one piece of evidence a row: ``e`` (null where a call has none), its place and its key.
+
+    A call has ``texto`` (one piece) or ``evidencias`` (a list of texts, structs or maps).
+    """
+    if "evidencias" not in calls.columns:
+        return calls.withColumn("e", F.col("texto")).withColumn("place", F.lit(0)).withColumn("ekey", F.col("texto"))
+    kind = calls.schema["evidencias"].dataType
+    assert isinstance(kind, ArrayType)
+    rows = calls.select("*", F.posexplode_outer("evidencias").alias("place", "e")).drop("evidencias")
+    return rows.withColumn("ekey", evidence_key(F.col("e"), kind.elementType))
 
 
-def teacher_profile(calls: DataFrame) -> DataFrame:
+def teacher_profile(calls: DataFrame, order: Sequence[str] | None = None) -> DataFrame:
     """Fold upsert calls into one row per teacher and node.
 
-    ``calls`` has docente_id, nodo_id, seq, semana, texto, peso, explicito, recencia, one
-    piece of evidence each. In order of arrival a call sets the weight to the larger of
-    old and new plus a tenth for every piece of evidence after the first known so far. So
-    the result is the largest, over calls j, of weight j plus all bonuses from j on; both
-    parts are window sums, and no state is folded row by row. All windows and the final
-    aggregation share one shuffle by teacher and node.
+    ``calls`` has docente_id, nodo_id, peso, explicito, recencia, evidence (see
+    ``_evidence_rows``) and the columns of ``order``, which tell the calls of a teacher and
+    node apart and give their order of arrival. A call sets the weight to the larger of old
+    and new plus a tenth for every piece of evidence after the first known so far; the
+    first call only sets it. So the result is the largest, over calls j, of weight j plus
+    all bonuses from j on; both parts are window sums, and no state is folded row by row.
+    All windows and the final aggregation share one shuffle by teacher and node.
     """
-    key, order = ["docente_id", "nodo_id"], ["seq", "semana", "texto", "peso"]
-    forth = Window.partitionBy(*key).orderBy(*order)
+    if order is None:
+        order = [c for c in ORDER if c in calls.columns]
+    key = ["docente_id", "nodo_id"]
+    call = Window.partitionBy(*key).orderBy(*order)
+    forth = Window.partitionBy(*key).orderBy(*order, "place")
+    back = Window.partitionBy(*key).orderBy(*[F.desc(c) for c in order], F.desc("place"))
     # an evidence counts from its first arrival on
-    first = F.row_number().over(Window.partitionBy(*key, "texto").orderBy(*order)) == 1
-    known = F.sum(F.col("fresh").cast("long")).over(forth.rowsBetween(Window.unboundedPreceding, 0))
-    back = Window.partitionBy(*key).orderBy(*[F.desc(c) for c in order])
-    rows = calls.repartition(*key).withColumn("fresh", first).withColumn("at", F.row_number().over(forth)).withColumn("known", known)
-    rows = rows.withColumn("later", F.sum(BONUS * (F.col("known") - 1)).over(back.rowsBetween(Window.unboundedPreceding, 0)))
-    reached = (F.col("peso") * UNIT).cast("long") + F.col("later")
-    seen = F.when(F.col("fresh"), F.struct("at", "texto"))
+    first = (F.row_number().over(Window.partitionBy(*key, "ekey").orderBy(*order, "place")) == 1) & F.col("e").isNotNull()
+    rows = _evidence_rows(calls).repartition(*key).withColumn("fresh", first)
+    rows = rows.withColumn("at", F.row_number().over(forth)).withColumn("call", F.dense_rank().over(call))
+    rows = rows.withColumn("known", F.sum(F.col("fresh").cast("long")).over(forth.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = F.coalesce(F.lead("call").over(forth) != F.col("call"), F.lit(True))  # the last row of a call
+    bonus = F.when(ends & (F.col("call") > 1), BONUS * F.greatest(F.col("known") - 1, F.lit(0))).otherwise(0)
+    rows = rows.withColumn("ends", ends).withColumn("bonus", bonus)
+    rows = rows.withColumn("later", F.sum("bonus").over(back.rowsBetween(Window.unboundedPreceding, 0)))
+    reached = F.when(F.col("ends"), (F.col("peso") * UNIT).cast("long") + F.col("later"))
+    seen = F.when(F.col("fresh"), F.struct("at", "e"))
     recent = F.when(F.coalesce("recencia", F.lit("")) != "", F.col("at"))
+    versions = [F.max_by("version", "at").alias("version")] if "version" in calls.columns else []
     return rows.groupBy(*key).agg(
         (F.max(reached) / UNIT).cast("decimal(18,4)").alias("peso"),
         F.bool_and("explicito").alias("explicito"),
         F.max_by("recencia", recent).alias("recencia"),
-        F.transform(F.array_sort(F.collect_list(seen)), lambda x: x["texto"]).alias("evidencias"),
+        _in_order(seen).alias("evidencias"),
+        *versions,
     )
 
 
-def course_profile(calls: DataFrame) -> DataFrame:
-    """One row per course and node: largest centrality, sorted weeks, evidence in order of arrival."""
+def _in_order(seen: Column) -> Column:
+    """Evidence by its place; places are unique and compared alone, as maps have no order."""
+    def by_place(a: Column, b: Column) -> Column:
+        return F.when(a["at"] < b["at"], -1).when(a["at"] > b["at"], 1).otherwise(0)
+
+    return F.transform(F.array_sort(F.collect_list(seen), by_place), lambda x: x["e"])
+
+
+def course_profile(calls: DataFrame, order: Sequence[str] | None = None) -> DataFrame:
+    """One row per course and node: largest centrality, sorted weeks, evidence in order of arrival.
+
+    A call has one week (``semana``) or several (``semanas``), and evidence and order as in
+    ``teacher_profile``.
+    """
+    if order is None:
+        order = [c for c in ORDER[:3] if c in calls.columns]
     key = ["curso_id", "nodo_id"]
-    per_text = calls.groupBy(*key, "texto").agg(F.min(F.struct("seq", "semana", "texto")).alias("first"), F.max("peso").alias("peso"), F.collect_set("semana").alias("weeks"))
+    weeks = F.array("semana") if "semanas" not in calls.columns else F.coalesce("semanas", F.array().cast(calls.schema["semanas"].dataType))
+    rows = _evidence_rows(calls.withColumn("__weeks", weeks))
+    arrival = F.struct(*order, "place")
+    per_text = rows.groupBy(*key, "ekey").agg(
+        F.min(arrival).alias("at"), F.min_by("e", arrival).alias("e"), F.max("peso").alias("peso"),
+        F.array_distinct(F.flatten(F.collect_set("__weeks"))).alias("weeks"),
+    )
+    seen = F.when(F.col("e").isNotNull(), F.struct("at", "e"))
     return per_text.groupBy(*key).agg(
         F.max("peso").alias("peso_centralidad"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("weeks")))).alias("semanas"),
-        F.transform(F.array_sort(F.collect_list("first")), lambda x: x["texto"]).alias("evidencias"),
+        _in_order(seen).alias("evidencias"),
     )
 
 
-def taxonomy_closure(nodes: DataFrame, depth: int = 16) -> DataFrame:
-    """Pairs of a node and an ancestor with their distance (0: itself), by joining level by level.
+def taxonomy_closure(nodes: DataFrame) -> DataFrame:
+    """Pairs of a node and an ancestor with their distance (0: itself), at any depth.
 
-    Stops at the first empty level; ``depth`` guards against cycles.
+    Paths are doubled: the pairs at less than 2^k steps and those at exactly 2^k give the
+    pairs at less than 2^(k+1), so a chain of n nodes takes log2(n) rounds, each written and
+    read on. A cycle is an error.
     """
-    parents = nodes.select(F.col("id").alias("parent"), F.col("parent_id").alias("above"))
-    level = nodes.select(F.col("id").alias("descendant"), F.col("id").alias("ancestor"), F.lit(0).alias("distance"))
-    out = level
-    for d in range(1, depth + 1):
-        level = level.join(parents, level["ancestor"] == parents["parent"]).filter("above is not null").select(
-            "descendant", F.col("above").alias("ancestor"), F.lit(d).alias("distance")
-        )
-        if level.isEmpty():
-            break
-        out = out.unionByName(level)
-    return out
-
-
-#: Deepest level of a taxonomy file.
-MAX_DEPTH = 8
-
-
-def taxonomy_schema(depth: int = MAX_DEPTH) -> str:
-    """Type of a node of a taxonomy file with children down to ``depth`` levels."""
-    own = "id string, name string, type string, aliases array<string>, domain string"
-    return f"struct<{own.replace(' string', ':string').replace(' array', ':array')}" + (f",children:array<{taxonomy_schema(depth - 1)}>>" if depth > 1 else ">")
-
-
-def flatten_taxonomy(roots: DataFrame, column: str = "roots", depth: int = MAX_DEPTH) -> DataFrame:
-    """Rows id, parent_id, name, node_type, aliases, domain from nested nodes, level by level."""
-    level = roots.select(F.explode(column).alias("n"), F.lit(None).cast("string").alias("parent_id"))
+    base = cut_lineage(nodes.select("id", "parent_id"))
+    near = base.select(F.col("id").alias("descendant"), F.col("id").alias("ancestor"), F.lit(0).alias("distance"))
+    ahead = base.join(base.select(F.col("id").alias("parent_id")), "parent_id", "left_semi").select(F.col("id").alias("descendant"), F.col("parent_id").alias("ancestor"))
+    strays = base.filter("parent_id is not null").join(base.select(F.col("id").alias("parent_id")), "parent_id", "left_anti")
+    total, step = base.count(), 1
+    while not ahead.isEmpty():
+        if step > total:
+            raise ValueError("the taxonomy has a cycle")
+        via = ahead.select("descendant", F.col("ancestor").alias("via"))
+        up = near.select(F.col("descendant").alias("via"), "ancestor", (F.col("distance") + step).alias("distance"))
+        near = cut_lineage(near.unionByName(via.join(up, "via").select("descendant", "ancestor", "distance")))
+        ahead = cut_lineage(via.join(ahead.select(F.col("descendant").alias("via"), "ancestor"), "via").select("descendant", "ancestor"))
+        step *= 2
+    # a parent that is no node itself is an ancestor still
+    above = strays.select(F.col("id").alias("ancestor"), F.col("parent_id").alias("stray"))
+    lost = near.join(above, "ancestor").select("descendant", F.col("stray").alias("ancestor"), (F.col("distance") + 1).alias("distance"))
+    return near.unionByName(lost)
+
+
+#: A node of a taxonomy file; its children stay JSON until their level is reached.
+NODE = "struct<id:string,name:string,type:string,aliases:array<string>,domain:string,children:string>"
+
+
+def flatten_taxonomy(roots: DataFrame, column: str = "roots") -> DataFrame:
+    """Rows id, parent_id, name, node_type, aliases, domain from nested nodes (JSON), of any depth.
+
+    ``visit`` orders the rows as a walk through the tree meets them. One level is parsed a
+    round; levels are written and read on, so a deep file is not parsed anew for each.
+    """
+    level = roots.select(F.col(column).alias("children"), F.lit(None).cast("string").alias("parent_id"), F.array().cast("array<int>").alias("visit"))
     out = None
-    for d in range(depth):
+    while True:
+        nodes = level.select("parent_id", "visit", F.posexplode(F.from_json("children", f"array<{NODE}>")).alias("at", "n"))
+        level = cut_lineage(nodes.select("parent_id", F.concat("visit", F.array("at")).alias("visit"), "n"))
         rows = level.select(
             "n.id", "parent_id", "n.name", F.coalesce("n.type", F.lit("leaf")).alias("node_type"),
-            F.coalesce("n.aliases", F.array().cast("array<string>")).alias("aliases"), "n.domain",
+            F.coalesce("n.aliases", F.array().cast("array<string>")).alias("aliases"), "n.domain", "visit",
         )
         out = rows if out is None else out.unionByName(rows)
-        if d + 1 < depth:
-            level = level.select(F.col("n.id").alias("parent_id"), F.explode("n.children").alias("n")).select("n", "parent_id")
-    return out
+        level = level.filter("n.children is not null").select("n.children", F.col("n.id").alias("parent_id"), "visit")
+        if level.isEmpty():
+            return out

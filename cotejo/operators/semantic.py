@@ -2,35 +2,55 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Most concept vectors that become a literal of the plan.
-MAX_CONCEPTS = 1000
+from cotejo.sources.scratch import cut_lineage
+
+#: Concept vectors in a block, which is one value of a row.
+CONCEPTS = 1000
+
+
+def _dot(x: Column, y: Column) -> Column:
+    return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
 
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two vectors in double precision; null if one is null or zero."""
-    def dot(x: Column, y: Column) -> Column:
-        return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+    norm = F.sqrt(_dot(a, a)) * F.sqrt(_dot(b, b))
+    return _dot(a, b) / F.when(norm != 0, norm)
+
+
+def _nearest(vector: Column, concepts: Column) -> Column:
+    """The largest cosine of a vector to the concepts (structs v, norm); its own norm is computed once."""
+    def over(own: Column) -> Column:
+        norm = lambda c: own * c["norm"]
+        return F.array_max(F.transform(concepts, lambda c: _dot(vector, c["v"]) / F.when(norm(c) != 0, norm(c))))
 
-    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return dot(a, b) / F.when(norm != 0, norm)
+    return F.transform(F.array(F.sqrt(_dot(vector, vector))), over)[0]
 
 
 def drop_near_concepts(entities: DataFrame, concepts: DataFrame, threshold: float = 0.72, vector: str = "embedding") -> DataFrame:
-    """Entities whose largest cosine to a concept is below the threshold; adds ``kept``.
+    """Adds ``kept``: the largest cosine to a concept is below the threshold.
 
-    An entity without a vector, and any entity when there are no concepts, is kept. The
-    concepts are a short fixed list; more than ``MAX_CONCEPTS`` are refused.
+    An entity without a vector, and any entity when there are no concepts, is kept. Up to
+    ``CONCEPTS`` concepts are one value of the plan (a sub-query of one row). More of them
+    go in blocks of that size, and the nearest of each block is combined map-side.
     """
-    rows = concepts.select(vector).filter(F.col(vector).isNotNull()).limit(MAX_CONCEPTS + 1).collect()
-    if len(rows) > MAX_CONCEPTS:
-        raise ValueError(f"more than {MAX_CONCEPTS} concepts")
-    if not rows:
-        return entities.withColumn("kept", F.lit(True))
-    nearest = F.greatest(F.lit(-1.0), *[cosine(F.col(vector), F.array(*[F.lit(float(v)) for v in r[0]])) for r in rows])
-    return entities.withColumn("kept", F.coalesce(nearest < threshold, F.lit(True)))
+    unit = F.struct(F.col(vector).alias("v"), F.sqrt(_dot(F.col(vector), F.col(vector))).alias("norm"))
+    known = concepts.filter(F.col(vector).isNotNull())
+    n = known.count()
+    if n <= CONCEPTS:
+        all_ = known.agg(F.collect_list(unit).alias("all")).scalar()
+        rows = entities.withColumn("__all", all_)
+        return rows.withColumn("kept", F.coalesce(_nearest(F.col(vector), F.col("__all")) < threshold, F.lit(True))).drop("__all")
+    block = F.pmod(F.xxhash64(vector), F.lit(-(-n // CONCEPTS)))
+    blocks = known.groupBy(block.alias("b")).agg(F.collect_list(unit).alias("some")).select("some")
+    rows = cut_lineage(entities.withColumn("__row", F.monotonically_increasing_id()))
+    near = rows.select("__row", vector).filter(F.col(vector).isNotNull()).join(blocks).groupBy("__row").agg(F.max(_nearest(F.col(vector), F.col("some"))).alias("__near"))
+    return rows.join(near, "__row", "left").withColumn("kept", F.coalesce(F.col("__near") < threshold, F.lit(True))).drop("__row", "__near")
 
 
 def sentences(text: Column, longer_than: int = 15) -> Column:
@@ -39,12 +59,12 @@ def sentences(text: Column, longer_than: int = 15) -> Column:
     return F.filter(parts, lambda s: F.char_length(s) > longer_than)
 
 
-def supported(entities: DataFrame, sentence_vectors: DataFrame, key: str = "doc_id", threshold: float = 0.72) -> DataFrame:
+def supported(entities: DataFrame, sentence_vectors: DataFrame, key: str = "doc_id", threshold: float = 0.72, own: Sequence[str] = ("pos",)) -> DataFrame:
     """Adds ``supported``: some sentence of the entity's document is near it.
 
-    Both sides have ``embedding``. An entity without a vector or sentences is supported.
-    The nearest sentence is aggregated map-side per entity (key, pos).
+    Both sides have ``embedding``; ``key`` and ``own`` tell entities apart. An entity without
+    a vector or sentences is supported. The nearest sentence is aggregated map-side per entity.
     """
     s = sentence_vectors.select(key, F.col("embedding").alias("other"))
-    near = entities.join(s, key).groupBy(key, "pos").agg(F.max(cosine(F.col("embedding"), F.col("other"))).alias("nearest"))
-    return entities.join(near, [key, "pos"], "left").withColumn("supported", F.coalesce(F.col("nearest") >= threshold, F.lit(True))).drop("nearest")
+    near = entities.join(s, key).groupBy(key, *own).agg(F.max(cosine(F.col("embedding"), F.col("other"))).alias("nearest"))
+    return entities.join(near, [key, *own], "left").withColumn("supported", F.coalesce(F.col("nearest") >= threshold, F.lit(True))).drop("nearest")

@@ -17,19 +17,35 @@ def append(old: DataFrame, new: DataFrame, owner: str = DEFAULT_OWNER) -> DataFr
     return old.unionByName(new.withColumn("propietario_email", F.coalesce("propietario_email", F.lit(owner))).select(*old.columns))
 
 
-def upsert_history(calls: DataFrame) -> DataFrame:
-    """Per teacher and course the period of the last call (ties: the larger)."""
-    last = F.max(F.struct("seq", "periodo"))
-    return calls.groupBy("nombre_docente", "nombre_curso").agg(last.alias("x")).select("nombre_docente", "nombre_curso", F.col("x.periodo").alias("ultima_vez"))
+def upsert_history(calls: DataFrame, old: DataFrame | None = None, per_owner: bool = False) -> DataFrame:
+    """Per teacher and course the period of the last call (ties: the larger).
 
-
-def upsert(old: DataFrame, new: DataFrame, key: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    Calls (and old rows) with a ``propietario_email`` keep the owner of the first insert, an
+    old row's before any call's; with ``per_owner`` the owner is part of the key instead.
+    """
+    owned = "propietario_email" in calls.columns
+    key = ["nombre_docente", "nombre_curso"] + (["propietario_email"] if per_owner else [])
+    columns = ["nombre_docente", "nombre_curso", "periodo", *(["propietario_email"] if owned else [])]
+    rows = calls.select(*columns, F.col("seq"), F.lit(True).alias("called"))
+    if old is not None:
+        before = old.withColumnRenamed("ultima_vez", "periodo").select(*columns, F.lit(0).cast(calls.schema["seq"].dataType).alias("seq"), F.lit(False).alias("called"))
+        rows = before.unionByName(rows)
+    last = [F.max(F.struct("called", "seq", "periodo")).alias("x")]
+    if owned and not per_owner:
+        last.append(F.min(F.struct("called", "seq", "propietario_email")).alias("y"))
+    owner = [] if not owned else ["propietario_email"] if per_owner else ["y.propietario_email"]
+    return rows.groupBy(*key).agg(*last).select("nombre_docente", "nombre_curso", F.col("x.periodo").alias("ultima_vez"), *owner)
+
+
+def upsert(old: DataFrame, new: DataFrame, key: str, keep: tuple[str, ...] = (), order: str | None = None) -> DataFrame:
     """New rows replace old ones of the same key; others are added; none is removed.
 
-    Columns in ``keep`` stay as they were. Repeated new keys: the greatest row wins.
+    Columns in ``keep`` stay as they were. Of repeated new keys the last by the column
+    ``order`` wins (ties, or without an order: the greatest row).
     """
     others = [c for c in old.columns if c != key]
-    fresh = new.groupBy(key).agg(F.max(F.struct(*[c for c in others])).alias("n"))
+    rank = [F.col(order).alias("__order")] if order else []
+    fresh = new.groupBy(key).agg(F.max(F.struct(*rank, *others)).alias("n"))
     joined = old.withColumn("__old", F.lit(True)).join(fresh, key, "full")
 
     def value(c: str) -> Column:
@@ -127,10 +143,24 @@ def distinct_cycles(courses: DataFrame) -> DataFrame:
     return courses.select("ciclo").distinct().orderBy(F.asc_nulls_last("ciclo"))
 
 
+def cycle_of(courses: DataFrame) -> DataFrame:
+    """Adds ``grupo``: the cycle of a course, where a missing one or 0 is 1."""
+    return courses.withColumn("grupo", F.coalesce(F.nullif(F.col("ciclo"), F.lit(0)), F.lit(1)))
+
+
 def courses_by_cycle(courses: DataFrame) -> DataFrame:
-    """Cycle (a missing one or 0 is 1) with its number of courses and their sorted ids."""
-    cycle = F.coalesce(F.nullif(F.col("ciclo"), F.lit(0)), F.lit(1))
-    return courses.groupBy(cycle.alias("ciclo")).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("id")).alias("ids"))
+    """One row per course, in the order of its group: ``grupo``, ``n`` (courses of the group), ``id``.
+
+    Groups are counted map-side and joined back, so a cycle of very many courses is no single row.
+    """
+    grouped = cycle_of(courses).select("grupo", "id")
+    sizes = grouped.groupBy("grupo").agg(F.count(F.lit(1)).alias("n"))
+    return grouped.join(sizes, "grupo").select("grupo", "n", "id").orderBy("grupo", "id")
+
+
+def course_lists(courses: DataFrame) -> DataFrame:
+    """The groups as the list of a page shows them: ``ciclo``, ``n`` and all sorted ids."""
+    return cycle_of(courses).groupBy(F.col("grupo").alias("ciclo")).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("id")).alias("ids"))
 
 
 def erase(tables: dict[str, tuple[DataFrame, str]], gone: DataFrame, key: str = "id") -> dict[str, DataFrame]:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +12,7 @@ from cotejo.operators import entities, filters, matching, names, profiles, seman
 from cotejo.plans import ranking as plan
 from cotejo.sources import files
 from cotejo.sources.fixtures import Tables, with_views
+from cotejo.sources.scratch import new_folder
 from cotejo.streaming import feeds
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,15 +30,9 @@ def query(sql: str | None = None):
     return register
 
 
-def work_folder(spark: SparkSession) -> str:
-    """A new folder in the shared one of ``spark.checkpoint.dir`` (a local one where unset)."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{shared}/cotejo-{uuid.uuid4().hex}"
-
-
 def at(df: DataFrame, column: str):
-    """The time that counts as now: the largest of a column, as a literal."""
-    return F.lit(df.agg(F.max(column)).first()[0])
+    """The time that counts as now: the largest of a column, as a sub-query of one row."""
+    return df.agg(F.max(column)).scalar()
 
 
 # --- sources and sinks
@@ -49,6 +42,12 @@ def file_scan(t: Tables) -> DataFrame:
     return files.only_types(t.archivos, ["application/pdf", "text/html"]).select("id", "carpeta_raiz", "subcarpeta", "name", "mime_type", "size")
 
 
+@query("""SELECT id, carpeta_raiz, CAST(row_number() OVER (PARTITION BY carpeta_raiz ORDER BY subcarpeta <> '', subcarpeta, name, id) AS INT) AS place FROM {archivos} WHERE mime_type <> 'text/plain'""")
+def file_tree(t: Tables) -> DataFrame:
+    """The recursive scan of every root folder, in its order."""
+    return files.file_tree(t.archivos, ["application/pdf", "text/html"]).select("id", "carpeta_raiz", "place")
+
+
 @query("""SELECT DISTINCT carpeta_raiz AS name FROM {archivos} WHERE carpeta_raiz <> '' ORDER BY name LIMIT 100""")
 def folder_list(t: Tables) -> DataFrame:
     return files.folders(t.archivos)
@@ -83,8 +82,8 @@ def taxonomy_flatten(t: Tables) -> DataFrame:
     )
     roots = t.nodos.filter("node_type = 'root'").join(nested, "id", "left")
     text = F.to_json(F.struct(F.array(F.struct("id", "name", F.col("node_type").alias("type"), "children")).alias("roots")))
-    parsed = roots.select(F.from_json(text, f"roots array<{profiles.taxonomy_schema(4)}>").alias("j")).select("j.roots")
-    return profiles.flatten_taxonomy(parsed, depth=4).select("id", "parent_id", "name", "node_type")
+    parsed = roots.select(F.from_json(text, "roots string").alias("j")).select("j.roots")
+    return profiles.flatten_taxonomy(parsed).select("id", "parent_id", "name", "node_type")
 
 
 RANKED = """
@@ -110,13 +109,27 @@ def ranked(t: Tables) -> DataFrame:
 
 @query(f"""WITH {RANKED}, {FRESH},
     pick AS (SELECT f.*, row_number() OVER (PARTITION BY curso_id ORDER BY score_combinado DESC, f.id) AS r FROM fresh f JOIN hits USING (curso_id) WHERE hit),
-    both_ AS (SELECT curso_id, docente_id, r AS rank, floor(score_combinado * 100 + 0.5) / 100 AS score, true AS from_cache FROM pick WHERE r <= 2
-              UNION ALL SELECT curso_id, docente_id, rank, score, false FROM ranking WHERE rank <= 2 AND curso_id IN (SELECT id FROM {{cursos}}) AND curso_id NOT IN (SELECT curso_id FROM hits WHERE hit))
+    both_ AS (SELECT curso_id, docente_id, r AS rank, floor(score_combinado * 100 + 0.5) / 100 AS score, true AS from_cache FROM pick WHERE r <= 10
+              UNION ALL SELECT curso_id, docente_id, rank, score, false FROM ranking WHERE curso_id IN (SELECT id FROM {{cursos}}) AND curso_id NOT IN (SELECT curso_id FROM hits WHERE hit))
     SELECT k.nombre AS curso, d.nombre AS docente, CAST(rank AS INT) AS rank, floor(score * 100 + 0.5) / 100 AS score, from_cache
     FROM both_ JOIN {{docentes}} d ON d.id = docente_id JOIN {{cursos}} k ON k.id = curso_id""")
 def export_rankings(t: Tables) -> DataFrame:
     cache = t.recomendaciones_cache
-    return plan.export(cache, t.docentes, t.cursos, t.docente_nodos, t.curso_nodos, at(cache, "fecha_generada"), k=2)
+    return plan.export(cache, t.docentes, t.cursos, t.docente_nodos, t.curso_nodos, at(cache, "fecha_generada"), least=2)
+
+
+@query(f"""WITH {RANKED}, {FRESH},
+    pick AS (SELECT f.*, row_number() OVER (PARTITION BY curso_id ORDER BY score_combinado DESC, f.id) AS r FROM fresh f JOIN hits USING (curso_id) WHERE hit),
+    served AS (SELECT curso_id, docente_id, CAST(r AS INT) AS rank, floor(score_combinado * 100 + 0.5) / 100 AS score, true AS from_cache FROM pick
+              WHERE r <= 10 AND docente_id IN (SELECT id FROM {{docentes}})),
+    both_ AS (SELECT * FROM served UNION ALL SELECT curso_id, docente_id, rank, score, false FROM ranking WHERE curso_id IN (SELECT id FROM {{cursos}}) AND curso_id NOT IN (SELECT curso_id FROM hits WHERE hit)),
+    best AS (SELECT curso_id, arg_min(score, rank) AS winner FROM both_ GROUP BY curso_id)
+    SELECT curso_id, docente_id, rank, score, from_cache, CASE WHEN winner > 0 THEN floor(score / winner * 100 * 100 + 0.5) / 100 ELSE 0.0 END AS score_relativo FROM both_ JOIN best USING (curso_id)""")
+def recommend_all(t: Tables) -> DataFrame:
+    """The whole ranking job: served and computed rows with their relative scores."""
+    cache = t.recomendaciones_cache
+    out = plan.recommend(cache, t.docentes, t.cursos, t.docente_nodos, t.curso_nodos, at(cache, "fecha_generada"), least=2)
+    return out.rows.select("curso_id", "docente_id", "rank", "score", "from_cache", "score_relativo")
 
 
 @query("""SELECT id, substring(replace(coalesce(nombre, 'curso'), ' ', '_'), 1, 30) AS slug FROM {cursos}""")
@@ -214,7 +227,7 @@ def cache_hits(t: Tables) -> DataFrame:
 @query("""SELECT curso_id, docente_id, nombre, grado, floor(score_combinado * 100 + 0.5) / 100 AS score_combinado, CAST(r AS INT) AS rank, true AS from_cache
     FROM (SELECT *, row_number() OVER (PARTITION BY curso_id ORDER BY score_combinado DESC, id) AS r FROM {recomendaciones_cache}) c JOIN {docentes} d ON d.id = c.docente_id WHERE r <= 10""")
 def cached_ranking(t: Tables) -> DataFrame:
-    return matching.cached_ranking(t.recomendaciones_cache, t.docentes)
+    return matching.cached_ranking(t.recomendaciones_cache, t.docentes).drop("text")
 
 
 @query(f"""WITH {FRESH} SELECT id, nombre FROM {{cursos}} WHERE id NOT IN (SELECT curso_id FROM hits WHERE hit)""")
@@ -252,26 +265,27 @@ def profile_preview(t: Tables) -> DataFrame:
     return lists.select("docente_id", F.array_join(shown, "|").alias("shown"), more.alias("more"))
 
 
-NAMES = """
+def _name_pairs(people: str) -> str:
+    """SQL of the scores of all pairs of names, for the teachers for which a condition holds."""
+    return f"""
     words AS (SELECT n, list_filter(string_split(trim(regexp_replace(upper(strip_accents(n)), '[^A-Z0-9]+', ' ', 'g')), ' '), lambda x: x <> '') AS w
-              FROM (SELECT DISTINCT nombre_docente AS n FROM {historial_cargas} UNION SELECT DISTINCT upper(trim(nombre)) FROM {docentes} WHERE id % 3 <> 0)),
+              FROM (SELECT DISTINCT nombre_docente AS n FROM {{historial_cargas}} UNION SELECT DISTINCT upper(trim(nombre)) FROM {{docentes}} WHERE {people})),
     pairs AS (SELECT a.n AS a, b.n AS b, CASE WHEN len(a.w) <= len(b.w) THEN len(list_filter(a.w, lambda x: list_contains(b.w, x))) / greatest(len(a.w), 1)
                      ELSE len(list_filter(b.w, lambda x: list_contains(a.w, x))) / greatest(len(b.w), 1) END AS score
-              FROM words a, words b WHERE a.n IN (SELECT nombre_docente FROM {historial_cargas}) AND b.n IN (SELECT upper(trim(nombre)) FROM {docentes} WHERE id % 3 <> 0))
-"""
+              FROM words a, words b WHERE a.n IN (SELECT nombre_docente FROM {{historial_cargas}}) AND b.n IN (SELECT upper(trim(nombre)) FROM {{docentes}} WHERE {people}))"""
 
 
 def active(t: Tables) -> DataFrame:
-    """Two of three teachers are active in these queries, so that some history has none."""
+    """Two of three teachers are active in this query, so that some history has none."""
     return t.docentes.filter("id % 3 <> 0")
 
 
-@query(f"""WITH {NAMES} SELECT a, b, score FROM pairs WHERE score >= 0.8""")
+@query(f"""WITH {_name_pairs("true")} SELECT a, b, score FROM pairs WHERE score >= 0.8""")
 def name_match(t: Tables) -> DataFrame:
-    return names.similar_names(t.historial_cargas.select("nombre_docente"), active(t).select(F.upper(F.trim("nombre")).alias("nombre")))
+    return names.similar_names(t.historial_cargas.select("nombre_docente"), t.docentes.select(F.upper(F.trim("nombre")).alias("nombre")))
 
 
-@query(f"""WITH {NAMES} SELECT nombre_docente, nombre_curso, seq, periodo FROM {{historial_cargas}} WHERE nombre_docente NOT IN (SELECT a FROM pairs WHERE score >= 0.8)""")
+@query(f"""WITH {_name_pairs("id % 3 <> 0")} SELECT nombre_docente, nombre_curso, seq, periodo FROM {{historial_cargas}} WHERE nombre_docente NOT IN (SELECT a FROM pairs WHERE score >= 0.8)""")
 def orphan_history(t: Tables) -> DataFrame:
     return names.without_teacher(t.historial_cargas, active(t))
 
@@ -357,7 +371,12 @@ def distinct_cycles(t: Tables) -> DataFrame:
 
 @query("""SELECT coalesce(nullif(ciclo, 0), 1) AS ciclo, count(*) AS n, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS ids FROM {cursos} GROUP BY 1""")
 def courses_grouped(t: Tables) -> DataFrame:
-    return tables.courses_by_cycle(t.cursos).select("ciclo", "n", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
+    return tables.course_lists(t.cursos).select("ciclo", "n", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
+
+
+@query("""SELECT coalesce(nullif(ciclo, 0), 1) AS grupo, count(*) OVER (PARTITION BY coalesce(nullif(ciclo, 0), 1)) AS n, id FROM {cursos}""")
+def courses_by_group(t: Tables) -> DataFrame:
+    return tables.courses_by_cycle(t.cursos)
 
 
 @query("""WITH e AS (SELECT *, row_number() OVER (PARTITION BY docente_id, nodo_id ORDER BY seq, semana, texto, peso) AS i,
@@ -380,6 +399,45 @@ def course_profile(t: Tables) -> DataFrame:
     return p.select("curso_id", "nodo_id", "peso_centralidad", F.array_join("evidencias", "|").alias("evidencias"), F.array_join(F.col("semanas").cast("array<string>"), ",").alias("semanas"))
 
 
+CALLS = """calls AS (SELECT {who}, nodo_id, seq, max(peso) AS peso, bool_and(explicito) AS explicito, max(recencia) AS recencia FROM {{evidencias}} GROUP BY {who}, nodo_id, seq),
+    e AS (SELECT *, row_number() OVER (PARTITION BY {who}, nodo_id ORDER BY seq, texto) AS i, row_number() OVER (PARTITION BY {who}, nodo_id, texto ORDER BY seq, texto) = 1 AS fresh
+          FROM (SELECT DISTINCT {who}, nodo_id, seq, texto FROM {{evidencias}}))"""
+
+
+def grouped_calls(t: Tables, who: str) -> DataFrame:
+    """Calls with all evidence (maps) and weeks of one order in lists."""
+    evidence = F.array_sort(F.collect_set("texto"))
+    return t.evidencias.groupBy(who, "nodo_id", "seq").agg(
+        F.max("peso").alias("peso"), F.bool_and("explicito").alias("explicito"), F.max("recencia").alias("recencia"), F.collect_list("semana").alias("semanas"),
+        F.transform(evidence, lambda x: F.create_map(F.lit("texto"), x, F.lit("tipo"), F.substring(x, 1, 1))).alias("evidencias"),
+    )
+
+
+@query(f"""WITH {CALLS.format(who="docente_id")},
+    k AS (SELECT docente_id, nodo_id, seq, max(known) AS known FROM (SELECT *, sum(CAST(fresh AS INT)) OVER (PARTITION BY docente_id, nodo_id ORDER BY i) AS known FROM e) GROUP BY docente_id, nodo_id, seq),
+    b AS (SELECT c.*, CASE WHEN row_number() OVER (PARTITION BY docente_id, nodo_id ORDER BY seq) = 1 THEN 0 ELSE 1000 * (known - 1) END AS bonus FROM calls c JOIN k USING (docente_id, nodo_id, seq)),
+    l AS (SELECT *, sum(bonus) OVER (PARTITION BY docente_id, nodo_id ORDER BY seq DESC) AS later FROM b),
+    x AS (SELECT docente_id, nodo_id, string_agg(texto, '|' ORDER BY i) AS evidencias FROM e WHERE fresh GROUP BY docente_id, nodo_id)
+    SELECT l.docente_id, l.nodo_id, CAST(CAST(max(peso * 10000 + later) AS DOUBLE) / 10000 AS DECIMAL(18,4)) AS peso, bool_and(explicito) AS explicito,
+           arg_max(recencia, seq) FILTER (recencia <> '') AS recencia, any_value(evidencias) AS evidencias FROM l JOIN x ON x.docente_id = l.docente_id AND x.nodo_id = l.nodo_id GROUP BY l.docente_id, l.nodo_id""")
+def teacher_profile_lists(t: Tables) -> DataFrame:
+    """Calls of several pieces of evidence, each a free map."""
+    p = profiles.teacher_profile(grouped_calls(t, "docente_id"))
+    return p.withColumn("evidencias", F.array_join(F.transform("evidencias", lambda x: x["texto"]), "|"))
+
+
+@query(f"""WITH {CALLS.format(who="curso_id")},
+    x AS (SELECT curso_id, nodo_id, string_agg(texto, '|' ORDER BY i) AS evidencias FROM e WHERE fresh GROUP BY curso_id, nodo_id),
+    s AS (SELECT curso_id, nodo_id, string_agg(CAST(semana AS VARCHAR), ',' ORDER BY semana) AS semanas FROM (SELECT DISTINCT curso_id, nodo_id, semana FROM {{evidencias}}) GROUP BY curso_id, nodo_id)
+    SELECT c.curso_id, c.nodo_id, max(peso) AS peso_centralidad, any_value(evidencias) AS evidencias, any_value(semanas) AS semanas
+    FROM calls c JOIN x ON x.curso_id = c.curso_id AND x.nodo_id = c.nodo_id JOIN s ON s.curso_id = c.curso_id AND s.nodo_id = c.nodo_id GROUP BY c.curso_id, c.nodo_id""")
+def course_profile_lists(t: Tables) -> DataFrame:
+    """Calls of several weeks and pieces of evidence."""
+    p = profiles.course_profile(grouped_calls(t, "curso_id"))
+    texts = F.array_join(F.transform("evidencias", lambda x: x["texto"]), "|")
+    return p.select("curso_id", "nodo_id", "peso_centralidad", texts.alias("evidencias"), F.array_join(F.col("semanas").cast("array<string>"), ",").alias("semanas"))
+
+
 @query("""SELECT carpeta_raiz, count(*) AS files_found, count(*) FILTER (size > 2000) AS processed, count(*) FILTER (size > 2000) / count(*) AS progress FROM {archivos} GROUP BY carpeta_raiz""")
 def scan_summary(t: Tables) -> DataFrame:
     return files.scan_summary(t.archivos, F.col("size") > 2000)
@@ -401,6 +459,13 @@ def history_upsert(t: Tables) -> DataFrame:
     return tables.upsert_history(t.historial_cargas)
 
 
+@query("""SELECT nombre_docente, nombre_curso, arg_max(periodo, (seq, periodo)) AS ultima_vez, arg_min(concat('tenant', seq % 5), (seq, concat('tenant', seq % 5))) AS propietario_email
+    FROM {historial_cargas} GROUP BY nombre_docente, nombre_curso""")
+def history_owners(t: Tables) -> DataFrame:
+    """The owner is that of the first call, the period that of the last."""
+    return tables.upsert_history(t.historial_cargas.withColumn("propietario_email", F.concat(F.lit("tenant"), (F.col("seq") % 5).cast("string"))))
+
+
 @query("""SELECT coalesce(o.id, n.id) AS id, CASE WHEN n.id IS NULL THEN o.parent_id ELSE n.parent_id END AS parent_id, CASE WHEN n.id IS NULL THEN o.name ELSE n.name END AS name, CASE WHEN n.id IS NULL THEN o.node_type ELSE n.node_type END AS node_type
     FROM (SELECT * FROM {nodos} WHERE node_type <> 'branch') o FULL JOIN (SELECT id, parent_id, upper(name) AS name, node_type FROM {nodos} WHERE node_type <> 'root') n ON o.id = n.id""")
 def taxonomy_upsert(t: Tables) -> DataFrame:
@@ -426,7 +491,7 @@ def invalidate(t: Tables) -> DataFrame:
 def replace_cache(t: Tables) -> DataFrame:
     """Courses of the second cycle get new rankings."""
     wanted = filters.by_cycle(t.cursos, 2).select(F.col("id").alias("curso_id"))
-    new = ranked(t).join(wanted, "curso_id", "left_semi")
+    new = matching.rank(t.docente_nodos, t.curso_nodos.join(wanted, "curso_id", "left_semi"))
     new = new.select("curso_id", "docente_id", F.col("score").alias("score_combinado"), F.lit(matching.CACHE_VERSION).alias("version_algoritmo"))
     return tables.replace_cache(t.recomendaciones_cache.select(*new.columns), new)
 
@@ -514,6 +579,32 @@ def clean_entities(t: Tables) -> DataFrame:
     return entities.clean_entities(t.entidades_crudas, t.documents).select("doc_id", F.array_join("entidades", "|").alias("entidades"))
 
 
+COSINE = """list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: CAST(x[1] AS DOUBLE) * x[2]))
+    / (sqrt(list_sum(list_transform(a.embedding, lambda x: CAST(x AS DOUBLE) * x))) * sqrt(list_sum(list_transform(b.embedding, lambda x: CAST(x AS DOUBLE) * x))))"""
+
+
+@query(rf"""WITH e AS (SELECT doc_id, pos, regexp_replace(entidad, '^\s+|\s+$', '', 'g') AS entidad, (doc_id * 16 + pos) % (SELECT count(*) FROM {{embeddings}}) AS vec_id FROM {{entidades_crudas}}),
+    u AS (SELECT *, {norm(strip('entidad'))} AS s, {norm('entidad')} AS n FROM e WHERE entidad <> ''),
+    f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, s ORDER BY pos, entidad) AS r FROM u WHERE s <> ''),
+    g AS (SELECT f.*, normal, entidad <> '' AND {SUPPORT} AS word FROM f JOIN (SELECT doc_id, {norm('text')} AS normal FROM {{documents}}) d USING (doc_id) WHERE r = 1 AND NOT {INVALID}),
+    used AS (SELECT DISTINCT vec_id FROM g),
+    near AS (SELECT a.vec_id, max({COSINE}) AS c FROM {{embeddings}} a JOIN used USING (vec_id), {{embeddings}} b WHERE b.vec_id < 8 GROUP BY a.vec_id),
+    sent AS (SELECT a.vec_id, b.label AS part, max({COSINE}) AS c FROM {{embeddings}} a JOIN used USING (vec_id), {{embeddings}} b WHERE b.vec_id >= 8 AND b.label < 5 GROUP BY a.vec_id, b.label),
+    v AS (SELECT g.* FROM g LEFT JOIN near ON near.vec_id = g.vec_id LEFT JOIN sent ON sent.vec_id = g.vec_id AND sent.part = g.doc_id % 10
+          WHERE coalesce(near.c < 0.3, true) AND (word OR (normal <> '' AND coalesce(sent.c >= 0.3, true)))),
+    k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos, entidad) AS i FROM v)
+    SELECT d.doc_id, coalesce(x.entidades, '[No declarado]') AS entidades FROM {{documents}} d
+    LEFT JOIN (SELECT doc_id, string_agg(entidad, '|' ORDER BY i) AS entidades FROM k WHERE i <= 6 GROUP BY doc_id) x USING (doc_id)""")
+def clean_entities_vectors(t: Tables) -> DataFrame:
+    """With all stages: vectors stand for entities, concepts (the first eight) and the sentences of documents (by label)."""
+    n = t.embeddings.agg(F.count(F.lit(1))).scalar()
+    known = t.entidades_crudas.withColumn("vec_id", (F.col("doc_id") * 16 + F.col("pos")) % n).join(t.embeddings.select("vec_id", "embedding"), "vec_id", "left")
+    sentences = t.embeddings.filter("vec_id >= 8 AND label < 5").select(F.col("label").cast("long").alias("part"), "embedding")
+    of_documents = t.documents.select("doc_id", (F.col("doc_id") % 10).alias("part")).join(sentences, "part").select("doc_id", "embedding")
+    out = entities.clean_entities(known, t.documents, concepts=t.embeddings.filter("vec_id < 8"), sentence_vectors=of_documents, threshold=0.3)
+    return out.select("doc_id", F.array_join("entidades", "|").alias("entidades"))
+
+
 LABELS = {"click": "Clic", "view": "Vista", "purchase": "Compra", "signup": "Alta"}
 
 
@@ -555,29 +646,30 @@ def log_stream(t: Tables) -> DataFrame:
 
 @query("SELECT id, drive_file_id, status FROM {webhook_logs}")
 def change_events(t: Tables) -> DataFrame:
-    out = feeds.run_available(feeds.intake(log_stream(t), "100 days"), work_folder(t.spark))
+    out = feeds.run_available(feeds.intake(log_stream(t), "100 days"), new_folder(t.spark))
     return out.select("id", "drive_file_id", "status")
 
 
 @query("""SELECT drive_file_id, id, status FROM (SELECT *, row_number() OVER (PARTITION BY drive_file_id ORDER BY "timestamp" DESC, id DESC) AS r FROM {webhook_logs}) WHERE r = 1""")
 def stream_latest_status(t: Tables) -> DataFrame:
-    out = feeds.run_available(feeds.latest_status(log_stream(t)), work_folder(t.spark), "update")
+    out = feeds.run_available(feeds.latest_status(log_stream(t), "1000 days"), new_folder(t.spark), "update")
     return feeds.newest(out, "drive_file_id").select("drive_file_id", "id", "status")
 
 
 @query("""SELECT id, evento_tipo FROM {webhook_logs} WHERE propietario_email = 'tenant2@example.org' AND evento_tipo IN ('CREATE', 'UPDATE')""")
 def tenant_feed(t: Tables) -> DataFrame:
-    return feeds.run_available(feeds.tenant_feed(log_stream(t), "tenant2@example.org"), work_folder(t.spark)).select("id", "evento_tipo")
+    return feeds.run_available(feeds.tenant_feed(log_stream(t), "tenant2@example.org"), new_folder(t.spark)).select("id", "evento_tipo")
 
 
 @query(WINDOWS)
 def stream_status_windows(t: Tables) -> DataFrame:
-    out = feeds.run_available(feeds.status_windows(log_stream(t)), work_folder(t.spark), "complete")
+    out = feeds.run_available(feeds.status_windows(log_stream(t)), new_folder(t.spark), "complete")
     last = out.withColumn("key", F.struct("window_start", "status"))
     return last.groupBy("key").agg(F.max_by("n", "batch_id").alias("n")).select(F.col("key.window_start").cast("timestamp_ntz").alias("window_start"), "key.status", "n")
 
 
-@query()
+@query("""SELECT drive_file_id, "timestamp" AS since FROM (SELECT *, lead("timestamp") OVER (PARTITION BY drive_file_id ORDER BY "timestamp", id) AS later FROM {webhook_logs})
+    WHERE status = 'processing' AND (later > "timestamp" + INTERVAL 15 MINUTES OR (later IS NULL AND "timestamp" + INTERVAL 15 MINUTES < (SELECT max("timestamp") FROM {webhook_logs}) - INTERVAL 1 HOUR))""")
 def stuck_processing(t: Tables) -> DataFrame:
-    """Files found stuck as the watermark passes; which timers fire depends on the batches."""
-    return feeds.run_available(feeds.stuck(log_stream(t)), work_folder(t.spark)).select("drive_file_id", "since")
+    """Every time a file was being processed for over a quarter of an hour."""
+    return feeds.run_available(feeds.stuck(log_stream(t)), new_folder(t.spark)).select("drive_file_id", F.col("since").cast("timestamp_ntz"))

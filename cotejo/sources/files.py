@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cotejo.functions.text import report_slug
-from cotejo.operators.profiles import taxonomy_schema
 
 
 def read_jdbc(spark: SparkSession, url: str, table: str, key: str, low: int, high: int, parts: int, **options: str) -> DataFrame:
@@ -22,10 +21,25 @@ def scan_files(spark: SparkSession, folder: str) -> DataFrame:
     return files.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
 
 
-def load_contents(spark: SparkSession, folder: str) -> DataFrame:
-    """Files with their bytes; missing and broken files are left out instead of failing."""
+def load_contents(spark: SparkSession, folder: str, listing: DataFrame | None = None) -> DataFrame:
+    """Files with their bytes: ``path``, ``length``, ``content``.
+
+    ``listing`` has the paths that are wanted (by default all files below the folder). A file
+    of it that is missing or cannot be read gives a row without length and content. Spark
+    does not list files without bytes.
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    return reader.option("ignoreMissingFiles", True).option("ignoreCorruptFiles", True).load(folder).select("path", "length", "content")
+    loaded = reader.option("ignoreMissingFiles", True).option("ignoreCorruptFiles", True).load(folder).select("path", "length", "content")
+    return (scan_files(spark, folder) if listing is None else listing).select("path").join(loaded, "path", "left")
+
+
+def file_tree(catalog: DataFrame, mime_types: Sequence[str] | None = None) -> DataFrame:
+    """Files of every root folder with ``place``, their position in its listing.
+
+    Files directly in the folder come before those of its sub-folders; each by name.
+    """
+    order = Window.partitionBy("carpeta_raiz").orderBy(F.col("subcarpeta") != "", "subcarpeta", "name", "id")
+    return only_types(catalog, mime_types).withColumn("place", F.row_number().over(order))
 
 
 def files_of_folder(catalog: DataFrame, folder: str, mime_types: Sequence[str] | None = None) -> DataFrame:
@@ -55,9 +69,9 @@ def search_files(catalog: DataFrame, part: str, limit: int | None = 100) -> Data
 
 
 def read_taxonomy(spark: SparkSession, path: str) -> DataFrame:
-    """A nested taxonomy file; flatten it with ``profiles.flatten_taxonomy``."""
-    node = taxonomy_schema()
-    return spark.read.schema(f"roots array<{node}>").option("multiLine", True).json(path)
+    """The roots of nested taxonomy files as JSON; flatten them with ``profiles.flatten_taxonomy``."""
+    files = spark.read.option("wholetext", True).text(path)
+    return files.select(F.from_json("value", "roots string")["roots"].alias("roots"))
 
 
 def write_rankings(ranking: DataFrame, path: str) -> None:

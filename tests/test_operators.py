@@ -187,10 +187,10 @@ def test_profile_stream_equals_batch(spark, tmp_path):
     rows = [(1, "n", i, 1, t, None, True, None) for i, t in enumerate("abca")]
     df = spark.createDataFrame(rows, schema).withColumn("peso", (F.col("seq") + 1).cast("decimal(18,4)"))
     for i in range(2):
-        df.filter(F.col("seq") % 2 == i).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        df.filter(F.floor(F.col("seq") / 2) == i).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = feeds.read_events(spark, str(tmp_path / "in"), df.schema, 1)
-    paths = {k: str(tmp_path / k) for k in ("calls", "profiles", "stale")}
-    q = feeds.merge_profiles(stream, profiles.teacher_profile, paths).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    paths = {k: str(tmp_path / k) for k in ("profiles", "stale")}
+    q = feeds.merge_profiles(stream, paths).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
     q.awaitTermination()
     last = spark.read.parquet(paths["profiles"]).filter("batch = 1").drop("batch").collect()
     assert last == profiles.teacher_profile(df).collect()
