@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cotejo.sources.scratch import cut_lineage, new_folder
+
+__all__ = ["SPACE", "as_row", "cut_lineage", "drop_tables", "let", "once", "read_table", "show_code", "tables_written", "words_of", "write_and_read"]
+
 #: Inside a character class: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = r"\x20\x09-\x0D"
 
@@ -28,31 +30,31 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where that is unset (tests) one of our own."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cotejo-checkpoint-"))
-    return sc._jsc.sc().getCheckpointDir().get()
+#: Tables that were written in this session's shared folder.
+_written: list[str] = []
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read on from there.
+def write_and_read(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared folder, for wide rows of which later steps
+    read some columns, and read on from there. See ``drop_tables``."""
+    path = new_folder(df.sparkSession)
+    df.write.parquet(path)
+    _written.append(path)
+    return df.sparkSession.read.parquet(path)
 
-    The rows survive the loss of executors and are computed once.
-    """
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
 
+def tables_written() -> int:
+    return len(_written)
 
-def write_and_read(df: DataFrame) -> DataFrame:
-    """The same by a Parquet table, for wide rows of which later steps read some columns.
 
-    The table stays in the shared folder until that is emptied.
-    """
-    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+def drop_tables(spark: SparkSession, start: int, stop: int) -> None:
+    """Delete the tables written from the start-th to before the stop-th, when nothing reads them any more."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for i in range(start, stop):
+        if _written[i]:
+            path = jvm.org.apache.hadoop.fs.Path(_written[i])
+            path.getFileSystem(conf).delete(path, True)
+            _written[i] = ""
 
 
 def let(value: Column, body) -> Column:

@@ -1,18 +1,23 @@
-"""Near-duplicate documents by the Jaccard similarity of their word shingles.
+"""One document of each group of near duplicates: SimHash with an exact check of similarity.
 
 A text is lower-cased (A-Z), split into words and taken as the set of its shingles' XXH64
-values. Texts whose sets have a similarity of ``threshold`` or more are linked.
+values. Texts whose sets have a Jaccard similarity of ``threshold`` or more are linked.
 
 Equal sets are first reduced to one row each, known by the XXH64 value of the set.
-Candidates are found by MinHash: 24 bands of five minima each, so that a pair of similarity
-0.8 shares a bucket with a probability of 1 - (1 - 0.8^5)^24 = 0.9999, and more similar ones
-still surer. Every candidate is decided by its exact similarity. In each bucket all members
-are compared with its smallest; only members that this leaves in different components are
-compared with one another, so pairs grow with the members of a bucket where these are alike.
+Candidates are the members of common buckets. The tables are those of the SimHash operator:
+the fifteen covering masks, under which every pair whose fingerprints differ in three bits
+or fewer meets for certain. Pairs of similarity 0.8 differ in ten of 64 bits, for which
+covering masks would take 2^11 tables and more, so their reach is widened by 24 bands of
+five minima of the same hashes: a pair of 0.8 shares a bucket with a probability of
+1 - (1 - 0.8^5)^24 = 0.9999, and more similar ones still surer. Every candidate is decided
+by its exact similarity. In each bucket all members are compared with its smallest; only
+members that this leaves in different components are compared with one another, so pairs
+grow with the members of a bucket where these are alike.
 
 Defined results: null and empty texts have the empty set and are alike; a text of fewer
-words than a shingle has one shingle; repeated rows share a component; a null id is never
-the smallest, so a component of null ids only keeps one of its rows.
+words than a shingle has one shingle; repeated rows share a component, also those that
+repeat an id, and one of them stays; a null id is never the smallest, so a component of
+null ids only keeps one of its rows; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -27,30 +32,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
+from cotejo.llm import simhash
 from cotejo.llm.common import as_row, cut_lineage
 from cotejo.llm.components import stars
 
 WIDTH, THRESHOLD, SEED = 5, 0.8, 42
 BANDS, ROWS = 24, 5
-#: Shingles that are hashed at a time, which bounds the memory for very long texts.
+#: Shingles whose minima are taken at a time, which bounds the memory for very long texts.
 BLOCK = 1 << 12
 FACTORS, OFFSETS = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64)
 FACTORS |= np.uint64(1)
+#: Most rows of a side that is broadcast (ids or keys of some 50 bytes); beyond it both sides are shuffled.
+FEW = 500_000
 
 
 def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
     """The distinct XXH64 values of the shingles of a text, sorted."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    joined = b" ".join(words)
-    width = min(width, len(words))
-    n = len(words) - width + 1
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    digest = xxhash.xxh64_intdigest
-    pairs = zip(starts[:n].tolist(), ends[width - 1 :].tolist())
-    return np.unique(np.fromiter((digest(joined[i:j], SEED) for i, j in pairs), np.uint64, n))
+    return np.unique(simhash.shingle_hashes(text, width))
 
 
 def _signed(values: list[int]) -> np.ndarray:
@@ -62,14 +60,18 @@ def set_key(shingles: np.ndarray) -> int:
     return int(_signed([xxhash.xxh64_intdigest(shingles.tobytes(), SEED)])[0]) if len(shingles) else 0
 
 
-def band_keys(shingles: np.ndarray) -> np.ndarray:
-    """The bucket of each band; none for the empty set."""
+MASKS = np.array(simhash.MASKS, np.int64)
+
+
+def band_keys(shingles: np.ndarray, mark: int) -> np.ndarray:
+    """The bucket of each covering mask of the fingerprint and of each band; none for the empty set."""
     if not len(shingles):
         return np.zeros(0, np.int64)
     low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
     for at in range(0, len(shingles), BLOCK):
         low = np.minimum(low, (shingles[at : at + BLOCK, None] * FACTORS + OFFSETS).min(axis=0))
-    return _signed([xxhash.xxh64_intdigest(x.tobytes(), t) for t, x in enumerate(low.reshape(BANDS, ROWS))])
+    buckets = [*low.reshape(BANDS, ROWS), *(mark & MASKS)]
+    return _signed([xxhash.xxh64_intdigest(x.tobytes(), t) for t, x in enumerate(buckets)])
 
 
 def _key_udf(width: int):
@@ -87,23 +89,30 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 
 
 def _marked(texts: DataFrame, width: int) -> DataFrame:
-    """``doc_id``, ``key``, ``n`` (shingles) and ``bands`` for each row of ``texts`` (doc_id, text)."""
+    """``doc_id``, ``key``, ``n`` (distinct shingles) and ``bands`` for each row of ``texts`` (doc_id, text)."""
 
     def mark(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                sets = [shingle_set(t, width) for t in part.column(1).to_pylist()]
-                keys, sizes = [set_key(s) for s in sets], [len(s) for s in sets]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), _lists([band_keys(s) for s in sets])],
-                    ["doc_id", "key", "n", "bands"],
-                )
+                keys, sizes, bands = [], [], []
+                for text in part.column(1).to_pylist():
+                    hashes = simhash.shingle_hashes(text, width)
+                    own = np.unique(hashes)
+                    keys.append(set_key(own))
+                    sizes.append(len(own))
+                    bands.append(band_keys(own, simhash.fingerprint(own)))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), _lists(bands)], ["doc_id", "key", "n", "bands"])
 
     schema = StructType([texts.schema["doc_id"], StructField("key", LongType()), StructField("n", LongType()), StructField("bands", ArrayType(LongType()))])
     return texts.mapInArrow(mark, schema)
 
 
+def _if_few(df: DataFrame) -> DataFrame:
+    """``df`` (written before), to be broadcast if it has few rows."""
+    return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
+
+
 def _sets(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """``key`` and ``shingles`` of the sets in ``wanted`` (key, root), from the rows of their roots."""
 
@@ -113,7 +122,7 @@ def _sets(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 sets = [shingle_set(t, width) for t in batch.column(0).slice(at, 512).to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.int64()), _lists(sets)], ["key", "shingles"])
 
-    roots = wanted.select("root").distinct()
+    roots = _if_few(cut_lineage(wanted.select("root").distinct()))
     rows = texts.join(roots, texts["doc_id"].eqNullSafe(roots["root"]), "left_semi").select("text")
     found = rows.mapInArrow(gather, "key bigint, shingles array<bigint>")
     return found.join(wanted.select("key"), "key", "left_semi").dropDuplicates(["key"])
@@ -156,7 +165,19 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id"
     texts = docs.select(F.col(id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     marked = cut_lineage(_marked(texts, width))
     best = F.min(F.struct(F.col("root").isNull().alias("none"), "root", "key")).alias("x")
-    kept = components(texts, marked, width, threshold).groupBy("label").agg(best).select(F.col("x.key").alias("key"), F.col("x.root").alias("kept_id"))
-    rows = docs.select(as_row(docs).alias("row"), _key_udf(width)(F.col(text).cast("string")).alias("key"))
-    chosen = rows.join(kept, "key").filter(F.col("row")[id].eqNullSafe(F.col("kept_id")))
-    return chosen.dropDuplicates(["key"]).select("row.*")
+    kept = components(texts, marked, width, threshold).groupBy("label").agg(best).select(F.col("x.key").alias("key"), F.col("x.root").alias("doc_id"))
+    kept = cut_lineage(kept)
+    # an id that one row has tells what becomes of it; rows that share an id, or have none, by their keys
+    ids = marked.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
+    several = cut_lineage(ids.filter("rows > 1 or doc_id is null").select("doc_id"))
+    gone = cut_lineage(marked.select("doc_id").join(kept.select("doc_id"), "doc_id", "left_anti").join(several, "doc_id", "left_anti").filter("doc_id is not null"))
+    by_id = F.col("__id").eqNullSafe
+    rows = docs.withColumn("__id", F.col(id))
+    few = _if_few(several.withColumnRenamed("doc_id", "__several"))
+    out = _if_few(gone.withColumnRenamed("doc_id", "__gone"))
+    alone = rows.join(out, F.col("__id") == F.col("__gone"), "left_anti").join(few, by_id(F.col("__several")), "left_anti").select(*docs.columns)
+    if several.isEmpty():
+        return alone
+    shared = rows.join(few, by_id(F.col("__several")), "left_semi").select(as_row(docs).alias("row"), _key_udf(width)(F.col(text).cast("string")).alias("key"))
+    chosen = shared.join(kept, "key").filter(F.col("row")[id].eqNullSafe(F.col("doc_id"))).dropDuplicates(["key"]).select("row.*")
+    return alone.unionByName(chosen)

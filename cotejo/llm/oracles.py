@@ -6,7 +6,6 @@ plain versions.
 
 from __future__ import annotations
 
-from cotejo.llm import secrets
 from cotejo.llm.queries import LISTED_WORDS, URL_RULES
 
 WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -25,25 +24,30 @@ def _matches(kind: int, pattern: str) -> str:
               FROM (SELECT doc_id, regexp_extract_all(t, {p}, 0) AS ms, string_split_regex(t, {p}) AS gaps FROM docs) WHERE len(ms) > 0))"""
 
 
+ASSIGNED = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+NAMED = r"""(?i:(user|username|login|account|client_id))["']?\x20*[:=]\x20*["']?([A-Za-z0-9._@-]+)"""
+PLACED = r"""[a-z][a-z0-9+]{1,9}://[A-Za-z0-9.-]+(:[0-9]+)?"""
+
 OP3 = f"""
 WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-assign AS ({_matches(0, secrets.ASSIGN)}), access AS ({_matches(1, secrets.WEAK_ACCESS)}),
-hex AS ({_matches(2, secrets.HEX)}), users AS ({_matches(5, secrets.USER)}), ends AS ({_matches(6, secrets.ENDPOINT)}),
-valued AS (SELECT *, length(regexp_extract(m, {_quoted(secrets.ASSIGN)}, 2)) AS v FROM assign),
+assign AS ({_matches(0, ASSIGNED)}), access AS ({_matches(1, "AKIA[A-Z0-9]+")}),
+hex AS ({_matches(2, "[0-9a-f]{16,}")}), users AS ({_matches(5, NAMED)}), ends AS ({_matches(6, PLACED)}),
+valued AS (SELECT *, length(regexp_extract(m, {_quoted(ASSIGNED)}, 2)) AS v FROM assign),
 parts AS (
   SELECT doc_id, 0 AS k, s, e, 's' AS r, false AS w FROM valued WHERE v >= 12
   UNION ALL SELECT doc_id, 1, s, e, 'i', false FROM access WHERE e - s >= 18
   UNION ALL SELECT doc_id, 2, s, e, 's', false FROM hex
-  UNION ALL SELECT doc_id, 3, s, e, 's', true FROM valued WHERE v BETWEEN 6 AND 11
-  UNION ALL SELECT doc_id, 4, s, e, 'i', true FROM access WHERE e - s BETWEEN 8 AND 17
+  UNION ALL SELECT doc_id, 3, s, e, 's', true FROM valued WHERE v < 12
+  UNION ALL SELECT doc_id, 4, s, e, 'i', true FROM access x WHERE e - s < 18
+    AND NOT EXISTS (SELECT 1 FROM assign y WHERE y.doc_id = x.doc_id AND y.s < x.e AND y.e > x.s)
   UNION ALL SELECT doc_id, 5, s, e, 'i', true FROM users
   UNION ALL SELECT doc_id, 6, s, e, 'e', true FROM ends),
 numbered AS (SELECT *, row_number() OVER () AS n FROM parts),
-near AS (SELECT a.n, bool_or(b.r = 'i') AS i, bool_or(b.r = 's') AS sec, bool_or(b.r = 'e') AS ep
-  FROM numbered a JOIN numbered b ON a.doc_id = b.doc_id AND a.n <> b.n AND b.s <= a.e + 200 AND b.e >= a.s - 200 GROUP BY a.n),
+near AS (SELECT a.n, bool_or(b.r = 'i') AS i, bool_or(b.r = 's') AS sec, bool_or(b.r = 'e') AS ep FROM numbered a JOIN numbered b
+  ON a.doc_id = b.doc_id AND a.n <> b.n AND (b.s BETWEEN a.e AND a.e + 200 OR b.e BETWEEN a.s - 200 AND a.s) GROUP BY a.n),
 kept AS (SELECT p.* FROM numbered p LEFT JOIN near USING (n)
   WHERE NOT w OR (r = 'i' AND sec) OR (r = 's' AND (i OR ep)) OR (r = 'e' AND i AND sec)),
-named AS (SELECT doc_id, k, s, e, concat({_quoted(','.join(secrets.KINDS))}.string_split(',')[k + 1], ':', CAST(s AS BIGINT), ':', CAST(e AS BIGINT)) AS x FROM kept)
+named AS (SELECT doc_id, k, s, e, concat(['assign', 'access', 'hex', 'weak_secret', 'weak_access', 'user', 'endpoint'][k + 1], ':', CAST(s AS BIGINT), ':', CAST(e AS BIGINT)) AS x FROM kept)
 SELECT d.doc_id, count(x) FILTER (k = 0) AS n_assign, count(x) FILTER (k = 1) AS n_access, count(x) FILTER (k = 2) AS n_hex,
   sha256(coalesce(string_agg(x, ',' ORDER BY s, k) FILTER (k < 3), '')) AS base_sha256, coalesce(string_agg(x, ',' ORDER BY s, k), '') AS spans
 FROM documents d LEFT JOIN named n ON n.doc_id = d.doc_id GROUP BY d.doc_id
@@ -66,7 +70,8 @@ rules AS (SELECT *, n_words < 20 AS short, 100 * n_repeat_words > 30 * n_words A
 hosts AS (SELECT source, count(*) AS n, {", ".join(f"count(*) FILTER ({r}) AS {r}" for r in RULES)} FROM rules WHERE source IS NOT NULL GROUP BY source),
 prior AS (SELECT {", ".join(f"avg({r} / n) AS m_{r}, var_pop({r} / n) AS v_{r}" for r in RULES)} FROM hosts),
 strength AS (SELECT *, {", ".join(f"CASE WHEN v_{r} > 0 AND m_{r} * (1 - m_{r}) / v_{r} - 1 > 0 THEN m_{r} * (1 - m_{r}) / v_{r} - 1 ELSE 1.0 END AS s_{r}" for r in RULES)} FROM prior),
-refused AS (SELECT source FROM hosts, strength WHERE greatest({", ".join(f"({r} + m_{r} * s_{r}) / (n + s_{r})" for r in RULES)}) > 0.5)
+rates AS (SELECT *, {", ".join(f"({r} + m_{r} * s_{r}) / (n + s_{r}) AS p_{r}" for r in RULES)} FROM hosts, strength),
+refused AS (SELECT source FROM rates WHERE {" OR ".join(f"p_{r} - 3 * sqrt(p_{r} * (1 - p_{r}) / (n + s_{r} + 1)) > 2 * m_{r}" for r in RULES)})
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, short OR repetitive AS base_failed,
   NOT (short OR repetitive) AND (source IS NULL OR source NOT IN (SELECT source FROM refused)) AS kept FROM rules
 """

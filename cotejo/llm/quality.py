@@ -3,7 +3,10 @@
 ``measure`` computes per-document figures in one pass without a shuffle. ``judge_hosts``
 aggregates rule failures by host (map-side combined, so a host with a third of all rows
 adds one row a task), fits a beta prior to the hosts' failure rates by moments and shrinks
-each rate towards it. ``quality_rules`` joins the verdicts back to the documents.
+each rate towards it. Hosts are judged against the corpus: one is refused if its posterior
+lies clearly above a multiple of the prior's mean, so a few failures of a small host, or a
+slightly raised rate of a very large one, refuse nobody. ``quality_rules`` joins the
+verdicts back to the documents.
 
 Defined results: a null text counts as empty (no words, so it fails ``short``); a document
 without host is judged by its own figures only; repeated rows are judged one by one and
@@ -17,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cotejo.llm.common import SPACE, as_row, cut_lineage, let, once, words_of
+from cotejo.llm.common import SPACE, as_row, cut_lineage, let, once, words_of, write_and_read
 
 #: Figures of ``measure`` in order.
 FIGURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
@@ -32,8 +35,10 @@ class QualityLimits:
     max_symbol_percent: int = 10
     max_dup_line_percent: int = 30
     window: int = 8
-    #: A host is refused when the shrunken failure rate of one of its rules exceeds this.
-    max_host_rate: float = 0.5
+    #: A host is refused when the failure rate of one of its rules is above ``host_factor`` times
+    #: the prior's mean, by ``host_deviations`` standard deviations of its posterior.
+    host_factor: float = 2.0
+    host_deviations: float = 3.0
     #: Most refused hosts that are broadcast; beyond it the verdicts come by a shuffled join.
     broadcast_hosts: int = 100_000
 
@@ -106,7 +111,7 @@ def base_failed(fig: Column, limits: QualityLimits = QualityLimits()) -> Column:
 
 
 def judge_hosts(measured: DataFrame, host: str = "source", limits: QualityLimits = QualityLimits()) -> DataFrame:
-    """One row per host: counts, shrunken failure rate of each rule, and ``refused``.
+    """One row per host: counts, shrunken failure rate of each rule, its lower bound, and ``refused``.
 
     The prior of a rule is Beta(m*s, (1-m)*s), where m and v are mean and variance of the
     hosts' rates and s = m(1-m)/v - 1; equal rates (v = 0) or a variance too large for a
@@ -128,9 +133,11 @@ def judge_hosts(measured: DataFrame, host: str = "source", limits: QualityLimits
         m, v = moments[f"m_{k}"] or 0.0, moments[f"v_{k}"] or 0.0
         strength = m * (1 - m) / v - 1 if v > 0 else 1.0
         strength = strength if strength > 0 else 1.0
-        hosts = hosts.withColumn(f"rate_{k}", (F.col(k) + m * strength) / (F.col("n_docs") + strength))
-    worst = F.greatest(*[F.col(f"rate_{k}") for k in rules])
-    return hosts.withColumn("refused", worst > limits.max_host_rate)
+        rate = (F.col(k) + m * strength) / (F.col("n_docs") + strength)
+        deviation = F.sqrt(F.col(f"rate_{k}") * (1 - F.col(f"rate_{k}")) / (F.col("n_docs") + strength + 1))
+        hosts = hosts.withColumn(f"rate_{k}", rate).withColumn(f"low_{k}", F.col(f"rate_{k}") - limits.host_deviations * deviation)
+        hosts = hosts.withColumn(f"refused_{k}", F.col(f"low_{k}") > limits.host_factor * m)
+    return hosts.withColumn("refused", F.greatest(*[F.col(f"refused_{k}") for k in rules]))
 
 
 def quality_rules(
@@ -138,13 +145,14 @@ def quality_rules(
 ) -> DataFrame:
     """``row``, ``fig``, ``base_failed``, ``host_refused`` and ``kept`` for every document.
 
-    ``slim`` names the columns wanted in ``row``: without the text the figures are small,
-    so they are written once and read for both the hosts and the verdicts. With the text
-    in the result the figures are computed in both passes instead of copying all texts.
+    ``slim`` names the columns wanted in ``row``. Every text is measured once: the figures
+    are written beside the rows, and of the table only they and the hosts are read to judge
+    the hosts. A result without the text leaves it out of the table.
     """
     measured = measure(docs, text, limits)
     if slim is not None:
-        measured = cut_lineage(measured.select(F.struct(*[F.col("row")[c].alias(c) for c in dict.fromkeys([*slim, host])]).alias("row"), "fig"))
+        measured = measured.select(F.struct(*[F.col("row")[c].alias(c) for c in dict.fromkeys([*slim, host])]).alias("row"), "fig")
+    measured = write_and_read(measured)
     refused = judge_hosts(measured, host, limits).filter("refused").select(F.col("host").alias("refused_host"))
     n = refused.limit(limits.broadcast_hosts + 1).count()
     if n == 0:

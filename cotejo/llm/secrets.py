@@ -3,10 +3,14 @@
 Strong secrets (``assign``, ``access``, ``hex``) are reported wherever they occur. Weak
 candidates - access identifiers or user names, secret values of any length, endpoints - are
 reported only where complementary parts stand in the same scope, that is, at most
-``scope`` code points apart: a weak identifier needs a secret, a weak secret needs an
-identifier or an endpoint, and an endpoint needs both an identifier and a secret. The parts
-of a text are joined with their scopes as intervals by two sweeps over the sorted parts of
-the row, so nothing is shuffled and no pair is emitted.
+``scope`` code points apart without overlapping: a weak identifier needs a secret, a weak
+secret needs an identifier or an endpoint, and an endpoint needs both an identifier and a
+secret. A weak access identifier that overlaps an assignment is that secret's own value and
+no part of its own.
+
+The parts of a text are joined with their scopes as intervals by sweeps over their sorted
+begins and ends in the row, so nothing is shuffled and no pair is emitted. A sweep gathers
+its results in blocks, so a text of very many parts costs no square of their number.
 
 Spans are (start, end exclusive) in code points. A null text counts as empty; repeated rows
 give repeated results; an empty table gives an empty result.
@@ -14,6 +18,7 @@ give repeated results; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -30,68 +35,72 @@ ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 #: Patterns of the weak parts.
 WEAK_ACCESS = r"AKIA[A-Z0-9]+"
-USER = r"""(?:user|username|login|account|client_id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9._@-]{3,})"""
-ANY_USER = r"""(?i:user|username|login|account|client_id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9._@-]+)"""
+USER = r"""(?i:user|username|login|account|client_id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9._@-]+)"""
 ENDPOINT = r"""[a-z][a-z0-9+]{1,9}://[A-Za-z0-9.-]+(?::[0-9]+)?"""
 
 #: Kinds in the order that breaks ties of equal starts; the first three are the base.
 KINDS = ("assign", "access", "hex", "weak_secret", "weak_access", "user", "endpoint")
-BLOCK = 128
+#: Code points of the chunks from which redacted texts are put together.
+CHUNK = 1024
+#: Events of a sweep that share a list of results.
+BLOCK = 512
 
 
 class Weak(NamedTuple):
     """What counts as a weak part: the pattern of users, the least lengths of secrets and access identifiers."""
 
-    user: str = ANY_USER
+    user: str = USER
     secret: int = 1
     access: int = 5
 
 
-#: The narrower weak parts that the SQL of op3 lists.
-LISTED_WEAK = Weak(USER, 6, 8)
+def _sweep(events: Column, zero: dict[str, Column], step: Callable, result: Callable, kind: str) -> Column:
+    """Results of the events, in order, under a running state.
 
+    ``step(state, event)`` gives the fields of the next state, ``result(state, event)`` (of
+    the state before it) what the event adds; null adds nothing.
+    """
+    none = F.array().cast(f"array<{kind}>")
 
-def _empty() -> Column:
-    return F.array().cast("array<struct<s:int,e:int,m:string>>")
+    def run(x: Column) -> Column:
+        def inner(a: Column, i: Column) -> Column:
+            e = F.get(x, i)
+            found = result(a, e)
+            out = F.when(found.isNull(), a["out"]).otherwise(F.concat(a["out"], F.array(found)))
+            return F.struct(*[v.alias(k) for k, v in step(a, e).items()], out.alias("out"))
 
+        def block(a: Column, b: Column) -> Column:
+            start = F.struct(*[a[k].alias(k) for k in zero], none.alias("out"))
+            numbers = F.sequence(b * BLOCK, F.least((b + 1) * BLOCK, F.size(x)) - 1)  # a slice would copy all of x
+            # put together by the aggregate itself: a transform would copy all results so far
+            return F.aggregate(numbers, start, inner, lambda d: F.struct(*[d[k].alias(k) for k in zero], F.concat(a["all"], F.array(d["out"])).alias("all")))
 
-def match_spans(text: Column, pattern: str) -> Column:
-    """Leftmost non-overlapping matches as structs s, e, m (start, end, matched text).
+        first = F.struct(*[v.alias(k) for k, v in zero.items()], F.array().cast(f"array<array<{kind}>>").alias("all"))
+        blocks = F.sequence(F.lit(0), F.floor((F.size(x) - 1) / BLOCK).cast("int"))
+        return F.when(F.size(x) == 0, none).otherwise(F.flatten(F.aggregate(blocks, first, block)["all"]))
 
-    The texts between the matches come from ``split``; starts are running sums of lengths,
-    taken in blocks so that a text with very many matches costs no square of their number.
-    """
+    return let(events, run)
 
-    def locate(found: Column) -> Column:
-        def with_gaps(gaps: Column) -> Column:
-            # length of gap i plus match i
-            steps = F.transform(found, lambda m, i: F.char_length(F.get(gaps, i)) + F.char_length(m))
-            blocks = F.sequence(F.lit(0), F.floor((F.size(found) - 1) / BLOCK).cast("int"))
 
-            def plus(a, x):
-                return a + x
+_SPAN = "struct<s:int,e:int,m:string>"
 
-            def with_steps(st: Column) -> Column:
-                sums = F.transform(blocks, lambda b: F.aggregate(F.slice(st, b * BLOCK + 1, F.lit(BLOCK)), F.lit(0), plus))
 
-                def with_sums(su: Column) -> Column:
-                    bases = F.transform(su, lambda _, b: F.aggregate(F.slice(su, F.lit(1), b), F.lit(0), plus))
-
-                    def with_bases(ba: Column) -> Column:
-                        def one(m: Column, i: Column) -> Column:
-                            b = F.floor(i / BLOCK).cast("int")
-                            end = F.get(ba, b) + F.aggregate(F.slice(st, b * BLOCK + 1, i - b * BLOCK + 1), F.lit(0), plus)
-                            return F.struct((end - F.char_length(m)).alias("s"), end.alias("e"), m.alias("m"))
-
-                        return F.transform(found, one)
+def match_spans(text: Column, pattern: str) -> Column:
+    """Leftmost non-overlapping matches as structs s, e, m (start, end, matched text).
 
-                    return let(bases, with_bases)
+    The texts between the matches come from ``split``; starts are running sums of lengths.
+    """
+    def locate(found: Column) -> Column:
+        def with_gaps(gaps: Column) -> Column:
+            pieces = F.transform(found, lambda m, i: F.struct(m.alias("m"), F.char_length(F.get(gaps, i)).alias("gap"), F.char_length(m).alias("n")))
 
-                return let(sums, with_sums)
+            def span(a: Column, x: Column) -> Column:
+                start = a["at"] + x["gap"]
+                return F.struct(start.alias("s"), (start + x["n"]).alias("e"), x["m"].alias("m"))
 
-            return let(steps, with_steps)
+            return _sweep(pieces, {"at": F.lit(0)}, lambda a, x: {"at": a["at"] + x["gap"] + x["n"]}, span, _SPAN)
 
-        return F.when(F.size(found) == 0, _empty()).otherwise(let(F.split(text, pattern, -1), with_gaps))
+        return F.when(F.size(found) == 0, F.array().cast(f"array<{_SPAN}>")).otherwise(let(F.split(text, pattern, -1), with_gaps))
 
     return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), locate)
 
@@ -106,45 +115,53 @@ def _parts(spans: Column, kind: int, role: str, weak: bool) -> Column:
     )
 
 
+def _apart(access: Column, assigned: Column) -> Column:
+    """The access spans that overlap no assignment (assignments do not overlap one another)."""
+    def event(x: Column, at: str, ask: int) -> Column:
+        return F.struct(x[at].alias("at"), F.lit(ask).alias("turn"), x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"))
+
+    # an assignment that begins before the end of an access span overlaps it if it ends behind its start
+    events = F.array_sort(F.concat(F.transform(access, lambda x: event(x, "e", 0)), F.transform(assigned, lambda x: event(x, "s", 1))))
+    free = _sweep(
+        events, {"end": F.lit(-1)}, lambda a, x: {"end": F.when(x["turn"] == 1, x["e"]).otherwise(a["end"])},
+        lambda a, x: F.when((x["turn"] == 0) & (a["end"] <= x["s"]), F.struct(x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"))), _SPAN,
+    )
+    return F.when((F.size(access) == 0) | (F.size(assigned) == 0), access).otherwise(free)
+
+
 def _linked(parts: Column, scope: int) -> Column:
     """Strong parts, and weak ones with complementary parts in their scope."""
     far = 1 << 30
 
-    def sweep(p: Column, back: bool) -> Column:
-        """Before (or after) each part: does a part of role i, s, e stand within the scope?"""
+    def near(p: Column, back: bool) -> Column:
+        """For each weak part, in order of its place: does a part of role i, s, e end (or, backwards, begin) within the scope?"""
 
-        def edge(x: Column) -> Column:
-            return -x["s"] if back else x["e"]
+        def event(x: Column, i: Column, at: Column, turn: int) -> Column:
+            return F.struct(at.alias("at"), F.lit(turn).alias("turn"), i.alias("i"), x["r"].alias("r"), x["w"].alias("w"))
 
-        def step(a: Column, x: Column) -> Column:
-            own = -x["e"] if back else x["s"]
-            near = F.struct(*[(a[r] >= own - scope).alias(r) for r in "ise"])
-            return F.struct(
-                *[F.when(x["r"] == r, F.greatest(a[r], edge(x))).otherwise(a[r]).alias(r) for r in "ise"],
-                F.concat(a["out"], F.array(near)).alias("out"),
-            )
+        ends = F.transform(p, lambda x, i: event(x, i, -x["s"] if back else x["e"], 0))
+        begins = F.filter(F.transform(p, lambda x, i: event(x, i, -x["e"] if back else x["s"], 1)), lambda x: x["w"])
 
-        zero = F.struct(
-            *[F.lit(-far).alias(r) for r in "ise"],
-            F.array().cast("array<struct<i:boolean,s:boolean,e:boolean>>").alias("out"),
-        )
-        swept = F.aggregate(F.reverse(p) if back else p, zero, step)["out"]
-        return F.reverse(swept) if back else swept
+        def step(a: Column, x: Column) -> dict[str, Column]:
+            return {r: F.when((x["turn"] == 0) & (x["r"] == r), x["at"]).otherwise(a[r]) for r in "ise"}
+
+        def result(a: Column, x: Column) -> Column:
+            return F.when(x["turn"] == 1, F.struct(x["i"].alias("n"), *[(a[r] >= x["at"] - scope).alias(r) for r in "ise"]))
+
+        kind = "struct<n:int,i:boolean,s:boolean,e:boolean>"
+        return F.sort_array(_sweep(F.array_sort(F.concat(ends, begins)), {r: F.lit(-far) for r in "ise"}, step, result, kind))
 
     def join(p: Column) -> Column:
-        def keep(before: Column, after: Column) -> Column:
-            def wanted(x: Column, i: Column) -> Column:
-                has = {r: F.get(before, i)[r] | F.get(after, i)[r] for r in "ise"}
-                return (
-                    ~x["w"]
-                    | ((x["r"] == "i") & has["s"])
-                    | ((x["r"] == "s") & (has["i"] | has["e"]))
-                    | ((x["r"] == "e") & has["i"] & has["s"])
-                )
+        def has(b: Column, a: Column) -> Column:
+            return F.struct(*[(b[r] | a[r]).alias(r) for r in "ise"])
 
-            return F.filter(p, wanted)
+        def wanted(x: Column, h: Column) -> Column:
+            return ((x["r"] == "i") & h["s"]) | ((x["r"] == "s") & (h["i"] | h["e"])) | ((x["r"] == "e") & h["i"] & h["s"])
 
-        return let(sweep(p, False), lambda before: let(sweep(p, True), lambda after: keep(before, after)))
+        both = F.zip_with(near(p, False), near(p, True), has)
+        weak = F.filter(p, lambda x: x["w"])
+        kept = F.filter(F.zip_with(weak, both, lambda x, h: F.when(wanted(x, h), x)), lambda x: x.isNotNull())
+        return F.sort_array(F.concat(F.filter(p, lambda x: ~x["w"]), kept))
 
     return let(
         F.sort_array(parts),
@@ -170,7 +187,7 @@ def secret_spans(text: Column, scope: int = 200, min_secret: int = 12, weak: Wea
                 _parts(strong, 1, "i", False),
                 _parts(match_spans(t, HEX), 2, "s", False),
                 _parts(short, 3, "s", True),
-                _parts(brief, 4, "i", True),
+                _parts(_apart(brief, assigned), 4, "i", True),
                 _parts(match_spans(t, weak.user), 5, "i", True),
                 _parts(match_spans(t, ENDPOINT), 6, "e", True),
             ),
@@ -199,15 +216,26 @@ def redact(docs: DataFrame, text: str = "text", scope: int = 200, mark: str = "[
     scanned = scan_secrets(docs, text, scope)
     t = F.coalesce(F.col("row")[text].cast("string"), F.lit(""))
 
+    def between(chunks: Column, start: Column, end: Column) -> Column:
+        """The text from start to end, of the chunks it lies in."""
+        def piece(c: Column) -> Column:
+            low = F.greatest(start - c * CHUNK, F.lit(0))
+            return F.substring(F.get(chunks, c), low + 1, F.least(end - c * CHUNK, F.lit(CHUNK)) - low)
+
+        numbers = F.sequence((start / CHUNK).cast("int"), ((end - 1) / CHUNK).cast("int"))
+        return F.when(end > start, F.array_join(F.transform(numbers, piece), "")).otherwise("")
+
     def rebuild(p: Column) -> Column:
-        def step(a: Column, x: Column) -> Column:
-            gap = F.substring(t, a["at"] + 1, F.greatest(x["s"] - a["at"], F.lit(0)))
-            fresh = x["s"] >= a["at"]
-            out = F.when(fresh, F.concat(a["out"], F.array(gap, F.lit(mark)))).otherwise(a["out"])
-            return F.struct(F.greatest(a["at"], x["e"]).alias("at"), out.alias("out"))
-
-        done = F.aggregate(p, F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")), step)
-        return let(done, lambda d: F.concat(F.array_join(d["out"], ""), F.substring(t, d["at"] + 1, F.char_length(t))))
+        last = F.struct(F.char_length(t).alias("s"), F.char_length(t).alias("e"))
+        spans = F.concat(F.transform(p, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))), F.array(last))
+
+        def gaps(chunks: Column) -> Column:
+            def gap(a: Column, x: Column) -> Column:
+                return F.when(x["s"] >= a["at"], between(chunks, a["at"], x["s"]))
+
+            return _sweep(spans, {"at": F.lit(0)}, lambda a, x: {"at": F.greatest(a["at"], x["e"])}, gap, "string")
+
+        return F.array_join(let(F.regexp_extract_all(t, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0)), gaps), mark)
 
     own = F.col("row")[text].cast("string")
     fixed = F.when(F.size("parts") > 0, rebuild(F.col("parts"))).otherwise(own)

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from cotejo.llm.common import as_row, cut_lineage
+from cotejo.llm.common import cut_lineage
 from cotejo.llm.components import stars
 
 RADIUS, SEED, SHINGLE = 3, 42, 3
@@ -39,24 +39,37 @@ RADIUS, SEED, SHINGLE = 3, 42, 3
 BLOCK = 1 << 15
 
 
-def simhash(text: str | None) -> int:
-    """The fingerprint of one text as a signed 64-bit integer."""
+def shingle_hashes(text: str | None, width: int = SHINGLE) -> np.ndarray:
+    """The XXH64 values of all shingles of a text, in order."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
-    width = min(SHINGLE, len(words))
+    width = min(width, len(words))
+    n = len(words) - width + 1
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
-    n = len(words) - width + 1
     digest = xxhash.xxh64_intdigest
-    ones = np.zeros(64, np.int64)
+    out = np.empty(n, np.uint64)
     for at in range(0, n, BLOCK):
         stop = min(n, at + BLOCK)
         pairs = zip(starts[at:stop].tolist(), ends[at + width - 1 : stop + width - 1].tolist())
-        h = np.fromiter((digest(joined[i:j], SEED) for i, j in pairs), np.uint64, stop - at)
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view(np.int64)[0])
+        out[at:stop] = np.fromiter((digest(joined[i:j], SEED) for i, j in pairs), np.uint64, stop - at)
+    return out
+
+
+def fingerprint(hashes: np.ndarray) -> int:
+    """The fingerprint of a text's shingles as a signed 64-bit integer; 0 without shingles."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), BLOCK):
+        bits = np.unpackbits(hashes[at : at + BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones += bits.sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
+
+
+def simhash(text: str | None, width: int = SHINGLE) -> int:
+    """The fingerprint of one text."""
+    return fingerprint(shingle_hashes(text, width))
 
 
 @F.pandas_udf(LongType())
@@ -186,15 +199,3 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", buc
     """``doc_id``, ``fp`` (signed) and ``component_id`` for every row of ``docs``."""
     marked = cut_lineage(docs.select(F.col(id).alias("doc_id"), simhash_udf(F.col(text).cast("string")).alias("fp")))
     return marked.join(components(marked, bucket), "fp").select("doc_id", "fp", "component_id")
-
-
-def drop_near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", bucket: int = 4096) -> DataFrame:
-    """One row of each component, that of its smallest id, with exactly the columns of ``docs``."""
-    marked = cut_lineage(docs.select(F.col(id).alias("doc_id"), simhash_udf(F.col(text).cast("string")).alias("fp")))
-    whole = marked.groupBy("fp").agg(F.min("doc_id").alias("doc_id")).join(components(marked, bucket), "fp")
-    kept = whole.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("x")).select(
-        F.col("x.fp").alias("fp"), F.col("x.doc_id").alias("kept_id")
-    )
-    rows = docs.select(as_row(docs).alias("row"), simhash_udf(F.col(text).cast("string")).alias("fp"))
-    chosen = rows.join(kept, "fp").filter(F.col("row")[id].eqNullSafe(F.col("kept_id")))
-    return chosen.dropDuplicates(["fp"]).select("row.*")

@@ -15,8 +15,9 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from cotejo.llm import ann, components, html, packing, pieces, quality, queries, secrets, simhash, tokencount, toxicity, urlfilter
+from cotejo.llm import ann, components, html, jaccard, packing, pieces, quality, queries, secrets, simhash, tokencount, toxicity, urlfilter
 from cotejo.llm.common import read_table, show_code
+from test_jaccard import survivors
 
 #: Null, empty, blank and long texts, ties and repeats.
 TEXTS = [None, "", " \n\t ", "one", "one two", "Uno DOS tres É", "a b c d e f g h " * 40, "x" * 5000, "w " * 3000, "dup line here\n" * 30]
@@ -111,11 +112,10 @@ def test_near_duplicates_edge_cases(odd):
     assert len(got) == odd.count()
     assert {r.component_id for r in got if r.fp == 0} == {0}
     assert {r.component_id for r in got if r.fp == simhash.simhash("one")} == {3}
-    kept = simhash.drop_near_duplicates(odd)
-    assert kept.columns == odd.columns and sorted(r.doc_id for r in kept.collect()) == sorted({r.component_id for r in got})
     assert simhash.near_duplicates(odd.limit(0)).count() == 0
-    none = odd.filter("doc_id is null")
-    assert simhash.drop_near_duplicates(none).count() == 1
+    kept = jaccard.drop_near_duplicates(odd)
+    assert kept.columns == odd.columns and sorted(r.doc_id for r in kept.collect()) == sorted(survivors({i: t or "" for i, t in enumerate(TEXTS)}))
+    assert jaccard.drop_near_duplicates(odd.filter("doc_id is null")).count() == 1
 
 
 # --- op2
@@ -475,10 +475,7 @@ def test_pipeline_stage_by_stage(spark, folder, documents):
             good = [r.doc_id for r in before if (f := plain_figures(r.text))[0] >= 20 and 100 * f[4] <= 30 * f[0]]
             assert sorted(r.doc_id for r in after) == sorted(good)
         if name == "simhash_near_dedup":
-            ids = sorted(r.doc_id for r in before)
-            text = {r.doc_id: r.text for r in before}
-            best = classes([plain_simhash(text[i]) for i in ids])
-            assert sorted(r.doc_id for r in after) == sorted({ids[b] for b in best.values()})
+            assert sorted(r.doc_id for r in after) == survivors({r.doc_id: r.text for r in before})
         if name == "secret_scans":
             assert sorted(r.doc_id for r in after) == sorted(r.doc_id for r in before)
             assert not any(base_spans(r.text) for r in after)
