@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet
 and read again as the next one's docs. All but the last return the columns of documents.
+
+Defined results: no stage fails on nulls, empty or very long texts, repeated rows, empty
+tables or further columns. A null text counts as empty, so the quality rules drop it;
+later stages keep one (near-dedup one of all empty texts, packing its end id only). Rows
+that repeat are judged one by one, and near-dedup leaves one of them. Ties (documents that
+are alike) go to the smallest id; a null id counts as the largest.
 """
 
 from __future__ import annotations
@@ -11,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cotejo.llm import jaccard, packing, quality, secrets, toxicity
-from cotejo.llm.common import read_table, show_code, write_and_read
+from cotejo.llm.common import drop_tables, read_table, show_code, tables_written, write_and_read
 from cotejo.llm.queries import held_out
 
 
@@ -29,7 +35,10 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one of the smallest id, of each group of texts alike to 0.8 in five-word shingles."""
+    """One document, the one of the smallest id, of each group of texts alike to 0.8 in five-word shingles.
+
+    Operator 1's covering tables and, for the pairs beyond their reach, bands; each link is exact.
+    """
     show_code(spark)
     return jaccard.drop_near_duplicates(docs)
 
@@ -58,7 +67,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    docs, last = read_table(spark, sf_dir, "documents"), tables_written()
     for _, stage in STAGES[:-1]:
+        first = last
         docs = write_and_read(stage(spark, docs, sf_dir))
+        last = tables_written() - 1  # the stage's result; what came before it has been read
+        drop_tables(spark, first, last)
     return STAGES[-1][1](spark, docs, sf_dir)
