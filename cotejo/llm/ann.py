@@ -139,7 +139,8 @@ def nearest(vectors: DataFrame, queries, k: int = 5, id: str = "vec_id", vector:
     """``query_id``, ``rank``, ``vec_id``, ``score`` of each query's k nearest other rows.
 
     ``queries`` is a condition on the columns ``id`` and ``v`` that marks the query rows.
-    Ids are unique; rows that repeat an id are candidates like others, but never of that id.
+    Of valid rows that repeat an id only the one of the smallest vector takes part, so that no
+    id is its own neighbour or found twice.
     """
     v = F.col("v")
     kept, kind = ("array<float>", "<f4") if dict(vectors.dtypes)[vector] == "array<float>" else ("array<double>", "<f8")
@@ -149,6 +150,10 @@ def nearest(vectors: DataFrame, queries, k: int = 5, id: str = "vec_id", vector:
     )
     lengths = clean.groupBy(F.size(v).alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
     clean = clean.filter(F.size(v) == (lengths[0]["n"] if lengths else 0))
+    repeated = cut_lineage(clean.groupBy("id").count().filter("count > 1").select("id"))  # only ids are shuffled
+    if not repeated.isEmpty():
+        one = clean.join(repeated, "id", "left_semi").groupBy("id").agg(F.min("v").alias("v"))
+        clean = clean.join(repeated, "id", "left_anti").select("id", "v").unionByName(one)
     candidates = cut_lineage(clean.mapInArrow(_pack_blocks(block, kind), _PACKED))
     asked = clean.filter(queries)
     parts = math.ceil(asked.count() / QUERIES) or 1

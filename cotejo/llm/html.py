@@ -6,9 +6,17 @@ tags). Elements that are not shown are built by the same rules, so that they end
 reader's browser ends them, but are left out of the tree: ``head`` (which the first tag or
 text that is no head content ends), scripts, styles, templates, ``datalist``, the fallbacks
 of ``audio``, ``video`` and ``canvas``, descriptions and definitions in ``svg``, annotations
-in ``math``, ``hidden`` attributes, ``display:none`` and ``visibility:hidden``. The renderer keeps the
-spacing of blocks, marks and indents list items, numbers ordered ones, keeps the white
-space of ``pre``, and aligns the columns of tables. All visible text is emitted.
+in ``math``, ``hidden`` attributes and ``display:none``. Text under ``visibility:hidden`` is
+left out up to a descendant with ``visibility:visible``. Both count in style attributes and
+in rules of the page's own style sheets whose selectors are a tag, classes or an id (rules
+for other media, and other selectors, are passed over). The renderer keeps the spacing of
+blocks, marks and indents list items, numbers ordered ones, keeps the white space of
+``pre``, and aligns the columns of tables, cells over several columns or rows included. All
+visible text is emitted. Time grows with the length of a page, however deep it is.
+
+A column is as wide as its widest cell. Only where this would pad a table to more than
+``PADDING`` times its text (and a little more) wide cells stand out of narrower columns,
+so that no page makes a text of another order of size.
 
 Defined results: null or empty pages give an empty text; a page of any depth or length is
 rendered whole, without recursion; repeated rows are rendered one by one; other columns
@@ -17,9 +25,10 @@ pass through in ``row``.
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
-from collections import Counter
+from collections import defaultdict
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -32,7 +41,14 @@ TOKEN = re.compile(
     r"""<(/?)([A-Za-z][^\s/>]*+)((?:=\s*+"[^"]*+(?:"|\Z)|=\s*+'[^']*+(?:'|\Z)|[^>])*+)(?:>|\Z)""", re.S
 )
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
-GONE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+#: Declarations that decide whether something is seen.
+DECLARED = re.compile(r"(?:^|[;\s])(display|visibility)\s*:\s*([a-z-]+)\s*(!\s*important)?", re.I)
+#: What may hold a style sheet, or look like one; rules of a sheet; selectors that are understood.
+SHEETS = re.compile(r"<!--.*?(?:-->|\Z)|<(script|textarea|title|xmp)\b.*?(?:</\1\b|\Z)|<style\b([^>]*)>(.*?)(?:</style\b|\Z)", re.S | re.I)
+BRACES = re.compile("[{};]")
+RULE = re.compile(r"([^{}]*)\{([^{}]*)\}")
+SELECTOR = re.compile(r"([a-z][a-z0-9]*|\*)?((?:[.#][a-z_-][\w-]*)*)", re.I)
+INTEGER = re.compile(r"\s*([+-]?\d{1,10})(?!\d)")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is not markup.
@@ -62,52 +78,123 @@ ENDS = {
     "tfoot": (("tbody", "thead", "tfoot"), ("table",)),
     "thead": (("tbody", "thead", "tfoot"), ("table",)),
 }
-#: A cell wider than this does not widen its column.
-WIDEST = 60
+#: Padding of a table, as a multiple of its text and beyond that in characters.
+PADDING, ROOM = 16, 1 << 16
+#: The largest numbers of columns and rows that a cell can span.
+MOST_COLUMNS, MOST_ROWS = 1000, 65534
 
 
 class Node:
     """An element; children are nodes and texts."""
 
-    __slots__ = ("tag", "children", "start")
+    __slots__ = ("tag", "children", "start", "span", "seen")
 
-    def __init__(self, tag: str, start: int = 1):
-        self.tag, self.start, self.children = tag, start, []
+    def __init__(self, tag: str, seen: bool = True):
+        self.tag, self.seen, self.children = tag, seen, []
+        self.start: int | None = None  # number of a list or list item
+        self.span = (1, 1)  # columns and rows of a cell
 
 
-def _hidden(tag: str, rest: str) -> bool:
-    if tag in UNSEEN:
-        return True
-    if "hidden" not in rest.lower() and "none" not in rest.lower():
-        return False
-    given = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(rest)}
-    return "hidden" in given or bool(GONE.search(given.get("style", ""))) or (tag == "input" and given.get("type", "").lower() == "hidden")
+class Sheet:
+    """Which elements the page's own style sheets hide or show."""
+
+    def __init__(self, page: str):
+        #: By the rarest part of a selector: (tag, all classes and ids), specificity, order, declarations.
+        self.rules: dict[str, list[tuple]] = {}
+        if "<style" not in page.lower():
+            return
+        order = 0
+        for m in SHEETS.finditer(page):
+            media = re.search(r"media\s*=\s*[\"']?([^\"'>]*)", m[2] or "", re.I)
+            if m[3] is None or (media and not re.search(r"\b(all|screen)\b", media[1].lower() or "all")):
+                continue
+            for selectors, body in RULE.findall(_without_blocks(re.sub(r"(?s)/\*.*?(?:\*/|\Z)", " ", m[3]))):
+                declared = [(k.lower(), v.lower(), bool(i)) for k, v, i in DECLARED.findall(body)]
+                if not declared:
+                    continue
+                for selector in selectors.split(","):
+                    parts = SELECTOR.fullmatch(selector.strip())
+                    if parts and parts[0]:
+                        marks = re.findall(r"[.#][\w-]+", parts[2])
+                        tag = (parts[1] or "*").lower()
+                        order += 1
+                        weight = (sum(x[0] == "#" for x in marks), sum(x[0] == "." for x in marks), tag != "*", order)
+                        self.rules.setdefault(marks[0] if marks else tag, []).append((tag, frozenset(marks), weight, declared))
+
+    def of(self, tag: str, given: dict[str, str]) -> dict[str, str]:
+        """``display`` and ``visibility`` of an element by rules and its style attribute."""
+        found: dict[str, tuple] = {}
+
+        def offer(declared, weight) -> None:
+            for key, value, important in declared:
+                found[key] = max(found.get(key, ((),)), ((important, *weight), value))
+
+        if self.rules:
+            marks = {"." + c for c in given.get("class", "").split()} | ({"#" + given["id"].strip()} if given.get("id") else set())
+            for key in (*marks, tag, "*"):
+                for name, wanted, weight, declared in self.rules.get(key, ()):
+                    if name in (tag, "*") and wanted <= marks:
+                        offer(declared, (0, *weight))
+        for i, (k, v, important) in enumerate(DECLARED.findall(given.get("style", ""))):
+            offer([(k.lower(), v.lower(), bool(important))], (1, 0, 0, 0, i))
+        return {k: v[1] for k, v in found.items()}
+
+
+def _without_blocks(sheet: str) -> str:
+    """A sheet without its at-rules and the rules in them."""
+    out, at = [], 0
+    for m in re.finditer("@", sheet):
+        if m.start() < at:
+            continue
+        out.append(sheet[at : m.start()])
+        depth, at = 0, len(sheet)
+        for x in BRACES.finditer(sheet, m.start()):
+            depth += {"{": 1, "}": -1, ";": 0}[x[0]]
+            if depth <= 0:
+                at = x.end()
+                break
+    return "".join([*out, sheet[at:]])
+
+
+#: A tag with none of these needs no look at its attributes, unless the page has style rules.
+TELLING = re.compile("hidden|none|visib|start|value|span", re.I)
+
+
+def _integer(value: str | None) -> int | None:
+    """A 32-bit number at the start of an attribute."""
+    m = INTEGER.match(value or "")
+    return int(m[1]) if m and abs(int(m[1])) < 1 << 31 else None
 
 
 def parse(page: str) -> Node:
     """The tree of the visible elements and texts of a page."""
-    root = Node("html")
+    root, sheet = Node("html"), Sheet(page)
     stack = [root]
-    opened: Counter[str] = Counter()  # open elements by tag
+    places: defaultdict[str, list[int]] = defaultdict(list)  # where open elements of a tag are in the stack
     at = 0
 
+    def push(node: Node) -> None:
+        places[node.tag].append(len(stack))
+        stack.append(node)
+
+    def cut(i: int) -> None:
+        while len(stack) > i:
+            places[stack.pop().tag].pop()
+
+    def innermost(tags) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
     def text(s: str) -> None:
-        if s and opened["head"] and stack[-1].tag == "head" and not s.isspace():
+        if s and places.get("head") and stack[-1].tag == "head" and not s.isspace():
             end_head()
-        if s:
+        if s and stack[-1].seen:
             stack[-1].children.append(html.unescape(s) if "&" in s else s)
 
     def close(ends: tuple[str, ...], within: tuple[str, ...]) -> None:
         """Close the innermost element among ``ends`` that no element of ``within`` holds."""
-        if not any(opened[t] for t in ends):
-            return
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in ends:
-                opened.subtract(n.tag for n in stack[i:])
-                del stack[i:]
-                return
-            if stack[i].tag in within or stack[i].tag in WALLS:
-                return
+        i = innermost(ends)
+        if i and i > max(innermost(within), innermost(WALLS - set(ends))):
+            cut(i)
 
     def end_head() -> None:
         """Close the head, unless something other than ``noscript`` is open in it."""
@@ -115,8 +202,7 @@ def parse(page: str) -> Node:
         while stack[i].tag == "noscript":
             i -= 1
         if stack[i].tag == "head":
-            opened.subtract(n.tag for n in stack[i:])
-            del stack[i:]
+            cut(i)
 
     while at < len(page):
         m = TOKEN.search(page, at)
@@ -128,10 +214,10 @@ def parse(page: str) -> Node:
         if m[2] is None:
             continue
         tag, ending = m[2].lower(), bool(m[1])
-        if opened["head"] and (tag in ("body", "html", "br") if ending else tag not in HEAD):
+        if places.get("head") and (tag in ("body", "html", "br") if ending else tag not in HEAD):
             end_head()
         if ending:
-            if tag == "p" and not opened["p"]:
+            if tag == "p" and not places.get("p"):
                 stack[-1].children.append(Node("p"))
             elif tag == "br":
                 stack[-1].children.append(Node("br"))
@@ -142,28 +228,36 @@ def parse(page: str) -> Node:
             continue
         if tag == "head" and (len(stack) > 1 or any(not isinstance(x, str) or x.strip() for x in root.children)):
             continue
-        hidden = _hidden(tag, m[3]) or any(opened[t] and tag in within for t, within in UNSEEN_IN.items())
+        hidden = tag in UNSEEN or any(places.get(t) and tag in within for t, within in UNSEEN_IN.items())
+        given = {x[1].lower(): x[2] or x[3] or x[4] or "" for x in ATTRIBUTE.finditer(m[3])} if m[3] and (sheet.rules or TELLING.search(m[3])) else {}
+        style = sheet.of(tag, given) if sheet.rules or given else {}
+        hidden |= style.get("display") == "none" or ("hidden" in given and "display" not in style) or (tag == "input" and given.get("type", "").lower() == "hidden")
         if tag in BLOCK:
             close(("p",), ("td", "th", "table", "li", "button"))
         if tag in ENDS:
             close(*ENDS[tag])
         if tag in ("td", "th") and stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
-            stack.append(Node("tr"))
-            opened["tr"] += 1
-            stack[-2].children.append(stack[-1])
-        node = Node(tag)
-        if tag == "ol" and (first := re.search(r"start\s*=\s*[\"']?(\d{1,6})", m[3])):
-            node.start = int(first[1])
+            row = Node("tr", stack[-1].seen)
+            stack[-1].children.append(row)
+            push(row)
+        seen = {"hidden": False, "collapse": False, "visible": True}.get(style.get("visibility", ""), stack[-1].seen)
+        node = Node(tag, seen)
+        if given:
+            node.start = _integer(given.get("start" if tag == "ol" else "value")) if tag in ("ol", "li") else None
+            if tag in ("td", "th"):
+                columns, rows = (_integer(given.get(k)) for k in ("colspan", "rowspan"))
+                # no rows means all that follow
+                node.span = (min(max(columns or 1, 1), MOST_COLUMNS), MOST_ROWS if rows == 0 else min(max(rows or 1, 1), MOST_ROWS))
         if not hidden:
             stack[-1].children.append(node)
         if tag in RAW:
             end = _after_raw(page, tag, at)
             inner = page[at:end]
-            node.children.append(html.unescape(inner[: inner.rfind("<")] if end > at and inner.endswith(">") else inner))
+            if seen:
+                node.children.append(html.unescape(inner[: inner.rfind("<")] if end > at and inner.endswith(">") else inner))
             at = end
         elif tag not in VOID and not m[3].endswith("/"):
-            stack.append(node)
-            opened[tag] += 1
+            push(node)
     return root
 
 
@@ -233,21 +327,62 @@ class Lines:
         return self.done
 
 
-def _align(rows: list[list[list[str]]]) -> list[str]:
-    """Lines of a table from the lines of its cells: columns padded to their widest cell."""
-    width: list[int] = []
+def _align(rows: list[list[tuple[list[str], tuple[int, int]]]]) -> list[str]:
+    """Lines of a table from its cells (lines, columns and rows spanned): columns padded to their widest cell."""
+    placed: list[list[tuple[int, int, list[str]]]] = []  # first column, column behind, lines
+    below: list[tuple[int, int, int]] = []  # first column, column behind, rows left of cells from above
     for row in rows:
-        for i, cell in enumerate(row):
-            own = max([0, *(len(x) for x in cell if len(x) <= WIDEST)])
-            if i == len(width):
-                width.append(own)
-            else:
-                width[i] = max(width[i], own)
+        line, at, taken = [], 0, sorted(below)
+        i = 0
+        for cell, (columns, deep) in row:
+            while i < len(taken) and taken[i][0] <= at:
+                at = max(at, taken[i][1])
+                i += 1
+            line.append((at, at + columns, cell))
+            if deep > 1:
+                below.append((at, at + columns, deep))
+            at += columns
+        placed.append(line)
+        below = [(a, b, n - 1) for a, b, n in below if n > 1]
+    # only columns in which a cell begins count
+    begins = {c: i for i, c in enumerate(sorted({a for line in placed for a, _, _ in line}))}
+    order = list(begins)
+    cells = [[(begins[a], bisect.bisect_left(order, b), cell) for a, b, cell in line] for line in placed]
+    widest = [[0, *(len(x) for x in cell)] for line in cells for _, _, cell in line]
+    text = sum(map(sum, widest))
+    cap = max(map(max, widest), default=0)
+
+    def widths() -> list[int]:
+        out = [0] * len(order)
+        for line in cells:
+            for a, b, cell in line:
+                if b - a == 1:
+                    out[a] = max(out[a], min(cap, max([0, *map(len, cell)])))
+        for line in cells:
+            for a, b, cell in line:
+                if b - a > 1:  # what a cell over several columns lacks goes to the last
+                    out[b - 1] = max(out[b - 1], min(cap, max([0, *map(len, cell)])) - sum(out[a : b - 1]) - 3 * (b - 1 - a))
+        return out
+
+    width = widths()
+    while (sum(width) + 3 * len(width)) * len(cells) > PADDING * text + ROOM and cap > 8:
+        cap //= 2
+        width = widths()
+    starts = [0]
+    for w in width:
+        starts.append(starts[-1] + w + 3)
     out = []
-    for row in rows:
-        for k in range(max([0, *map(len, row)])):
-            parts = [(cell[k] if k < len(cell) else "").ljust(width[i]) for i, cell in enumerate(row)]
-            out.append(" | ".join(parts).rstrip())
+    for line in cells:
+        for k in range(max([0, *(len(cell) for _, _, cell in line)])):
+            parts: list[str] = []
+            at = 0
+            for j, (a, b, cell) in enumerate(line):
+                if parts:
+                    parts.append(" | ")
+                parts.append(" " * (starts[a] - at))
+                parts.append((cell[k] if k < len(cell) else "").ljust(starts[b] - starts[a] - 3))
+                at = starts[b]
+            out.append("".join(parts).rstrip())
     return out
 
 
@@ -255,7 +390,7 @@ def render(root: Node) -> str:
     """The visible text of a tree."""
     lines = Lines()
     outer: list[Lines] = []  # layouts around open table cells
-    tables: list[list[list[list[str]]]] = []
+    tables: list[list[list[tuple]]] = []  # rows of cells: lines, span
     lists: list[list] = []  # kind and next number
     pre = 0
     work: list[tuple[Node | str, bool]] = [(root, False)]
@@ -282,10 +417,12 @@ def render(root: Node) -> str:
             elif tag in BLOCK:
                 lines.end(gap=tag in APART and not (tag in ("ul", "ol") and lists) and lines.mark is None)
             if tag in ("ul", "ol", "menu"):
-                lists.append([tag, node.start])
+                lists.append([tag, 1 if node.start is None else node.start])
             elif tag == "li":
                 mark = "- "
                 if lists and lists[-1][0] == "ol":
+                    if node.start is not None:
+                        lists[-1][1] = node.start
                     mark = f"{lists[-1][1]}. "
                     lists[-1][1] += 1
                 lines.mark = mark
@@ -301,7 +438,7 @@ def render(root: Node) -> str:
         if tag in ("td", "th") and tables:
             cell = lines.result()
             lines = outer.pop()
-            tables[-1][-1].append(cell)
+            tables[-1][-1].append((cell, node.span))
         elif tag == "table":
             lines.rows(_align(tables.pop()))
         elif tag in BLOCK and tag != "tr":

@@ -10,9 +10,11 @@ or fewer meets for certain. Pairs of similarity 0.8 differ in ten of 64 bits, fo
 covering masks would take 2^11 tables and more, so their reach is widened by 24 bands of
 five minima of the same hashes: a pair of 0.8 shares a bucket with a probability of
 1 - (1 - 0.8^5)^24 = 0.9999, and more similar ones still surer. Every candidate is decided
-by its exact similarity. In each bucket all members are compared with its smallest; only
-members that this leaves in different components are compared with one another, so pairs
-grow with the members of a bucket where these are alike.
+by its exact similarity. In each bucket all members are compared with its smallest, then, in
+rounds, those of other components with a pivot, as long as each round halves what is left;
+members that this leaves in different components are compared where they share one of their
+rarest shingles, which loses no pair. So pairs grow neither with the square of a group of
+copies nor with that of the texts that hold a common passage.
 
 Defined results: null and empty texts have the empty set and are alike; a text of fewer
 words than a shingle has one shingle; repeated rows share a component, also those that
@@ -44,6 +46,8 @@ FACTORS, OFFSETS = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS *
 FACTORS |= np.uint64(1)
 #: Most rows of a side that is broadcast (ids or keys of some 50 bytes); beyond it both sides are shuffled.
 FEW = 500_000
+#: Most rounds with pivots; what they leave apart is compared by rare shingles.
+PIVOTS = 8
 
 
 def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -136,6 +140,37 @@ def _alike(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
     return both.filter(F.size(F.array_intersect("x", "y")) * F.lit(p + q) >= (F.size("x") + F.size("y")) * F.lit(p)).select("a", "b")
 
 
+def _apart(shared: DataFrame, found: DataFrame) -> tuple[DataFrame, int]:
+    """Members (h, key, n, label) of the buckets that hold more than one component, and their number."""
+    placed = shared.join(found.withColumnRenamed("child", "key"), "key", "left").select("h", "key", "n", F.coalesce("parent", "key").alias("label"))
+    mixed = placed.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("h")
+    rest = cut_lineage(placed.join(mixed, "h", "left_semi"))
+    return rest, rest.count()
+
+
+def _sharing_rare(rest: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
+    """Pairs a, b of members of different components that share one of their rarest shingles.
+
+    Of n shingles, ordered from the rarest, a set that is alike to another must share one of
+    the first n - ceil(t n) + 1 with the first of the other, so no pair is lost; and a passage
+    that very many texts hold is among these only where a text has little else.
+    """
+    p, q = threshold.numerator, threshold.denominator
+    members = rest.select("key", "n", "label").distinct()
+    each = cut_lineage(members.join(sets, "key").select("key", F.explode("shingles").alias("s")))
+    common = each.groupBy("s").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")  # alone, a shingle is shared with none
+    ordered = each.join(common, "s", "left").groupBy("key").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("c", F.lit(1)).alias("c"), "s"))).alias("o"))
+    n = F.size("o")
+    first = F.slice("o", F.lit(1), n - F.ceil(n * F.lit(p) / F.lit(q)).cast("int") + 1)
+    rare = cut_lineage(ordered.select("key", F.explode(F.filter(first, lambda x: x["c"] > 1)).alias("x")).select("key", "x.s").join(members, "key"))
+    mixed = rare.groupBy("s").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("s")
+    rare = cut_lineage(rare.join(mixed, "s", "left_semi"))
+    one, two = rare.alias("one"), rare.alias("two")
+    sizes = F.least("one.n", "two.n") * F.lit(q) >= F.greatest("one.n", "two.n") * F.lit(p)
+    met = one.join(two, (F.col("one.s") == F.col("two.s")) & (F.col("one.label") < F.col("two.label")) & sizes)
+    return met.select(F.least("one.key", "two.key").alias("a"), F.greatest("one.key", "two.key").alias("b")).distinct()
+
+
 def components(texts: DataFrame, marked: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD) -> DataFrame:
     """``key``, ``root`` (smallest id) and ``label`` of each distinct set; equal labels are linked."""
     limit = Fraction(str(threshold))
@@ -144,18 +179,24 @@ def components(texts: DataFrame, marked: DataFrame, width: int = WIDTH, threshol
     buckets = members.groupBy("h").agg(F.min("key").alias("low"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("h", "low")
     shared = cut_lineage(members.join(buckets, "h").select("h", "key", "n", "low"))
     sets = cut_lineage(_sets(texts, distinct.select("key", "root").join(shared.select("key").distinct(), "key", "left_semi"), width))
-    first = shared.filter("key <> low").select(F.col("low").alias("a"), F.col("key").alias("b")).distinct()
+    first = cut_lineage(shared.filter("key <> low").select(F.col("low").alias("a"), F.col("key").alias("b")).distinct())
     found = stars(_alike(first, sets, limit))
 
-    # members of one bucket that are not yet in one component
-    placed = shared.join(found.withColumnRenamed("child", "key"), "key", "left").select("h", "key", "n", F.coalesce("parent", "key").alias("label"))
-    mixed = placed.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("h")
-    rest = cut_lineage(placed.join(mixed, "h", "left_semi"))
-    one, two = rest.alias("one"), rest.alias("two")
-    sizes = F.least("one.n", "two.n") * F.lit(limit.denominator) >= F.greatest("one.n", "two.n") * F.lit(limit.numerator)
-    met = one.join(two, (F.col("one.h") == F.col("two.h")) & (F.col("one.label") < F.col("two.label")) & sizes)
-    met = met.select(F.least("one.key", "two.key").alias("a"), F.greatest("one.key", "two.key").alias("b")).distinct()
-    more = _alike(met.join(first, ["a", "b"], "left_anti"), sets, limit)
+    # members of one bucket that are not yet in one component: with a pivot first, as long as that joins them
+    tried = first
+    rest, size = _apart(shared, found)
+    for turn in range(PIVOTS if size else 0):
+        pivots = rest.groupBy("h").agg(F.min(F.struct(F.xxhash64("key", F.lit(turn)).alias("by"), "key", "label")).alias("p"))
+        met = rest.join(pivots, "h").filter("label <> p.label").select(F.least("key", "p.key").alias("a"), F.greatest("key", "p.key").alias("b")).distinct()
+        met = cut_lineage(met.join(tried, ["a", "b"], "left_anti"))
+        tried = tried.unionByName(met)
+        found = stars(found.select(F.col("child").alias("a"), F.col("parent").alias("b")).unionByName(_alike(met, sets, limit)))
+        before = size
+        rest, size = _apart(shared, found)
+        if 2 * size > before:
+            break
+    # then the pairs of those that are still apart, found by their rare shingles
+    more = _alike(_sharing_rare(rest, sets, limit).join(tried, ["a", "b"], "left_anti"), sets, limit) if size else tried.limit(0)
     joined = stars(found.select(F.col("child").alias("a"), F.col("parent").alias("b")).unionByName(more))
     return distinct.join(joined.withColumnRenamed("child", "key"), "key", "left").select("key", "root", F.coalesce("parent", "key").alias("label"))
 

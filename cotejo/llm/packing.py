@@ -9,8 +9,8 @@ after another; the rest of each such group is split into lengths that are powers
 
 Tokenising works per distinct run of non-space characters of a batch: the tokenizer drops
 white space, lower-cases, and always cuts between a letter and a full stop or comma, so a
-text's ids are those of such runs in order. Ids of runs are cached up to ``CACHE`` entries
-a worker. A run of plain letters goes straight to the tokenizer's model.
+text's ids are those of such runs in order. Ids of runs are cached, bounded in entries and
+in characters, in every worker. A run of plain letters goes straight to the tokenizer's model.
 
 Defined results: a null or empty text is just the end id; every id of every row lies in
 exactly one piece; repeated rows are packed as often as they occur; an empty table gives
@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 
 from cotejo.llm.common import write_and_read
 
-#: Runs whose ids a worker keeps, and runs that one call of the tokenizer gets.
-CACHE, CALL = 250_000, 64
+#: Runs whose ids a worker keeps, characters and ids of them, and runs that one call of the tokenizer gets.
+CACHE, LETTERS, CALL = 250_000, 8_000_000, 64
 #: Runs that are one word for any tokenizer of this kind; a stop that ends a word.
 PLAIN, STOP = re.compile("[a-z]+").fullmatch, "([A-Za-zÀ-ÖØ-öø-ÿ])([.,])"
 #: Partitions whose leftovers are merged together.
@@ -53,7 +53,7 @@ class RunEncoder:
         self.size = np.zeros(1024, np.int64)
         self.start = np.zeros(1024, np.int64)
         self.flat = np.zeros(4096, np.uint32)
-        self.used = 0
+        self.used = self.letters = 0
 
     def _learn(self, runs: list[str]) -> None:
         plain = [r for r in runs if PLAIN(r)]
@@ -80,6 +80,7 @@ class RunEncoder:
         self.start[n : n + len(runs)] = self.used + np.cumsum(counts) - counts
         self.used += m
         self.at.update(zip(runs, range(n, n + len(runs))))
+        self.letters += sum(map(len, runs))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, and the number of ids of each text."""
@@ -88,7 +89,7 @@ class RunEncoder:
         lists = pc.ascii_split_whitespace(pc.replace_substring_regex(texts, STOP, r"\1 \2"))
         runs = pc.dictionary_encode(lists.flatten())
         distinct = runs.dictionary.to_pylist()
-        if len(self.at) + len(distinct) > CACHE:
+        if len(self.at) + len(distinct) > CACHE or max(self.letters, self.used) > LETTERS:
             self.clear()
         known = self.at
         self._learn([r for r in distinct if r not in known])

@@ -1,11 +1,14 @@
 """SentencePiece encoding with N-best segmentation, and decoding.
 
 The pieces of a model file span a lattice over a text in which every path is a
-segmentation; characters without a piece are spelled in byte pieces. A piece's score is
+segmentation; characters without a piece are spelled in byte pieces, and so is U+2581, which
+in pieces stands for a space, where a text has it. A piece's score is
 the log probability that Zipf's law gives its rank in the file, in whole millionths so that
 sums are exact. The N best paths of a unit are found as in SentencePiece itself: forward
 Viterbi scores are an exact heuristic for an A* search from the end of the unit to its
-begin, so every popped path is the next best.
+begin, so every popped path is the next best. That is another objective than the merges of
+the model file, which ranks pieces and has no probabilities, so the best segmentation of a
+text is rarely the library's encoding of it; but it decodes to the text.
 
 No piece has a space after another character, and none a line break, so the lattice falls
 apart into units (spaces with the word behind them, and line breaks), and the N best
@@ -35,8 +38,10 @@ from pyspark.sql import functions as F
 from cotejo.llm.common import as_row
 
 SPACE = "▁"
+#: Stands for that character where a text itself has it, which UTF-8 cannot hold otherwise.
+LITERAL = "\udc81"
 UNIT = re.compile(f"{SPACE}*[^{SPACE}\n]+|\n|{SPACE}+")
-MAX_UNITS = 200_000
+MAX_UNITS, MAX_LETTERS = 200_000, 4_000_000
 #: Longest unit that is solved together with others, and how many at a time.
 SHORT, TOGETHER = 48, 4096
 
@@ -157,7 +162,7 @@ class Lattice:
                 if (found := self.pieces.get(unit[i:j])) is not None:
                     out[j].append((i, found[0], (found[1],)))
             if unit[i] not in self.pieces:
-                spelled = unit[i].encode("utf-8", "surrogatepass")
+                spelled = _spelling(unit[i])
                 out[i + 1].append((i, len(spelled) * self.byte_score, tuple(self.bytes[b] for b in spelled)))
         return out
 
@@ -182,7 +187,7 @@ class Lattice:
                 elif found == 0:
                     break
             if unit[i] not in self.pieces:
-                spelled = unit[i].encode("utf-8", "surrogatepass")
+                spelled = _spelling(unit[i])
                 s = len(spelled) * self.byte_score
                 arcs.append((i, i + 1, s))
                 if here + s > forth[i + 1]:
@@ -228,8 +233,13 @@ class Lattice:
         return found
 
 
+def _spelling(char: str) -> bytes:
+    return (SPACE if char == LITERAL else char).encode("utf-8", "surrogatepass")
+
+
 def units_of(text: str | None) -> list[str]:
-    return UNIT.findall(SPACE + text.replace(" ", SPACE)) if text else []
+    """Spaces with the words behind them, and line breaks; a ``SPACE`` of the text itself is spelled in bytes."""
+    return UNIT.findall(SPACE + text.replace(SPACE, LITERAL).replace(" ", SPACE)) if text else []
 
 
 class Segmenter:
@@ -244,7 +254,7 @@ class Segmenter:
         self.options: dict[str, list[tuple[int, tuple[int, ...]]]] = {}
         self.table = np.zeros((1024, 4), np.int64)  # start and number of ids, score, loss of the second
         self.flat: np.ndarray = np.zeros(1024, np.int32)
-        self.used = 0
+        self.used = self.letters = 0
 
     def _learn(self, units: list[str]) -> None:
         known = self.lattice.pieces
@@ -268,6 +278,7 @@ class Segmenter:
         self.table[n : n + len(units)] = np.stack((self.used + np.cumsum(sizes) - sizes, sizes, score, loss), axis=1)
         self.used += len(ids)
         self.code.update(zip(units, range(n, n + len(units))))
+        self.letters += sum(map(len, units))
 
     def _n_best(self, unit: str) -> list[tuple[int, tuple[int, ...]]]:
         if (known := self.options.get(unit)) is None:
@@ -281,7 +292,7 @@ class Segmenter:
         lost = np.flatnonzero(codes < 0).tolist()
         if lost:
             fresh = list(dict.fromkeys(units[i] for i in lost))
-            if self.code and len(self.code) + len(fresh) > MAX_UNITS:
+            if self.code and (len(self.code) + len(fresh) > MAX_UNITS or max(self.letters, self.used) > MAX_LETTERS):
                 self.clear()
                 return self._codes(units)
             self._learn(fresh)
@@ -292,7 +303,7 @@ class Segmenter:
         """Solve the new units of some texts together."""
         fresh = set().union(*texts)
         lost = [u for u in fresh if u not in self.code]
-        if len(self.code) + len(lost) > MAX_UNITS:
+        if len(self.code) + len(lost) > MAX_UNITS or max(self.letters, self.used) > MAX_LETTERS:
             self.clear()
             lost = list(fresh)
         self._learn(lost)

@@ -108,8 +108,8 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def held_out(id) -> Column:
-    """A fifth of the ids, by their CRC-32 as text."""
-    return F.crc32(id.cast("string")) % 5 == 0
+    """A fifth of the ids, by their CRC-32 as text; a null id counts as an empty text and is one of them."""
+    return F.crc32(F.coalesce(id.cast("string"), F.lit(""))) % 5 == 0
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,9 @@ Two deterministic machines give the number of tokens without building them:
   may grow into a token, and the last token and relative count at each cut within it. It
   is determinised as it is used and cleared at ``MAX_STATES`` states.
 
-Counts of whole pretokens are remembered up to ``MAX_WORDS`` entries a worker.
+  At the end of a pretoken it is back at its start, so there the counts of chunks add up.
+
+Counts of pretokens of up to ``LONGEST`` bytes are remembered, ``MAX_WORDS`` of them a worker.
 
 Defined results: a null text counts as empty (no bytes, no tokens); repeated rows are
 counted one by one; texts of any length are counted in pieces of ``PIECE`` code points.
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 from cotejo.llm.common import as_row
 
 CHUNK, PIECE = 512, 1 << 20
-MAX_STATES, MAX_WORDS = 150_000, 400_000
+MAX_STATES, MAX_WORDS, LONGEST = 150_000, 400_000, 64
 
 # Classes of characters.
 LETTER, NUMBER, BLANK, WHITE, QUOTE, OTHER, ONE, TWO_E, TWO_L, E, END = range(11)
@@ -163,27 +165,34 @@ class WordCounter:
         delta = count + 1
         keep = next(i for i in range(len(grown) + 1) if grown[i:] in self.prefixes)
         after = (*((t, c - delta) for t, c in cuts[keep:]), (token, 0))
-        key = (grown[keep:], after)
-        if (to := self.number.get(key)) is None:
-            to = self.number[key] = len(self.states)
-            self.states.append(key)
-            self.steps.append({})
+        to = self._number((grown[keep:], after))
         self.steps[state][byte] = to, delta
         return to, delta
 
+    def _number(self, state: tuple) -> int:
+        """The number of a state, which may be new."""
+        if (n := self.number.get(state)) is None:
+            n = self.number[state] = len(self.states)
+            self.states.append(state)
+            self.steps.append({})
+        return n
+
     def count(self, word: bytes) -> int:
         if (n := self.words.get(word)) is not None:
             return n
-        if len(self.states) > MAX_STATES:
-            self.clear()
         state = n = 0
-        for byte in word:
+        for i, byte in enumerate(word):
+            if not i % 4096 and len(self.states) > MAX_STATES:  # a long word may fill the table by itself
+                here = self.states[state]
+                self.clear()
+                state = self._number(here)
             step = self.steps[state].get(byte) or self._build(state, byte)
             state = step[0]
             n += step[1]
-        if len(self.words) >= MAX_WORDS:
-            self.words.clear()
-        self.words[word] = n
+        if len(word) <= LONGEST:
+            if len(self.words) >= MAX_WORDS:
+                self.words.clear()
+            self.words[word] = n
         return n
 
 

@@ -7,7 +7,8 @@ shifted by a threshold per language, so that 0.5 is the best cut in each; the la
 guessed from frequent words of the text itself and no column but the text is read.
 
 Training uses at most about ``per_class`` labelled texts of each class (a documented bound:
-rows are taken by a hash of id and text, equal texts once). Scoring reads every whole text
+rows are taken by a hash of the id, equal texts once, by the smallest id; ids or texts with
+both labels are left out). Scoring reads every whole text
 in pieces of bounded size, of which the maxima are combined.
 
 Defined results: a null or empty text counts as a text without words and gets the score of
@@ -36,8 +37,8 @@ BUCKETS, WIDTH, FILTERS, SPANS = 1 << 16, 8, 8, (1, 2, 3)
 STARTS = (0, 3, 4, 5, 6)
 #: Words of a piece when scoring.
 PIECE = 1 << 17
-#: Distinct words of which a worker keeps the filter outputs.
-MAX_WORDS = 200_000
+#: Distinct words, and bytes of them, of which a worker keeps the filter outputs.
+MAX_WORDS, MAX_BYTES = 200_000, 4_000_000
 PAD = 0
 #: Frequent words that tell the languages apart.
 MARKERS = {
@@ -90,6 +91,7 @@ class Scorer:
 
     def clear(self) -> None:
         self.code: dict[bytes, int] = {}
+        self.bytes = 0
         self.outputs = np.zeros((1024, sum(SPANS) * FILTERS), np.float32)
 
     def _learn(self, words: list[bytes]) -> None:
@@ -99,13 +101,14 @@ class Scorer:
             self.outputs = np.concatenate((self.outputs, np.zeros((n + len(words), self.outputs.shape[1]), np.float32)))
         self.outputs[n : n + len(words)] = np.concatenate([embedded @ f for block in m.filters for f in block], axis=1)
         self.code.update(zip(words, range(n, n + len(words))))
+        self.bytes += sum(map(len, words))
 
     def _codes(self, words: list[bytes]) -> np.ndarray:
         codes = np.fromiter(map(self.code.get, words, repeat(-1)), np.int64, len(words))
         lost = np.flatnonzero(codes < 0).tolist()
         if lost:
             fresh = list(dict.fromkeys(words[i] for i in lost))
-            if len(self.code) and len(self.code) + len(fresh) > MAX_WORDS:
+            if len(self.code) and (len(self.code) + len(fresh) > MAX_WORDS or self.bytes > MAX_BYTES):
                 self.clear()
                 return self._codes(words)
             self._learn(fresh)
@@ -300,13 +303,15 @@ def training_sample(docs: DataFrame, labels: DataFrame, trainable: Column, per_c
     ``trainable`` is a condition on the id. Labels are counted first; then each class is
     thinned by a hash of the id, so that texts beyond the bound are never moved.
     """
-    marks = labels.filter(trainable).select(F.col(id).alias("id"), F.col("toxic").cast("int").alias("toxic")).filter("toxic in (0, 1)").dropDuplicates(["id"])
+    marks = labels.filter(trainable).select(F.col(id).alias("id"), F.col("toxic").cast("int").alias("toxic")).filter("toxic in (0, 1) and id is not null")
+    marks = marks.groupBy("id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("other")).filter("toxic = other").drop("other")
     counts = {r["toxic"]: r["count"] for r in marks.groupBy("toxic").count().collect()}
     share = F.when(F.col("toxic") == 1, F.lit(per_class / max(counts.get(1, 0), per_class))).otherwise(F.lit(per_class / max(counts.get(0, 0), per_class)))
     marks = marks.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share * 1_000_000)
     texts = docs.select(F.col(id).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     found = texts.join(F.broadcast(marks), "id")  # at most about 2 * per_class rows
-    return found.dropDuplicates(["text"]).orderBy(F.xxhash64("id"), "id").select("text", "toxic").toPandas()
+    found = found.groupBy("text").agg(F.min("id").alias("id"), F.min("toxic").alias("toxic"), F.max("toxic").alias("other")).filter("toxic = other")
+    return found.orderBy(F.xxhash64("id"), "id").select("text", "toxic").toPandas()
 
 
 def scorer(model: Model):
