@@ -12,9 +12,9 @@ five minima of the same hashes: a pair of 0.8 shares a bucket with a probability
 1 - (1 - 0.8^5)^24 = 0.9999, and more similar ones still surer. Every candidate is decided
 by its exact similarity. In each bucket all members are compared with its smallest, then, in
 rounds, those of other components with a pivot, as long as each round halves what is left;
-members that this leaves in different components are compared where they share one of their
-rarest shingles, which loses no pair. So pairs grow neither with the square of a group of
-copies nor with that of the texts that hold a common passage.
+members that this leaves in different components are compared with one another, block by
+block inside of tasks. So the pairs that become rows grow with the members of a bucket, and
+all pairs of a bucket are compared only where it holds texts that are not alike.
 
 Defined results: null and empty texts have the empty set and are alike; a text of fewer
 words than a shingle has one shingle; repeated rows share a component, also those that
@@ -46,8 +46,8 @@ FACTORS, OFFSETS = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS *
 FACTORS |= np.uint64(1)
 #: Most rows of a side that is broadcast (ids or keys of some 50 bytes); beyond it both sides are shuffled.
 FEW = 500_000
-#: Most rounds with pivots; what they leave apart is compared by rare shingles.
-PIVOTS = 8
+#: Most rounds with pivots; what they leave apart is compared in tiles of two blocks.
+PIVOTS, TILE = 8, 512
 
 
 def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -148,27 +148,75 @@ def _apart(shared: DataFrame, found: DataFrame) -> tuple[DataFrame, int]:
     return rest, rest.count()
 
 
-def _sharing_rare(rest: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
-    """Pairs a, b of members of different components that share one of their rarest shingles.
+def _links(threshold: Fraction):
+    """Links between different components inside tiles; rows come sorted by tile.
 
-    Of n shingles, ordered from the rarest, a set that is alike to another must share one of
-    the first n - ceil(t n) + 1 with the first of the other, so no pair is lost; and a passage
-    that very many texts hold is among these only where a text has little else.
+    A row is a member of a bucket (or of one block of it) with its shingles and all its
+    buckets; a pair is compared only in the smallest bucket that both are in.
     """
     p, q = threshold.numerator, threshold.denominator
-    members = rest.select("key", "n", "label").distinct()
-    each = cut_lineage(members.join(sets, "key").select("key", F.explode("shingles").alias("s")))
-    common = each.groupBy("s").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")  # alone, a shingle is shared with none
-    ordered = each.join(common, "s", "left").groupBy("key").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("c", F.lit(1)).alias("c"), "s"))).alias("o"))
-    n = F.size("o")
-    first = F.slice("o", F.lit(1), n - F.ceil(n * F.lit(p) / F.lit(q)).cast("int") + 1)
-    rare = cut_lineage(ordered.select("key", F.explode(F.filter(first, lambda x: x["c"] > 1)).alias("x")).select("key", "x.s").join(members, "key"))
-    mixed = rare.groupBy("s").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("s")
-    rare = cut_lineage(rare.join(mixed, "s", "left_semi"))
-    one, two = rare.alias("one"), rare.alias("two")
-    sizes = F.least("one.n", "two.n") * F.lit(q) >= F.greatest("one.n", "two.n") * F.lit(p)
-    met = one.join(two, (F.col("one.s") == F.col("two.s")) & (F.col("one.label") < F.col("two.label")) & sizes)
-    return met.select(F.least("one.key", "two.key").alias("a"), F.greatest("one.key", "two.key").alias("b")).distinct()
+    out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def alike(rows: list[tuple]) -> tuple[list[int], list[int]]:
+        h, i, j = rows[0][:3]
+        left = [r for r in rows if r[3] == i]
+        right = left if i == j else [r for r in rows if r[3] == j]
+        keys, labels, sizes = (np.array([r[k] for r in right], np.int64) for k in (4, 5, 6))
+        flat = np.concatenate([r[7] for r in right])
+        starts = np.cumsum([0, *(len(r[7]) for r in right)])[:-1]
+        bands, owner = np.concatenate([r[8] for r in right]), np.repeat(np.arange(len(right)), [len(r[8]) for r in right])
+        a, b = [], []
+        for r in left:
+            able = (labels != r[5]) & (q * np.minimum(sizes, r[6]) >= p * np.maximum(sizes, r[6]))
+            if i == j:
+                able &= keys > r[4]
+            if not able.any():
+                continue
+            shared = np.isin(bands, r[8])
+            low = np.full(len(right), np.iinfo(np.int64).max)
+            np.minimum.at(low, owner[shared], bands[shared])
+            able &= low == h
+            if not able.any():
+                continue
+            at = np.minimum(np.searchsorted(r[7], flat), len(r[7]) - 1)
+            common = np.add.reduceat((r[7][at] == flat).astype(np.int64), starts)
+            ok = np.flatnonzero(able & (common * (p + q) >= (sizes + r[6]) * p))
+            a += [r[4]] * len(ok)
+            b += keys[ok].tolist()
+        return a, b
+
+    def run(batches):
+        tile: list[tuple] = []
+        for batch in batches:
+            cols = [batch.column(k) for k in range(9)]
+            numbers = [c.to_numpy(zero_copy_only=False).astype(np.int64).tolist() for c in cols[:7]]
+            lists = [(c.values.to_numpy(), c.offsets.to_numpy().tolist()) for c in cols[7:]]
+            for k, row in enumerate(zip(*numbers)):
+                if tile and tile[0][:3] != row[:3]:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in alike(tile)], schema=out)
+                    tile = []
+                tile.append((*row, *(v[o[k] : o[k + 1]].copy() for v, o in lists)))
+        if tile:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in alike(tile)], schema=out)
+
+    return run
+
+
+def _linked_in_tiles(rest: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
+    """Links a, b between members of different components that share a bucket of ``rest``.
+
+    Buckets are cut into blocks of about ``TILE`` members, and a task compares two blocks,
+    so pairs are never rows and what a task holds does not grow with a bucket.
+    """
+    counts = rest.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("blocks"))
+    own = rest.groupBy("key").agg(F.first("n").alias("n"), F.first("label").alias("label"), F.collect_list("h").alias("bands"))
+    members = cut_lineage(own.join(sets, "key").withColumn("shingles", F.array_sort("shingles")))
+    dealt = rest.select("h", "key").join(counts, "h").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("h", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "key")
+    rows = dealt.join(members, "key").select("h", "i", "j", "block", "key", "label", "n", "shingles", "bands")
+    tiles = rows.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j")
+    return tiles.mapInArrow(_links(threshold), "a bigint, b bigint")
 
 
 def components(texts: DataFrame, marked: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD) -> DataFrame:
@@ -195,8 +243,8 @@ def components(texts: DataFrame, marked: DataFrame, width: int = WIDTH, threshol
         rest, size = _apart(shared, found)
         if 2 * size > before:
             break
-    # then the pairs of those that are still apart, found by their rare shingles
-    more = _alike(_sharing_rare(rest, sets, limit).join(tried, ["a", "b"], "left_anti"), sets, limit) if size else tried.limit(0)
+    # then those that are still apart, block by block
+    more = _linked_in_tiles(rest, sets, limit) if size else tried.limit(0)
     joined = stars(found.select(F.col("child").alias("a"), F.col("parent").alias("b")).unionByName(more))
     return distinct.join(joined.withColumnRenamed("child", "key"), "key", "left").select("key", "root", F.coalesce("parent", "key").alias("label"))
 

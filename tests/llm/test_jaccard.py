@@ -63,3 +63,19 @@ def test_exact_limit_and_members_apart_from_the_smallest(spark):
     docs = spark.createDataFrame([*texts.items(), (None, texts[3]), (None, "")], "doc_id long, text string")
     assert sorted((r.doc_id is None, r.doc_id) for r in jaccard.drop_near_duplicates(docs).collect()) == [(False, 0), (True, None)]
     assert jaccard.drop_near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_members_compared_in_tiles(spark, monkeypatch):
+    show_code(spark)
+    monkeypatch.setattr(jaccard, "PIVOTS", 0)
+    monkeypatch.setattr(jaccard, "TILE", 3)
+    rng = random.Random(5)
+    base = [f"b{i}" for i in range(80)]
+    texts = {}
+    for i in range(40):  # copies of one text, of which most are not alike
+        words = list(base)
+        for _ in range(rng.randrange(5)):
+            words[rng.randrange(80)] = f"x{rng.randrange(99)}"
+        texts[i] = " ".join(words)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert sorted(r.doc_id for r in jaccard.drop_near_duplicates(docs).collect()) == survivors(texts)
