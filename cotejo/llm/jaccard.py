@@ -161,6 +161,8 @@ def _links(threshold: Fraction):
         h, i, j = rows[0][:3]
         left = [r for r in rows if r[3] == i]
         right = left if i == j else [r for r in rows if r[3] == j]
+        if not left or not right:
+            return [], []
         keys, labels, sizes = (np.array([r[k] for r in right], np.int64) for k in (4, 5, 6))
         flat = np.concatenate([r[7] for r in right])
         starts = np.cumsum([0, *(len(r[7]) for r in right)])[:-1]
