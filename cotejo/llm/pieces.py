@@ -216,10 +216,11 @@ class Lattice:
         for j in range(1, len(unit) + 1):
             score[j] = max(score[i] + s for i, s, _ in arcs[j])
         found, count = [], 0
-        # entries: negated score of the best full path through, order, place, score behind, path behind
-        agenda = [(-score[-1], 0, len(unit), 0, None)]
+        # entries: negated score of the best full path through, place, order, score behind, path behind;
+        # of equal scores the one nearest to the begin goes first, or ties would multiply
+        agenda = [(-score[-1], len(unit), 0, 0, None)]
         while agenda and len(found) < n:
-            _, _, at, behind, path = heapq.heappop(agenda)
+            _, at, _, behind, path = heapq.heappop(agenda)
             if at == 0:
                 ids: list[int] = []
                 while path:
@@ -229,7 +230,7 @@ class Lattice:
                 continue
             for i, s, ids in arcs[at]:
                 count += 1
-                heapq.heappush(agenda, (-(score[i] + s + behind), count, i, s + behind, (ids, path)))
+                heapq.heappush(agenda, (-(score[i] + s + behind), i, count, s + behind, (ids, path)))
         return found
 
 
