@@ -191,10 +191,11 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 8, batch: int = 32
     if len(set(labels.tolist())) < 2:
         share = float(labels.mean()) if len(labels) else 0.0
         return Model(np.zeros((1, WIDTH)), [], [], np.zeros(0), 0.0, constant=share)
-    words = [words_of_text(t) for t in texts]
     index: dict[bytes, int] = {}
-    coded = [np.array([index.setdefault(w, len(index)) for w in t], np.int64) for t in words]
-    rows_of = np.array([word_rows(w) for w in index]) if index else np.zeros((1, len(STARTS)), np.int64)
+    # word lists take some ten times the memory of codes, so one text has one at a time
+    coded = [np.array([index.setdefault(w, len(index)) for w in words_of_text(t)], np.int32) for t in texts]
+    rows_of = np.fromiter(chain.from_iterable(map(word_rows, index)), np.int64).reshape(-1, len(STARTS)) if index else np.zeros((1, len(STARTS)), np.int64)
+    del index
     order = rng.permutation(len(texts))
     cut = max(1, len(order) * 4 // 5)
     fit, held = order[:cut], order[cut:]
@@ -216,7 +217,7 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 8, batch: int = 32
         for lo in range(0, len(fit), batch):
             some = fit[lo : lo + batch]
             _descend(model, [coded[i] for i in some], rows_of, labels[some], weight, grow, rate)
-    _calibrate(model, [words[i] for i in held], labels[held])
+    _calibrate(model, [texts[i] for i in held], labels[held])
     return model
 
 
@@ -232,14 +233,15 @@ def _descend(model: Model, docs: list[np.ndarray], rows_of: np.ndarray, y: np.nd
     for s, span in enumerate(SPANS):
         value = np.full((len(flat), FILTERS), -np.inf, np.float32)
         n = len(flat) - span + 1
-        value[:n] = sum((embedded @ model.filters[s][j])[flat[j : j + n]] for j in range(span)) + model.bias[s]
+        value[:n] = 0
+        for j in range(span):
+            value[:n] += (embedded @ model.filters[s][j])[flat[j : j + n]]
+        value[:n] += model.bias[s]
         for j in range(1, span):
             value[starts + sizes - j] = -np.inf
-        best = np.maximum.reduceat(value, starts, axis=0)
         # the first position of each text and filter that has the maximum
-        hit = value == np.repeat(best, sizes, axis=0)
-        at = np.minimum.reduceat(np.where(hit, np.arange(len(flat))[:, None], len(flat)), starts, axis=0)
-        top.append(best)
+        at = np.stack([value[a : a + n].argmax(axis=0) + a for a, n in zip(starts, sizes)])
+        top.append(value[at, np.arange(FILTERS)])
         where.append(at)
     pooled = np.maximum(np.concatenate(top, axis=1), 0)
     live = pooled > 0
@@ -272,12 +274,15 @@ def _descend(model: Model, docs: list[np.ndarray], rows_of: np.ndarray, y: np.nd
     model.table[touched] -= rate * g / np.sqrt(grow["t"][touched])[:, None]
 
 
-def _calibrate(model: Model, words: list[list[bytes]], y: np.ndarray, least: int = 5) -> None:
+def _calibrate(model: Model, texts: list[str], y: np.ndarray, least: int = 5) -> None:
     """The cut with fewest errors, for each language with enough rows of both classes, else for all."""
     if not len(y):
         return
-    logits = Scorer(model).logit(words)
-    language = np.array([guess_language(w) for w in words])
+    own, logits, language = Scorer(model), np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+    for lo in range(0, len(texts), 64):
+        words = [words_of_text(t) for t in texts[lo : lo + 64]]
+        logits[lo : lo + 64] = own.logit(words)
+        language[lo : lo + 64] = [guess_language(w) for w in words]
 
     def best_cut(z: np.ndarray, t: np.ndarray) -> float:
         order = np.argsort(z)
