@@ -1,6 +1,6 @@
 """DuckDB SQL for the queries of this subpackage that SQL can express.
 
-op1 (XXH64 of shingles), op2, op7, op8, op9 and op10 have none; tests hold them against
+op1 (XXH64 of shingles), op2, op7, op8, op9, op10 and op11 have none; tests hold them against
 plain versions.
 """
 
@@ -91,4 +91,15 @@ SELECT page_id, host, path, rule, CASE rule {" ".join(f"WHEN '{r.text}' THEN '{r
   ELSE CASE WHEN regexp_matches(host, '{"|".join(LISTED_WORDS)}') THEN 'block' ELSE 'allow' END END AS verdict FROM r
 """
 
-SQL = {"op3_secret_scans": OP3, "op4_quality_rules": OP4, "op5_url_filters": OP5}
+OP12 = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+k AS (SELECT *, length(t) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2, CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM d),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+  CASE WHEN t = '' OR regexp_matches(t, '<P>|<S>|<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM k),
+o AS (SELECT *, CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || left(t, a) || '<S>' || substr(t, b + 1) || '<M>' || substr(t, a + 1, b - a)
+  ELSE '<S>' || substr(t, b + 1) || '<P>' || left(t, a) || '<M>' || substr(t, a + 1, b - a) END AS o FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(o) AS output_sha256, sha256(t) AS restored_sha256 FROM o
+"""
+
+SQL = {"op3_secret_scans": OP3, "op4_quality_rules": OP4, "op5_url_filters": OP5, "op12_fill_in_middle": OP12}
