@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cotejo.llm import ann, html, infill, packing, pieces, quality, secrets, simhash, tokencount, toxicity, urlfilter
+from cotejo.llm import alignment, ann, html, infill, packing, pieces, quality, secrets, simhash, tokencount, toxicity, urlfilter
 from cotejo.llm.common import read_table
 
 #: Hosts with one of these in a label are on the block list that op5 uses.
@@ -123,6 +123,15 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: tokens, groups and links of two tokenizers, and how common its links are."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = alignment.align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), keep=("doc_id",))
+    digest = F.when(F.col("n_groups") > 0, F.sha2("groups", 256)).otherwise("")
+    figures = found.select("row.doc_id", "at", "n_a", "n_b", "n_groups", "n_links", digest.alias("groups_sha256"), "pairs")
+    return alignment.add_agreement(figures).drop("at")
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: its units, its form and digests of the output and of the text rebuilt from it."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -144,5 +153,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_packing": op9_packing,
     "op10_toxicity": op10_toxicity,
+    "op11_tokenizer_alignment": op11_tokenizer_alignment,
     "op12_fill_in_middle": op12_fill_in_middle,
 }
