@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cotejo.llm import alignment, ann, html, infill, packing, pieces, quality, secrets, simhash, tokencount, toxicity, urlfilter
+from cotejo.llm import alignment, ann, html, infill, leaks, packing, pieces, quality, secrets, simhash, tokencount, toxicity, urlfilter
 from cotejo.llm.common import read_table
 
 #: Hosts with one of these in a label are on the block list that op5 uses.
@@ -142,6 +142,16 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: words inside passages of benchmark items, and the items they come from."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = leaks.contamination(docs, read_table(spark, sf_dir, "benchmark"), keep=("doc_id",))
+    return out.select(
+        "row.doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_sentencepiece": op2_sentencepiece,
@@ -155,4 +165,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
     "op11_tokenizer_alignment": op11_tokenizer_alignment,
     "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_benchmark_decontamination": op13_benchmark_decontamination,
 }
