@@ -15,7 +15,8 @@ query set against all rows: the work grows with queries times candidates.
 
 Defined results: vectors that are null, zero, of another length than most, or hold null or
 non-finite components take no part; fewer candidates than k give fewer rows; ties go to
-the smaller id; equal vectors have equal scores; no vectors give no rows.
+the smaller id; equal vectors have equal scores; vectors whose squares leave the range of
+doubles are scaled by a power of two, which changes no cosine; no vectors give no rows.
 """
 
 from __future__ import annotations
@@ -79,8 +80,19 @@ def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return code.astype(wide), scale[:, 0], np.sqrt((back * back).sum(axis=1)), np.sqrt(((unit - back) ** 2).sum(axis=1))
 
 
+def _in_range(x: np.ndarray) -> np.ndarray:
+    """Rows whose squares would leave the range of doubles, times a power of two; the others as they are."""
+    top = np.abs(x).max(axis=1)
+    far = (top > 1e140) | (top < 1e-140)
+    if far.any():
+        x = x.copy()
+        x[far] = np.ldexp(x[far], -np.frexp(top[far])[1][:, None])
+    return x
+
+
 def cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Cosine of each row of x with the same row of y, row by row alike wherever a row stands."""
+    x, y = _in_range(x), _in_range(y)
     return (x * y).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((y * y).sum(axis=1)))
 
 

@@ -6,17 +6,19 @@ tags). Elements that are not shown are built by the same rules, so that they end
 reader's browser ends them, but are left out of the tree: ``head`` (which the first tag or
 text that is no head content ends), scripts, styles, templates, ``datalist``, the fallbacks
 of ``audio``, ``video`` and ``canvas``, descriptions and definitions in ``svg``, annotations
-in ``math``, ``hidden`` attributes and ``display:none``. Text under ``visibility:hidden`` is
+in ``math``, closed ``dialog`` and ``details`` elements (of these the summary is shown),
+``hidden`` attributes and ``display:none``. Text under ``visibility:hidden`` is
 left out up to a descendant with ``visibility:visible``. Both count in style attributes and
-in rules of the page's own style sheets whose selectors are a tag, classes or an id (rules
-for other media, and other selectors, are passed over). The renderer keeps the spacing of
+in rules of the page's own style sheets whose selectors are a tag, classes or an id, in
+``@media`` blocks for screens or all media too (rules under other conditions, and other
+selectors, are passed over). The renderer keeps the spacing of
 blocks, marks and indents list items, numbers ordered ones, keeps the white space of
 ``pre``, and aligns the columns of tables, cells over several columns or rows included. All
 visible text is emitted. Time grows with the length of a page, however deep it is.
 
-A column is as wide as its widest cell. Only where this would pad a table to more than
-``PADDING`` times its text (and a little more) wide cells stand out of narrower columns,
-so that no page makes a text of another order of size.
+A column is as wide as its widest cell, up to ``WIDEST`` characters; longer cells stand out
+of it. No gap in front of a cell and no indent is wider than ``GAP``, so deep lists and
+cells far to the right do not make a text of another order of size.
 
 Defined results: null or empty pages give an empty text; a page of any depth or length is
 rendered whole, without recursion; repeated rows are rendered one by one; other columns
@@ -28,7 +30,7 @@ from __future__ import annotations
 import bisect
 import html
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -78,8 +80,8 @@ ENDS = {
     "tfoot": (("tbody", "thead", "tfoot"), ("table",)),
     "thead": (("tbody", "thead", "tfoot"), ("table",)),
 }
-#: Padding of a table, as a multiple of its text and beyond that in characters.
-PADDING, ROOM = 16, 1 << 16
+#: Characters to which a column grows, and a gap before a cell or an indent.
+WIDEST, GAP = 250, 100
 #: The largest numbers of columns and rows that a cell can span.
 MOST_COLUMNS, MOST_ROWS = 1000, 65534
 
@@ -87,10 +89,10 @@ MOST_COLUMNS, MOST_ROWS = 1000, 65534
 class Node:
     """An element; children are nodes and texts."""
 
-    __slots__ = ("tag", "children", "start", "span", "seen")
+    __slots__ = ("tag", "children", "start", "span", "seen", "shut")
 
     def __init__(self, tag: str, seen: bool = True):
-        self.tag, self.seen, self.children = tag, seen, []
+        self.tag, self.seen, self.children, self.shut = tag, seen, [], False
         self.start: int | None = None  # number of a list or list item
         self.span = (1, 1)  # columns and rows of a cell
 
@@ -99,54 +101,65 @@ class Sheet:
     """Which elements the page's own style sheets hide or show."""
 
     def __init__(self, page: str):
-        #: By the rarest part of a selector: (tag, all classes and ids), specificity, order, declarations.
-        self.rules: dict[str, list[tuple]] = {}
+        #: By the rarest part of a selector: (tag, all classes and ids), and by property weight and value.
+        self.rules: dict[str, dict[tuple, dict[str, tuple]]] = {}
         if "<style" not in page.lower():
             return
-        order = 0
+        merged: dict[tuple, dict[str, tuple]] = {}
+        for order, (selector, declared) in enumerate(self._selectors(page)):
+            marks = frozenset(re.findall(r"[.#][\w-]+", selector[2]))
+            tag = (selector[1] or "*").lower()
+            weight = (0, sum(x[0] == "#" for x in marks), sum(x[0] == "." for x in marks), tag != "*", order)
+            best = merged.setdefault((tag, marks), {})
+            for key, value, important in declared:
+                best[key] = max(best.get(key, ((),)), ((important, *weight), value))
+        used = Counter(x for _, marks in merged for x in marks)
+        for (tag, marks), best in merged.items():
+            self.rules.setdefault(min(marks, key=lambda x: (used[x], x)) if marks else tag, {})[tag, marks] = best
+
+    @staticmethod
+    def _selectors(page: str):
+        """Selectors that are understood, as matches, with the declarations that matter."""
         for m in SHEETS.finditer(page):
             media = re.search(r"media\s*=\s*[\"']?([^\"'>]*)", m[2] or "", re.I)
             if m[3] is None or (media and not re.search(r"\b(all|screen)\b", media[1].lower() or "all")):
                 continue
             for selectors, body in RULE.findall(_without_blocks(re.sub(r"(?s)/\*.*?(?:\*/|\Z)", " ", m[3]))):
                 declared = [(k.lower(), v.lower(), bool(i)) for k, v, i in DECLARED.findall(body)]
-                if not declared:
-                    continue
-                for selector in selectors.split(","):
+                for selector in selectors.split(",") if declared else ():
                     parts = SELECTOR.fullmatch(selector.strip())
                     if parts and parts[0]:
-                        marks = re.findall(r"[.#][\w-]+", parts[2])
-                        tag = (parts[1] or "*").lower()
-                        order += 1
-                        weight = (sum(x[0] == "#" for x in marks), sum(x[0] == "." for x in marks), tag != "*", order)
-                        self.rules.setdefault(marks[0] if marks else tag, []).append((tag, frozenset(marks), weight, declared))
+                        yield parts, declared
 
     def of(self, tag: str, given: dict[str, str]) -> dict[str, str]:
         """``display`` and ``visibility`` of an element by rules and its style attribute."""
         found: dict[str, tuple] = {}
 
-        def offer(declared, weight) -> None:
-            for key, value, important in declared:
-                found[key] = max(found.get(key, ((),)), ((important, *weight), value))
+        def offer(key: str, declared: tuple) -> None:
+            found[key] = max(found.get(key, ((),)), declared)
 
         if self.rules:
             marks = {"." + c for c in given.get("class", "").split()} | ({"#" + given["id"].strip()} if given.get("id") else set())
             for key in (*marks, tag, "*"):
-                for name, wanted, weight, declared in self.rules.get(key, ()):
+                for (name, wanted), best in self.rules.get(key, {}).items():
                     if name in (tag, "*") and wanted <= marks:
-                        offer(declared, (0, *weight))
+                        for k, declared in best.items():
+                            offer(k, declared)
         for i, (k, v, important) in enumerate(DECLARED.findall(given.get("style", ""))):
-            offer([(k.lower(), v.lower(), bool(important))], (1, 0, 0, 0, i))
+            offer(k.lower(), ((bool(important), 1, 0, 0, False, i), v.lower()))
         return {k: v[1] for k, v in found.items()}
 
 
 def _without_blocks(sheet: str) -> str:
-    """A sheet without its at-rules and the rules in them."""
+    """A sheet without its at-rules and the rules in them; those for screens stay."""
     out, at = [], 0
     for m in re.finditer("@", sheet):
         if m.start() < at:
             continue
         out.append(sheet[at : m.start()])
+        if shown := SCREEN.match(sheet, m.start()):
+            at = shown.end()  # its closing brace, left over, belongs to no rule
+            continue
         depth, at = 0, len(sheet)
         for x in BRACES.finditer(sheet, m.start()):
             depth += {"{": 1, "}": -1, ";": 0}[x[0]]
@@ -157,7 +170,9 @@ def _without_blocks(sheet: str) -> str:
 
 
 #: A tag with none of these needs no look at its attributes, unless the page has style rules.
-TELLING = re.compile("hidden|none|visib|start|value|span", re.I)
+TELLING = re.compile("hidden|none|visib|start|value|span|open", re.I)
+#: Media queries that hold on a screen whatever its size.
+SCREEN = re.compile(r"@media\s+(?:[^{};]*,)?\s*(?:only\s+)?(?:screen|all)\s*(?:,[^{};]*)?\{", re.I)
 
 
 def _integer(value: str | None) -> int | None:
@@ -187,7 +202,7 @@ def parse(page: str) -> Node:
     def text(s: str) -> None:
         if s and places.get("head") and stack[-1].tag == "head" and not s.isspace():
             end_head()
-        if s and stack[-1].seen:
+        if s and stack[-1].seen and not stack[-1].shut:
             stack[-1].children.append(html.unescape(s) if "&" in s else s)
 
     def close(ends: tuple[str, ...], within: tuple[str, ...]) -> None:
@@ -230,8 +245,10 @@ def parse(page: str) -> Node:
             continue
         hidden = tag in UNSEEN or any(places.get(t) and tag in within for t, within in UNSEEN_IN.items())
         given = {x[1].lower(): x[2] or x[3] or x[4] or "" for x in ATTRIBUTE.finditer(m[3])} if m[3] and (sheet.rules or TELLING.search(m[3])) else {}
+        foreign = tag in UNSEEN_IN or any(places.get(t) for t in UNSEEN_IN)
         style = sheet.of(tag, given) if sheet.rules or given else {}
         hidden |= style.get("display") == "none" or ("hidden" in given and "display" not in style) or (tag == "input" and given.get("type", "").lower() == "hidden")
+        hidden |= tag == "dialog" and "open" not in given and "display" not in style
         if tag in BLOCK:
             close(("p",), ("td", "th", "table", "li", "button"))
         if tag in ENDS:
@@ -248,15 +265,18 @@ def parse(page: str) -> Node:
                 columns, rows = (_integer(given.get(k)) for k in ("colspan", "rowspan"))
                 # no rows means all that follow
                 node.span = (min(max(columns or 1, 1), MOST_COLUMNS), MOST_ROWS if rows == 0 else min(max(rows or 1, 1), MOST_ROWS))
-        if not hidden:
-            stack[-1].children.append(node)
+        node.shut = tag == "details" and "open" not in given
+        above = stack[-1]
+        if not hidden and not (above.shut and (tag != "summary" or above.start)):
+            above.children.append(node)
+            above.start = 1 if above.shut else above.start  # only the first summary is shown
         if tag in RAW:
             end = _after_raw(page, tag, at)
             inner = page[at:end]
             if seen:
                 node.children.append(html.unescape(inner[: inner.rfind("<")] if end > at and inner.endswith(">") else inner))
             at = end
-        elif tag not in VOID and not m[3].endswith("/"):
+        elif tag not in VOID and not (foreign and m[3].endswith("/")):
             push(node)
     return root
 
@@ -285,7 +305,7 @@ class Lines:
             if self.gap and self.done:
                 self.done.append("")
             self.gap = False
-            self.line.append(self.indent[: -len(self.mark)] + self.mark if self.mark else self.indent)
+            self.line.append(self.indent[: -len(self.mark)][:GAP] + self.mark if self.mark else self.indent[:GAP])
             self.mark = None
         elif self.space or s[0].isspace():
             self.line.append(" ")
@@ -302,7 +322,7 @@ class Lines:
                     if self.gap and self.done:
                         self.done.append("")
                     self.gap = False
-                    self.line.append(self.indent)
+                    self.line.append(self.indent[:GAP])
                 self.line.append(part)
 
     def end(self, gap: bool = False, keep: bool = False) -> None:
@@ -316,10 +336,10 @@ class Lines:
     def rows(self, lines: list[str]) -> None:
         """Finished lines, set off by empty ones."""
         self.end(gap=True)
-        for i, x in enumerate(lines):
-            if i == 0 and self.gap and self.done:
-                self.done.append("")
-            self.done.append((self.indent + x).rstrip())
+        if lines and self.gap and self.done:
+            self.done.append("")
+        indent = self.indent[:GAP]
+        self.done.extend([(indent + x).rstrip() for x in lines] if indent else lines)
         self.gap = bool(lines)
 
     def result(self) -> list[str]:
@@ -330,57 +350,57 @@ class Lines:
 def _align(rows: list[list[tuple[list[str], tuple[int, int]]]]) -> list[str]:
     """Lines of a table from its cells (lines, columns and rows spanned): columns padded to their widest cell."""
     placed: list[list[tuple[int, int, list[str]]]] = []  # first column, column behind, lines
-    below: list[tuple[int, int, int]] = []  # first column, column behind, rows left of cells from above
-    for row in rows:
-        line, at, taken = [], 0, sorted(below)
-        i = 0
+    soonest = -1  # the first row behind one of those below
+    below: list[tuple[int, int, int]] = []  # first column, column behind, row behind of cells from above, by column
+    for number, row in enumerate(rows):
+        if 0 <= soonest <= number:
+            below = [x for x in below if x[2] > number]
+            soonest = min((x[2] for x in below), default=-1)
+        line, at, i, deeper = [], 0, 0, []
         for cell, (columns, deep) in row:
-            while i < len(taken) and taken[i][0] <= at:
-                at = max(at, taken[i][1])
+            while i < len(below) and below[i][0] <= at:
+                at = max(at, below[i][1])
                 i += 1
             line.append((at, at + columns, cell))
             if deep > 1:
-                below.append((at, at + columns, deep))
+                deeper.append((at, at + columns, MOST_ROWS if deep == MOST_ROWS else number + deep))
             at += columns
+        for x in deeper:
+            i = bisect.bisect_left(below, x)
+            if i and below[i - 1][1:] == (x[0], x[2]):  # side by side, down to the same row
+                below[i - 1] = (below[i - 1][0], *x[1:])
+            else:
+                below.insert(i, x)
+            soonest = x[2] if soonest < 0 else min(soonest, x[2])
         placed.append(line)
-        below = [(a, b, n - 1) for a, b, n in below if n > 1]
+    if all(len(line) < 2 and not any(a for a, _, _ in line) for line in placed):  # one column
+        return placed[0][0][2] if len(placed) == 1 and placed[0] else [x for line in placed for _, _, cell in line for x in cell]
     # only columns in which a cell begins count
     begins = {c: i for i, c in enumerate(sorted({a for line in placed for a, _, _ in line}))}
     order = list(begins)
-    cells = [[(begins[a], bisect.bisect_left(order, b), cell) for a, b, cell in line] for line in placed]
-    widest = [[0, *(len(x) for x in cell)] for line in cells for _, _, cell in line]
-    text = sum(map(sum, widest))
-    cap = max(map(max, widest), default=0)
-
-    def widths() -> list[int]:
-        out = [0] * len(order)
-        for line in cells:
-            for a, b, cell in line:
-                if b - a == 1:
-                    out[a] = max(out[a], min(cap, max([0, *map(len, cell)])))
-        for line in cells:
-            for a, b, cell in line:
-                if b - a > 1:  # what a cell over several columns lacks goes to the last
-                    out[b - 1] = max(out[b - 1], min(cap, max([0, *map(len, cell)])) - sum(out[a : b - 1]) - 3 * (b - 1 - a))
-        return out
-
-    width = widths()
-    while (sum(width) + 3 * len(width)) * len(cells) > PADDING * text + ROOM and cap > 8:
-        cap //= 2
-        width = widths()
+    cells = [[(begins[a], bisect.bisect_left(order, b), cell, min(WIDEST, max([0, *map(len, cell)]))) for a, b, cell in line] for line in placed]
+    width = [0] * len(order)
+    for line in cells:
+        for a, b, _, wide in line:
+            if b - a == 1:
+                width[a] = max(width[a], wide)
+    for line in cells:
+        for a, b, _, wide in line:
+            if 1 < b - a <= WIDEST:  # what a cell over several columns lacks goes to the last
+                width[b - 1] = max(width[b - 1], wide - sum(width[a : b - 1]) - 3 * (b - 1 - a))
     starts = [0]
     for w in width:
         starts.append(starts[-1] + w + 3)
     out = []
     for line in cells:
-        for k in range(max([0, *(len(cell) for _, _, cell in line)])):
+        for k in range(max([0, *(len(cell) for _, _, cell, _ in line)])):
             parts: list[str] = []
             at = 0
-            for j, (a, b, cell) in enumerate(line):
+            for a, b, cell, _ in line:
                 if parts:
                     parts.append(" | ")
-                parts.append(" " * (starts[a] - at))
-                parts.append((cell[k] if k < len(cell) else "").ljust(starts[b] - starts[a] - 3))
+                parts.append(" " * min(GAP, starts[a] - at))
+                parts.append((cell[k] if k < len(cell) else "").ljust(min(WIDEST, starts[b] - starts[a] - 3)))
                 at = starts[b]
             out.append("".join(parts).rstrip())
     return out

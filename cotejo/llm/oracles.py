@@ -68,10 +68,12 @@ fig AS (SELECT doc_id, source, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(a
   FROM docs LEFT JOIN repeats USING (doc_id) LEFT JOIN lines USING (doc_id)),
 rules AS (SELECT *, n_words < 20 AS short, 100 * n_repeat_words > 30 * n_words AS repetitive, 100 * n_symbols > 10 * word_chars AS symbols, 100 * n_dup_lines > 30 * n_lines AS dup_lines FROM fig),
 hosts AS (SELECT source, count(*) AS n, {", ".join(f"count(*) FILTER ({r}) AS {r}" for r in RULES)} FROM rules WHERE source IS NOT NULL GROUP BY source),
-prior AS (SELECT {", ".join(f"avg({r} / n) AS m_{r}, var_pop({r} / n) AS v_{r}" for r in RULES)} FROM hosts),
-strength AS (SELECT *, {", ".join(f"CASE WHEN v_{r} > 0 AND m_{r} * (1 - m_{r}) / v_{r} - 1 > 0 THEN m_{r} * (1 - m_{r}) / v_{r} - 1 ELSE 1.0 END AS s_{r}" for r in RULES)} FROM prior),
-rates AS (SELECT *, {", ".join(f"({r} + m_{r} * s_{r}) / (n + s_{r}) AS p_{r}" for r in RULES)} FROM hosts, strength),
-refused AS (SELECT source FROM rates WHERE {" OR ".join(f"p_{r} - 3 * sqrt(p_{r} * (1 - p_{r}) / (n + s_{r} + 1)) > 2 * m_{r}" for r in RULES)})
+sums AS (SELECT count(*) AS h, {", ".join(f"sum({r} / n) AS a_{r}, sum(({r} / n) * ({r} / n)) AS b_{r}" for r in RULES)} FROM hosts),
+means AS (SELECT hosts.*, h, {", ".join(f"CASE WHEN h = 1 THEN 0.5 ELSE greatest(0.0, least(1.0, (a_{r} - {r} / n) / (h - 1))) END AS m_{r}, b_{r}" for r in RULES)} FROM hosts, sums),
+spread AS (SELECT *, {", ".join(f"CASE WHEN h > 1 THEN (b_{r} - ({r} / n) * ({r} / n)) / (h - 1) - m_{r} * m_{r} END AS v_{r}" for r in RULES)} FROM means),
+strength AS (SELECT *, {", ".join(f"CASE WHEN h = 1 THEN 2.0 WHEN v_{r} > 0 THEN least(100.0, greatest(1.0, m_{r} * (1 - m_{r}) / v_{r} - 1)) ELSE 100.0 END AS s_{r}" for r in RULES)} FROM spread),
+rates AS (SELECT *, {", ".join(f"({r} + m_{r} * s_{r}) / (n + s_{r}) AS p_{r}" for r in RULES)} FROM strength),
+refused AS (SELECT source FROM rates WHERE {" OR ".join(f"p_{r} - 3 * sqrt(p_{r} * (1 - p_{r}) / (n + s_{r} + 1)) > greatest(0.1, 2 * m_{r} / (1 + m_{r}))" for r in RULES)})
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, short OR repetitive AS base_failed,
   NOT (short OR repetitive) AND (source IS NULL OR source NOT IN (SELECT source FROM refused)) AS kept FROM rules
 """

@@ -2,15 +2,17 @@
 
 ``measure`` computes per-document figures in one pass without a shuffle. ``judge_hosts``
 aggregates rule failures by host (map-side combined, so a host with a third of all rows
-adds one row a task), fits a beta prior to the hosts' failure rates by moments and shrinks
-each rate towards it. Hosts are judged against the corpus: one is refused if its posterior
-lies clearly above a multiple of the prior's mean, so a few failures of a small host, or a
-slightly raised rate of a very large one, refuse nobody. ``quality_rules`` joins the
-verdicts back to the documents.
+adds one row a task), fits for each host a beta prior to the failure rates of all other
+hosts by moments and shrinks its rate towards it. A host is refused if the odds of its
+posterior lie clearly above a multiple of the odds of its prior's mean, so a few failures
+of a small host, or a slightly raised rate of a very large one, refuse nobody, and neither
+two hosts nor a corpus of mostly bad ones put the rule out of reach. ``quality_rules``
+joins the verdicts back to the documents.
 
 Defined results: a null text counts as empty (no words, so it fails ``short``); a document
 without host is judged by its own figures only; repeated rows are judged one by one and
-stay; an empty table gives an empty result; other columns pass through untouched.
+stay; the only host of a table is judged against a uniform prior; an empty table gives an
+empty result; other columns pass through untouched.
 """
 
 from __future__ import annotations
@@ -35,10 +37,13 @@ class QualityLimits:
     max_symbol_percent: int = 10
     max_dup_line_percent: int = 30
     window: int = 8
-    #: A host is refused when the failure rate of one of its rules is above ``host_factor`` times
-    #: the prior's mean, by ``host_deviations`` standard deviations of its posterior.
+    #: A host is refused when the failure rate of one of its rules, less ``host_deviations`` standard
+    #: deviations of its posterior, has over ``host_factor`` times the odds of the prior's mean, and
+    #: is above ``host_floor``. A prior counts as ``prior_documents`` documents at most.
     host_factor: float = 2.0
     host_deviations: float = 3.0
+    host_floor: float = 0.1
+    prior_documents: float = 100.0
     #: Most refused hosts that are broadcast; beyond it the verdicts come by a shuffled join.
     broadcast_hosts: int = 100_000
 
@@ -114,8 +119,8 @@ def judge_hosts(measured: DataFrame, host: str = "source", limits: QualityLimits
     """One row per host: counts, shrunken failure rate of each rule, its lower bound, and ``refused``.
 
     The prior of a rule is Beta(m*s, (1-m)*s), where m and v are mean and variance of the
-    hosts' rates and s = m(1-m)/v - 1; equal rates (v = 0) or a variance too large for a
-    beta distribution give s = 1.
+    other hosts' rates and s = m(1-m)/v - 1, but 1 at least and ``prior_documents`` at most.
+    Sums over all hosts, less the judged one's part, give m and v.
     """
     rules = rule_columns(F.col("fig"), limits)
     hosts = (
@@ -126,17 +131,27 @@ def judge_hosts(measured: DataFrame, host: str = "source", limits: QualityLimits
     )
     hosts = cut_lineage(hosts)
     rates = {k: F.col(k) / F.col("n_docs") for k in rules}
-    moments = hosts.agg(
-        *[F.avg(r).alias(f"m_{k}") for k, r in rates.items()], *[F.var_pop(r).alias(f"v_{k}") for k, r in rates.items()]
-    ).first()  # one row of eight numbers
+    sums = hosts.agg(
+        F.count(F.lit(1)).alias("n"), *[F.sum(r).alias(f"a_{k}") for k, r in rates.items()], *[F.sum(r * r).alias(f"b_{k}") for k, r in rates.items()]
+    ).first()  # one row of nine numbers
+    others = sums["n"] - 1
+    priors: dict[str, Column] = {}
+    for k, r in rates.items():
+        mean, strength = F.lit(0.5), F.lit(2.0)
+        if others > 0:
+            mean = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.lit(sums[f"a_{k}"]) - r) / others))
+            v = (F.lit(sums[f"b_{k}"]) - r * r) / others - mean * mean
+            most = F.lit(limits.prior_documents)
+            strength = let(v, lambda v: F.when(v > 0, F.least(most, F.greatest(F.lit(1.0), mean * (1 - mean) / v - 1))).otherwise(most))  # noqa: B023
+        priors |= {f"mean_{k}": mean, f"strength_{k}": strength}
+    hosts = cut_lineage(hosts.withColumns(priors))
     for k in rules:
-        m, v = moments[f"m_{k}"] or 0.0, moments[f"v_{k}"] or 0.0
-        strength = m * (1 - m) / v - 1 if v > 0 else 1.0
-        strength = strength if strength > 0 else 1.0
-        rate = (F.col(k) + m * strength) / (F.col("n_docs") + strength)
-        deviation = F.sqrt(F.col(f"rate_{k}") * (1 - F.col(f"rate_{k}")) / (F.col("n_docs") + strength + 1))
-        hosts = hosts.withColumn(f"rate_{k}", rate).withColumn(f"low_{k}", F.col(f"rate_{k}") - limits.host_deviations * deviation)
-        hosts = hosts.withColumn(f"refused_{k}", F.col(f"low_{k}") > limits.host_factor * m)
+        mean, strength = F.col(f"mean_{k}"), F.col(f"strength_{k}")
+        hosts = hosts.withColumn(f"rate_{k}", (F.col(k) + mean * strength) / (F.col("n_docs") + strength))
+        rate = F.col(f"rate_{k}")
+        hosts = hosts.withColumn(f"low_{k}", rate - limits.host_deviations * F.sqrt(rate * (1 - rate) / (F.col("n_docs") + strength + 1)))
+        raised = limits.host_factor * mean / (1 - mean + limits.host_factor * mean)  # the rate of so many times the mean's odds
+        hosts = hosts.withColumn(f"refused_{k}", F.col(f"low_{k}") > F.greatest(F.lit(limits.host_floor), raised))
     return hosts.withColumn("refused", F.greatest(*[F.col(f"refused_{k}") for k in rules]))
 
 
