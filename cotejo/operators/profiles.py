@@ -126,6 +126,24 @@ def taxonomy_closure(nodes: DataFrame) -> DataFrame:
     return near.unionByName(lost)
 
 
+def roll_up(calls: DataFrame, nodes: DataFrame, who: str = "docente_id") -> DataFrame:
+    """Weights of leaves carried up to all their ancestors: ``who``, ``nodo_id``, ``peso``, ``n``.
+
+    ``calls`` has ``who``, nodo_id, peso and evidence (see ``_evidence_rows``). For a node an
+    evidence counts once, with its largest weight, however many nodes below it hold it: ``n``
+    is the number of its evidences and ``peso`` their sum. Calls on nodes that the taxonomy
+    does not have stay with that node; calls without evidence count as one without a text.
+
+    Evidence is reduced to one row a node before it meets the closure, and again a branch
+    (both map-side), so rows grow with the depth and not with the leaves of a branch.
+    """
+    rows = _evidence_rows(calls).groupBy(who, "nodo_id", "ekey").agg(F.max("peso").alias("peso"))
+    above = taxonomy_closure(nodes).select(F.col("descendant").alias("nodo_id"), "ancestor")
+    carried = rows.join(above, "nodo_id", "left").withColumn("nodo_id", F.coalesce("ancestor", "nodo_id"))
+    once = carried.groupBy(who, "nodo_id", "ekey").agg(F.max("peso").alias("peso"))
+    return once.groupBy(who, "nodo_id").agg(F.sum("peso").cast("decimal(38,4)").alias("peso"), F.count(F.lit(1)).alias("n"))
+
+
 #: A node of a taxonomy file; its children stay JSON until their level is reached.
 NODE = "struct<id:string,name:string,type:string,aliases:array<string>,domain:string,children:string>"
 

@@ -63,8 +63,14 @@ def supported(entities: DataFrame, sentence_vectors: DataFrame, key: str = "doc_
     """Adds ``supported``: some sentence of the entity's document is near it.
 
     Both sides have ``embedding``; ``key`` and ``own`` tell entities apart. An entity without
-    a vector or sentences is supported. The nearest sentence is aggregated map-side per entity.
+    a vector or sentences is supported. Norms are computed once a vector, and the nearest
+    sentence is aggregated map-side per entity.
     """
-    s = sentence_vectors.select(key, F.col("embedding").alias("other"))
-    near = entities.join(s, key).groupBy(key, *own).agg(F.max(cosine(F.col("embedding"), F.col("other"))).alias("nearest"))
+    def norm(v: str) -> Column:
+        return F.sqrt(_dot(F.col(v), F.col(v)))
+
+    s = sentence_vectors.select(key, F.col("embedding").alias("__other"), norm("embedding").alias("__size"))
+    e = entities.select(key, *own, F.col("embedding").alias("__own"), norm("embedding").alias("__norm"))
+    size = F.col("__norm") * F.col("__size")
+    near = e.join(s, key).groupBy(key, *own).agg(F.max(_dot(F.col("__own"), F.col("__other")) / F.when(size != 0, size)).alias("nearest"))
     return entities.join(near, [key, *own], "left").withColumn("supported", F.coalesce(F.col("nearest") >= threshold, F.lit(True))).drop("nearest")

@@ -6,9 +6,11 @@ write the result to a new path and swap. Aggregations combine map-side.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cotejo.sources.scratch import cut_lineage
+
 DEFAULT_OWNER = "default@example.org"
 
 
@@ -55,12 +57,24 @@ def upsert(old: DataFrame, new: DataFrame, key: str, keep: tuple[str, ...] = (),
     return joined.select(key, *[value(c) for c in others])
 
 
-def patch(df: DataFrame, changes: DataFrame, key: str, now: Column | None = None) -> DataFrame:
-    """Set the non-null columns of ``changes`` (unique keys); unknown keys do nothing."""
-    fields = [c for c in changes.columns if c != key]
-    c = changes.select(F.col(key), F.struct(*fields).alias("__c"))
+def patch(df: DataFrame, changes: DataFrame, key: str, now: Column | None = None, given: str | None = None) -> DataFrame:
+    """Set columns by ``changes`` (unique keys); unknown keys do nothing.
+
+    A row sets its non-null columns. Where ``given`` names a column of ``changes`` with the
+    names of the columns that a row sets, it sets just these, to null too; a null list sets
+    none, and the key is never set.
+    """
+    fields = [c for c in changes.columns if c not in (key, given)]
+    names = F.lit(None) if given is None else F.coalesce(given, F.array().cast("array<string>"))
+    c = changes.select(F.col(key), F.struct(*fields).alias("__c"), names.alias("__given"))
     joined = df.join(c, key, "left")
-    set_ = {f: F.coalesce(F.col("__c")[f], F.col(f)) for f in fields}
+
+    def value(f: str) -> Column:
+        if given is None:
+            return F.coalesce(F.col("__c")[f], F.col(f))
+        return F.when(F.array_contains("__given", f), F.col("__c")[f]).otherwise(F.col(f))
+
+    set_ = {f: value(f) for f in fields}
     if now is not None:
         set_["updated_at"] = F.when(F.col("__c").isNotNull(), now).otherwise(F.col("updated_at"))
     return joined.select(*[set_[x].alias(x) if x in set_ else F.col(x) for x in df.columns])
@@ -78,6 +92,39 @@ def replace_cache(cache: DataFrame, fresh: DataFrame, key: str = "curso_id") ->
     return rest.unionByName(fresh.withColumn("score_combinado", F.coalesce("score_combinado", F.lit(0.0))).select(*cache.columns))
 
 
+#: Parts of a stored cache; a course lies in one of them.
+BUCKETS = 64
+
+
+def _bucket(key: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("bucket")
+
+
+def store_cache(cache: DataFrame, path: str, key: str = "curso_id", buckets: int = BUCKETS) -> None:
+    """Write a cache as a table whose partitions are buckets of courses."""
+    parts = cache.select("*", _bucket(key, buckets)).repartition("bucket", key)  # a course with very many rows is one task's, not a bucket
+    parts.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("bucket").parquet(path)
+
+
+def replace_stored(spark: SparkSession, path: str, fresh: DataFrame, key: str = "curso_id", buckets: int = BUCKETS) -> int:
+    """``replace_cache`` on a stored table; the number of partitions that were rewritten.
+
+    Only partitions that hold a course of the fresh rows are read and written, by a dynamic
+    partition overwrite: files are written aside and put in place when all tasks are done, so
+    a job that fails before leaves the old rows. The fresh rows are written down first, as
+    they may come from the table itself. Several writers of one table are not kept apart.
+    """
+    fresh = cut_lineage(fresh)
+    old = spark.read.parquet(path)
+    touched = [r.bucket for r in fresh.select(_bucket(key, buckets)).distinct().collect()]  # BUCKETS numbers at most
+    if touched:
+        columns = [c for c in old.columns if c != "bucket"]
+        rows = replace_cache(old.filter(F.col("bucket").isin(touched)).select(*columns), fresh, key)
+        parts = rows.select("*", _bucket(key, buckets)).repartition("bucket", key)
+        parts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    return len(touched)
+
+
 def purge(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """The rows whose key is not among the keys."""
     return df.join(keys.select(key), key, "left_anti").select(*df.columns)

@@ -48,6 +48,21 @@ def file_tree(t: Tables) -> DataFrame:
     return files.file_tree(t.archivos, ["application/pdf", "text/html"]).select("id", "carpeta_raiz", "place")
 
 
+ENTRIES = """SELECT page_id AS id, CASE WHEN page_id > 0 THEN CAST(floor(page_id / 2) AS BIGINT) END AS parent_id, split_part(url, '/', 5) AS name,
+    CASE page_id % 3 WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'text/html' ELSE 'text/plain' END AS mime_type FROM {pages}"""
+
+
+@query(f"""WITH RECURSIVE e AS ({ENTRIES}), n AS (SELECT *, id IN (SELECT parent_id FROM e WHERE parent_id IS NOT NULL) AS folder FROM e),
+    tree(root, id, above, path, depth, folder, mime_type) AS (SELECT id, id, [id], name, 0, folder, mime_type FROM n WHERE parent_id IS NULL AND folder
+      UNION ALL SELECT root, n.id, list_append(above, n.id), concat(path, '/', n.name), depth + 1, n.folder, n.mime_type
+      FROM tree JOIN n ON n.parent_id = tree.id AND NOT list_contains(above, n.id) WHERE tree.folder)
+    SELECT root, id, path, depth FROM tree WHERE NOT folder AND depth > 0 AND mime_type <> 'text/plain'""")
+def folder_walk(t: Tables) -> DataFrame:
+    """Files of a tree of folders as deep as the logarithm of the pages: page n lies in page n / 2."""
+    entries = t.spark.sql(ENTRIES, pages=t.pages)
+    return files.scan_tree(entries, mime_types=["application/pdf", "text/html"]).select("root", "id", "path", "depth")
+
+
 @query("""SELECT DISTINCT carpeta_raiz AS name FROM {archivos} WHERE carpeta_raiz <> '' ORDER BY name LIMIT 100""")
 def folder_list(t: Tables) -> DataFrame:
     return files.folders(t.archivos)
@@ -344,6 +359,31 @@ def taxonomy_closure(t: Tables) -> DataFrame:
     return profiles.taxonomy_closure(t.nodos)
 
 
+@query("""WITH RECURSIVE up(descendant, ancestor) AS (SELECT id, id FROM {nodos} UNION ALL
+    SELECT descendant, n.parent_id FROM up JOIN {nodos} n ON n.id = up.ancestor WHERE n.parent_id IS NOT NULL),
+    once AS (SELECT docente_id, ancestor, texto, max(peso) AS peso FROM {evidencias} JOIN up ON descendant = nodo_id GROUP BY docente_id, ancestor, texto)
+    SELECT docente_id, ancestor AS nodo_id, CAST(sum(peso) AS DECIMAL(38,4)) AS peso, count(*) AS n FROM once GROUP BY docente_id, ancestor""")
+def profile_rollup(t: Tables) -> DataFrame:
+    """Weights of teachers at every node of the taxonomy, each evidence once a node."""
+    return profiles.roll_up(t.evidencias, t.nodos).select("docente_id", "nodo_id", "peso", "n")
+
+
+GONE = "SELECT id FROM {docentes} WHERE id % 7 = 0"
+
+
+@query(f"""SELECT 'docentes' AS source, id, CAST(NULL AS VARCHAR) AS key FROM {{docentes}} WHERE id NOT IN ({GONE})
+    UNION ALL SELECT 'perfiles', docente_id, nodo_id FROM {{docente_nodos}} WHERE docente_id NOT IN ({GONE})
+    UNION ALL SELECT 'recomendaciones', id, CAST(docente_id AS VARCHAR) FROM {{recomendaciones}} WHERE docente_id NOT IN ({GONE})
+    UNION ALL SELECT 'recomendaciones_cache', id, CAST(docente_id AS VARCHAR) FROM {{recomendaciones_cache}} WHERE docente_id NOT IN ({GONE})""")
+def erase_rows(t: Tables) -> DataFrame:
+    """The rows themselves that are left when every seventh teacher asks to be forgotten."""
+    gone, by = t.docentes.filter("id % 7 = 0").select("id"), "docente_id"
+    left = tables.erase({"docentes": (t.docentes, "id"), "perfiles": (t.docente_nodos, by), "recomendaciones": (t.recomendaciones, by), "recomendaciones_cache": (t.recomendaciones_cache, by)}, gone)
+    keys = {"docentes": ("id", F.lit(None)), "perfiles": (by, F.col("nodo_id")), "recomendaciones": ("id", F.col(by)), "recomendaciones_cache": ("id", F.col(by))}
+    parts = [left[k].select(F.lit(k).alias("source"), F.col(id).alias("id"), x.cast("string").alias("key")) for k, (id, x) in keys.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
 # --- aggregations and profiles
 
 @query("""SELECT count(*) AS total, count(DISTINCT curso_id) AS cursos, min(fecha_generada) AS oldest, max(fecha_generada) AS newest FROM {recomendaciones_cache}""")
@@ -480,6 +520,17 @@ def patch_rows(t: Tables) -> DataFrame:
     return tables.patch(t.docentes, changes, "id").select("id", "nombre", "grado")
 
 
+@query("""SELECT id, CASE WHEN id % 6 = 0 THEN NULL ELSE nombre END AS nombre, CASE WHEN id % 4 = 0 THEN NULL WHEN id % 2 = 0 THEN 'Emerito' ELSE grado END AS grado FROM {docentes}""")
+def clear_fields(t: Tables) -> DataFrame:
+    """Edits that name the fields they set, some of them to null."""
+    even = t.docentes.filter("id % 2 = 0")
+    edits = even.select(
+        "id", F.lit(None).cast("string").alias("nombre"), F.when(F.col("id") % 4 != 0, "Emerito").alias("grado"),
+        F.when(F.col("id") % 6 == 0, F.array(F.lit("nombre"), F.lit("grado"))).otherwise(F.array(F.lit("grado"))).alias("given"),
+    )
+    return tables.patch(t.docentes, edits, "id", given="given").select("id", "nombre", "grado")
+
+
 @query("""SELECT id, curso_id, is_valid AND curso_id NOT IN (SELECT id FROM {cursos} WHERE ciclo = 4) AS is_valid FROM {recomendaciones}""")
 def invalidate(t: Tables) -> DataFrame:
     courses = filters.by_cycle(t.cursos, 4).select(F.col("id").alias("curso_id"))
@@ -496,6 +547,18 @@ def replace_cache(t: Tables) -> DataFrame:
     return tables.replace_cache(t.recomendaciones_cache.select(*new.columns), new)
 
 
+@query("""SELECT curso_id, docente_id, CAST(1 AS DOUBLE) AS score_combinado FROM {recomendaciones_cache} WHERE curso_id < 20 AND docente_id % 2 = 0
+    UNION ALL SELECT curso_id, docente_id, score_combinado FROM {recomendaciones_cache} WHERE curso_id NOT IN
+      (SELECT curso_id FROM {recomendaciones_cache} WHERE curso_id < 20 AND docente_id % 2 = 0)""")
+def stored_cache(t: Tables) -> DataFrame:
+    """The cache as a stored table, of which the first courses are replaced in place and all is read back."""
+    path = new_folder(t.spark)
+    cache = t.recomendaciones_cache.select("curso_id", "docente_id", "score_combinado")
+    tables.store_cache(cache, path)
+    tables.replace_stored(t.spark, path, cache.filter("curso_id < 20 and docente_id % 2 = 0").withColumn("score_combinado", F.lit(1.0)))
+    return t.spark.read.parquet(path).drop("bucket")
+
+
 @query("""SELECT id, curso_id, docente_id FROM {recomendaciones_cache} WHERE docente_id IN (SELECT id FROM {docentes} WHERE grado IS NOT NULL)""")
 def cache_purge(t: Tables) -> DataFrame:
     """Rankings of teachers without a degree, or unknown ones, go."""

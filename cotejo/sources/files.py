@@ -8,11 +8,31 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cotejo.functions.text import report_slug
+from cotejo.sources.scratch import cut_lineage
 
 
-def read_jdbc(spark: SparkSession, url: str, table: str, key: str, low: int, high: int, parts: int, **options: str) -> DataFrame:
-    """A table of a relational database, read in parallel by ranges of a key."""
-    return spark.read.jdbc(url, table, column=key, lowerBound=low, upperBound=high, numPartitions=parts, properties=options)
+def read_jdbc(
+    spark: SparkSession, url: str, table: str, key: str | None = None, low: int | None = None, high: int | None = None, parts: int = 1, **options: str
+) -> DataFrame:
+    """A table of a relational database, read in parallel by ranges of a whole-number key.
+
+    Bounds that are not given are asked of the database. Filters and columns of later steps
+    are pushed down to it by Spark. Rows without a key are in the first range.
+    """
+    if key is None or parts < 2:
+        return spark.read.jdbc(url, table, properties=options)
+    if low is None or high is None:
+        query = f"SELECT MIN({key}) AS LOW, MAX({key}) AS HIGH FROM {table}"
+        first, last = spark.read.jdbc(url, f"({query}) B", properties=options).first()
+        low, high = (first if low is None else low), (last if high is None else high)
+        if low is None or high is None:  # no keys, so no ranges
+            return spark.read.jdbc(url, table, properties=options)
+    return spark.read.jdbc(url, table, column=key, lowerBound=low, upperBound=max(high, low + 1), numPartitions=parts, properties=options)
+
+
+def write_jdbc(df: DataFrame, url: str, table: str, mode: str = "append", **options: str) -> None:
+    """Rows as a table of a relational database, one connection a partition."""
+    df.write.jdbc(url, table, mode=mode, properties=options)
 
 
 def scan_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -21,16 +41,65 @@ def scan_files(spark: SparkSession, folder: str) -> DataFrame:
     return files.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
 
 
+#: Paths of a listing that are sent to all tasks (some 200 bytes each).
+LISTED = 200_000
+
+
 def load_contents(spark: SparkSession, folder: str, listing: DataFrame | None = None) -> DataFrame:
     """Files with their bytes: ``path``, ``length``, ``content``.
 
     ``listing`` has the paths that are wanted (by default all files below the folder). A file
-    of it that is missing or cannot be read gives a row without length and content. Spark
-    does not list files without bytes.
+    of it that is not there gives a row without length and content; one that goes away or
+    cannot be read while the job runs gives none. Spark does not list files without bytes.
+
+    Bytes are never moved: paths are matched first, without opening a file, and the scan is
+    filtered by those found. Beyond ``LISTED`` paths the bytes meet them in a shuffled join.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     loaded = reader.option("ignoreMissingFiles", True).option("ignoreCorruptFiles", True).load(folder).select("path", "length", "content")
-    return (scan_files(spark, folder) if listing is None else listing).select("path").join(loaded, "path", "left")
+    if listing is None:
+        return loaded
+    wanted = listing.select("path").distinct()
+    there = scan_files(spark, folder).select("path")
+    missing = wanted.join(there, "path", "left_anti").select("path", F.lit(None).cast("bigint").alias("length"), F.lit(None).cast("binary").alias("content"))
+    few = wanted.limit(LISTED + 1).count() <= LISTED
+    return loaded.join(F.broadcast(wanted) if few else wanted, "path", "left_semi").unionByName(missing)
+
+
+def scan_tree(entries: DataFrame, roots: DataFrame | None = None, mime_types: Sequence[str] | None = None) -> DataFrame:
+    """All files below the root folders, at any depth: ``root``, ``id``, ``path``, ``depth``, ``order``.
+
+    ``entries`` has id, parent_id, name and mime_type, a row for each parent of an entry; what
+    has entries below it, and what has no mime type, is a folder. ``roots`` (column id) are by
+    default the folders without a parent. An entry that is reached on several paths has a row
+    for each; one that is already on its path (a cycle) is not followed again. Sorted by
+    ``order`` the files of a folder come before those of its sub-folders, each by name.
+
+    One level is joined a round and written down, so the bytes moved are the tree's. Sorting
+    is left to the reader: ``order`` sorts over ranges, not within one task a root.
+    """
+    rows = entries.select("id", "parent_id", "name", "mime_type")
+    parents = rows.select(F.col("parent_id").alias("id")).filter("id is not null").distinct().withColumn("above", F.lit(True))
+    known = cut_lineage(rows.join(parents, "id", "left").withColumn("folder", F.col("above").isNotNull() | F.col("mime_type").isNull()).drop("above"))
+    first = known.filter("parent_id is null and folder") if roots is None else known.join(roots.select("id"), "id", "left_semi").dropDuplicates(["id"])
+    step = F.struct(F.col("folder"), F.col("name"), F.col("id"))
+    level = first.select(F.col("id").alias("root"), "id", F.array("id").alias("on"), F.col("name").alias("path"), F.array().cast("array<struct<folder:boolean,name:string,id:bigint>>").alias("order"))
+    child = known.select("id", F.col("parent_id").alias("above"), "name", "mime_type", "folder")
+    out, depth = None, 0
+    while not level.isEmpty():
+        depth += 1
+        up = level.select("root", F.col("id").alias("above"), "on", F.col("path").alias("upper"), "order")
+        found = up.join(child, "above").filter(~F.array_contains("on", F.col("id")))
+        found = found.select(
+            "root", "id", F.concat("on", F.array("id")).alias("on"), F.concat_ws("/", "upper", "name").alias("path"),
+            F.concat("order", F.array(step)).alias("order"), "mime_type", "folder",
+        )
+        found = cut_lineage(found)
+        files = only_types(found.filter("not folder"), mime_types).select("root", "id", "path", F.lit(depth).alias("depth"), "order")
+        out = files if out is None else out.unionByName(files)
+        level = found.filter("folder")
+    empty = level.select("root", "id", "path", F.lit(0).alias("depth"), "order")
+    return empty if out is None else out
 
 
 def file_tree(catalog: DataFrame, mime_types: Sequence[str] | None = None) -> DataFrame:
