@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
 from cotejo.functions.text import evidence_key
-from cotejo.sources.scratch import cut_lineage
+from cotejo.sources.scratch import cut_lineage, exists
 
 #: A further distinct piece of evidence adds a tenth to a weight, here in units of 10^-4.
 BONUS, UNIT = 1000, 10_000
@@ -100,6 +100,79 @@ def course_profile(calls: DataFrame, order: Sequence[str] | None = None) -> Data
     )
 
 
+def _lists(calls: DataFrame) -> DataFrame:
+    """Calls with their evidence as a list."""
+    return calls if "evidencias" in calls.columns else calls.withColumn("evidencias", F.array("texto")).drop("texto")
+
+
+def _ordered(calls: DataFrame, order: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """Calls with copies of the columns that order them, and the names of these."""
+    given = [c for c in order if c in calls.columns]
+    return calls.withColumns({f"__{c}": F.col(c) for c in given}), [f"__{c}" for c in given]
+
+
+def _resume(stored: DataFrame, base: dict[str, Column], calls: DataFrame, key: list[str], order: list[str], fold) -> DataFrame:
+    """Stored rows of the keys that the calls touch become their first calls; the others stay."""
+    kinds = dict(calls.dtypes)
+    first = [F.lit(None).cast(kinds[c]).alias(c) for c in order]
+    keys = calls.select(*key).distinct()
+    before = stored.join(keys, key, "left_semi").select(*key, *[c.alias(k) for k, c in base.items()], *first, F.lit(False).alias("__called"))
+    now = calls.select(*key, *base, *order, F.lit(True).alias("__called"))
+    folded = fold(before.unionByName(now), ("__called", *order))
+    return folded.unionByName(stored.join(keys, key, "left_anti").select(*folded.columns))
+
+
+def resume_teacher_profile(stored: DataFrame, calls: DataFrame, order: Sequence[str] | None = None) -> DataFrame:
+    """Stored profiles with later calls folded in, as ``teacher_profile`` of all calls would have them.
+
+    ``stored`` is a result of either function. A stored row is all that its old calls leave
+    behind: as a first call with its weight and its evidence it gives no bonus, and every
+    evidence of it is known to those that follow. Rows that no call touches are not folded.
+    """
+    calls, names = _ordered(calls, ORDER if order is None else order)
+    base = {c: F.col(c) for c in ("peso", "explicito", "recencia", "evidencias", *(["version"] if "version" in calls.columns else []))}
+    return _resume(stored, base, _lists(calls), ["docente_id", "nodo_id"], names, teacher_profile)
+
+
+def resume_course_profile(stored: DataFrame, calls: DataFrame, order: Sequence[str] | None = None) -> DataFrame:
+    """Stored profiles of courses with later calls folded in; see ``resume_teacher_profile``."""
+    calls, names = _ordered(calls, ORDER[:3] if order is None else order)
+    if "semanas" not in calls.columns:
+        calls = calls.withColumn("semanas", F.array("semana"))
+    base = {"peso": F.col("peso_centralidad"), "semanas": F.col("semanas"), "evidencias": F.col("evidencias")}
+    return _resume(stored, base, _lists(calls), ["curso_id", "nodo_id"], names, course_profile)
+
+
+#: Parts of a stored profile table.
+BUCKETS = 64
+
+
+def fold_stored(calls: DataFrame, path: str, number: int, buckets: int = BUCKETS) -> None:
+    """Fold the batch of calls of this number into the teachers' profiles stored at a path.
+
+    The table's partitions are buckets of teachers, and their rows say which batch was folded
+    last. Only buckets that the calls touch are read and written, by a dynamic partition
+    overwrite; those that have this batch already (a run that failed after them) are left
+    alone, so a batch can be repeated. Batches must come in the order of their numbers.
+    """
+    spark = calls.sparkSession
+    bucket = F.pmod(F.xxhash64("docente_id"), F.lit(buckets)).cast("int")
+    calls = cut_lineage(calls.withColumn("bucket", bucket))
+    todo = {r.bucket for r in calls.select("bucket").distinct().collect()}  # as many numbers as there are buckets
+    stored = None
+    if exists(spark, path):
+        stored = spark.read.parquet(path)
+        todo -= {r.bucket for r in stored.filter(F.col("last_batch") >= number).select("bucket").distinct().collect()}
+    if not todo:
+        return
+    wanted = F.col("bucket").isin(sorted(todo))
+    new = calls.filter(wanted).drop("bucket")
+    folded = teacher_profile(new) if stored is None else resume_teacher_profile(stored.filter(wanted).drop("bucket", "last_batch"), new)
+    out = folded.withColumns({"last_batch": F.lit(number).cast("long"), "bucket": bucket})
+    writer = out.repartition("bucket", "docente_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("bucket").parquet(path)
+
+
 def taxonomy_closure(nodes: DataFrame) -> DataFrame:
     """Pairs of a node and an ancestor with their distance (0: itself), at any depth.
 

@@ -125,6 +125,25 @@ def replace_stored(spark: SparkSession, path: str, fresh: DataFrame, key: str =
     return len(touched)
 
 
+def purge_stored(spark: SparkSession, path: str, gone: DataFrame, by: str = "docente_id", key: str = "curso_id", buckets: int = BUCKETS) -> int:
+    """Remove the rows of a stored cache whose column ``by`` is among the given ones (column ``by``);
+    the number of partitions that were rewritten. Doing so again changes nothing."""
+    gone = cut_lineage(gone.select(by).distinct())
+    old = spark.read.parquet(path)
+    touched = [r.bucket for r in old.select("bucket", by).join(gone, by, "left_semi").select("bucket").distinct().collect()]
+    if touched:
+        part = old.filter(F.col("bucket").isin(touched))
+        rest = purge(part, gone, by)
+        emptied = part.select("bucket").distinct().join(rest.select("bucket").distinct(), "bucket", "left_anti").collect()
+        columns = [c for c in old.columns if c != "bucket"]
+        writer = rest.select(*columns, "bucket").repartition("bucket", key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy("bucket").parquet(path)
+        for r in emptied:  # an overwrite does not touch partitions without rows
+            place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/bucket={r.bucket}")
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    return len(touched)
+
+
 def purge(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """The rows whose key is not among the keys."""
     return df.join(keys.select(key), key, "left_anti").select(*df.columns)

@@ -12,11 +12,13 @@ from cotejo.operators import entities, filters, matching, names, profiles, seman
 from cotejo.plans import ranking as plan
 from cotejo.sources import files
 from cotejo.sources.fixtures import Tables, with_views
-from cotejo.sources.scratch import new_folder
+from cotejo.sources.scratch import cut_lineage, new_folder
 from cotejo.streaming import feeds
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+#: The SQL as it was given, for queries that reach the same rows on another way.
+SQL_OF: dict[str, str] = {}
 
 
 def query(sql: str | None = None):
@@ -24,7 +26,7 @@ def query(sql: str | None = None):
     def register(f: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
         QUERIES[f.__name__] = lambda spark, folder: f(Tables(spark, folder))
         if sql is not None:
-            SQL[f.__name__] = with_views(sql)
+            SQL[f.__name__], SQL_OF[f.__name__] = with_views(sql), sql
         return f
 
     return register
@@ -430,6 +432,22 @@ def teacher_profile(t: Tables) -> DataFrame:
     return p.withColumn("evidencias", F.array_join("evidencias", "|"))
 
 
+def in_parts(calls: DataFrame, fold, resume) -> DataFrame:
+    """Calls folded in three parts, in the order of seq: the first at once, the others into what is stored."""
+    last = calls.agg(F.max("seq")).first()[0] or 0
+    part = F.floor(F.col("seq") * 3 / (last + 1))
+    out = cut_lineage(fold(calls.filter(part == 0)))
+    for k in (1, 2):
+        out = cut_lineage(resume(out, calls.filter(part == k)))
+    return out
+
+
+@query(SQL_OF["teacher_profile"])
+def teacher_profile_resumed(t: Tables) -> DataFrame:
+    p = in_parts(t.evidencias, profiles.teacher_profile, profiles.resume_teacher_profile)
+    return p.withColumn("evidencias", F.array_join("evidencias", "|"))
+
+
 @query("""WITH t AS (SELECT curso_id, nodo_id, texto, max(peso) AS peso, min(seq) AS seq, arg_min(semana, (seq, semana)) AS semana FROM {evidencias} GROUP BY curso_id, nodo_id, texto),
     s AS (SELECT curso_id, nodo_id, string_agg(CAST(semana AS VARCHAR), ',' ORDER BY semana) AS semanas FROM (SELECT DISTINCT curso_id, nodo_id, semana FROM {evidencias}) GROUP BY curso_id, nodo_id)
     SELECT t.curso_id, t.nodo_id, max(peso) AS peso_centralidad, string_agg(texto, '|' ORDER BY seq, semana, texto) AS evidencias, any_value(semanas) AS semanas
@@ -439,6 +457,12 @@ def course_profile(t: Tables) -> DataFrame:
     return p.select("curso_id", "nodo_id", "peso_centralidad", F.array_join("evidencias", "|").alias("evidencias"), F.array_join(F.col("semanas").cast("array<string>"), ",").alias("semanas"))
 
 
+@query(SQL_OF["course_profile"])
+def course_profile_resumed(t: Tables) -> DataFrame:
+    p = in_parts(t.evidencias, profiles.course_profile, profiles.resume_course_profile)
+    return p.select("curso_id", "nodo_id", "peso_centralidad", F.array_join("evidencias", "|").alias("evidencias"), F.array_join(F.col("semanas").cast("array<string>"), ",").alias("semanas"))
+
+
 CALLS = """calls AS (SELECT {who}, nodo_id, seq, max(peso) AS peso, bool_and(explicito) AS explicito, max(recencia) AS recencia FROM {{evidencias}} GROUP BY {who}, nodo_id, seq),
     e AS (SELECT *, row_number() OVER (PARTITION BY {who}, nodo_id ORDER BY seq, texto) AS i, row_number() OVER (PARTITION BY {who}, nodo_id, texto ORDER BY seq, texto) = 1 AS fresh
           FROM (SELECT DISTINCT {who}, nodo_id, seq, texto FROM {{evidencias}}))"""

@@ -30,6 +30,12 @@ def new_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/cotejo-{uuid.uuid4().hex}"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Is there something at a path of any store that Spark knows?"""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read on from there.
 

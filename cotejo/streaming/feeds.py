@@ -18,7 +18,8 @@ from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import IntegerType
 
-from cotejo.operators.profiles import BONUS, UNIT
+from cotejo.operators.profiles import BONUS, UNIT, fold_stored
+from cotejo.operators.tables import purge_stored
 
 
 def read_events(spark: SparkSession, path: str, schema, files_per_batch: int = 100) -> DataFrame:
@@ -171,6 +172,22 @@ def merge_profiles(calls: DataFrame, tables: dict[str, str]) -> DataStreamWriter
     return profile_updates(calls).writeStream.outputMode("update").foreachBatch(merge)
 
 
+def keep_profiles(calls: DataFrame, profiles: str, cache: str) -> DataStreamWriter:
+    """A writer (not started) that folds each micro-batch of calls into the profiles stored at one path
+    and removes the cached rankings of the teachers it touches from the cache stored at another.
+
+    The stored rows are the state, so the stream itself keeps none, and evidence may be one
+    text or lists of texts, structs or maps. Both steps can be repeated: a profile bucket
+    knows the last batch that it has, and removing rows again changes nothing. So a restart
+    after a failure between or within the two writes leaves both tables as one run does.
+    """
+    def merge(batch: DataFrame, number: int) -> None:
+        fold_stored(batch, profiles, number)
+        purge_stored(batch.sparkSession, cache, batch.select("docente_id"))
+
+    return calls.writeStream.foreachBatch(merge)
+
+
 def periodic_status(logs: DataFrame, sink: Callable[[DataFrame, int], None], every: str = "5 seconds", width: str = "5 minutes") -> DataStreamWriter:
     """A writer (not started) that hands the changed status windows to ``sink`` at fixed times."""
     return status_windows(logs, width).writeStream.outputMode("update").trigger(processingTime=every).foreachBatch(sink)
