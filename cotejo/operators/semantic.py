@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cotejo.sources.scratch import cut_lineage
 
-#: Concept vectors in a block, which is one value of a row.
-CONCEPTS = 1000
+#: Concept vectors that are one value of the plan; beyond, vectors in a block, and blocks in a cell of the grid.
+CONCEPTS, BLOCK, GROUP = 1000, 4096, 16
 
 
 def _dot(x: Column, y: Column) -> Column:
@@ -37,7 +41,8 @@ def drop_near_concepts(entities: DataFrame, concepts: DataFrame, threshold: floa
 
     An entity without a vector, and any entity when there are no concepts, is kept. Up to
     ``CONCEPTS`` concepts are one value of the plan (a sub-query of one row). More of them
-    go in blocks of that size, and the nearest of each block is combined map-side.
+    meet the entities in blocks of vectors; cosines are then sums in another order, which
+    can tell only where they equal the threshold to the last digits.
     """
     unit = F.struct(F.col(vector).alias("v"), F.sqrt(_dot(F.col(vector), F.col(vector))).alias("norm"))
     known = concepts.filter(F.col(vector).isNotNull())
@@ -46,11 +51,85 @@ def drop_near_concepts(entities: DataFrame, concepts: DataFrame, threshold: floa
         all_ = known.agg(F.collect_list(unit).alias("all")).scalar()
         rows = entities.withColumn("__all", all_)
         return rows.withColumn("kept", F.coalesce(_nearest(F.col(vector), F.col("__all")) < threshold, F.lit(True))).drop("__all")
-    block = F.pmod(F.xxhash64(vector), F.lit(-(-n // CONCEPTS)))
-    blocks = known.groupBy(block.alias("b")).agg(F.collect_list(unit).alias("some")).select("some")
     rows = cut_lineage(entities.withColumn("__row", F.monotonically_increasing_id()))
-    near = rows.select("__row", vector).filter(F.col(vector).isNotNull()).join(blocks).groupBy("__row").agg(F.max(_nearest(F.col(vector), F.col("some"))).alias("__near"))
-    return rows.join(near, "__row", "left").withColumn("kept", F.coalesce(F.col("__near") < threshold, F.lit(True))).drop("__row", "__near")
+    near = _near_in_blocks(rows.select(F.col("__row").alias("row"), F.col(vector).alias("v")), known.select(F.col(vector).alias("v")), threshold)
+    near = near.select(F.col("row").alias("__row"), F.lit(True).alias("__near"))
+    return rows.join(near, "__row", "left").withColumn("kept", F.col("__near").isNull()).drop("__row", "__near")
+
+
+def _pack_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Vectors of one length, one after another, as blocks: numbers of their rows and components."""
+    block = TaskContext.get().partitionId() << 32
+    for batch in batches:
+        lengths = pc.list_value_length(batch.column(1)).to_numpy()
+        cuts = np.unique(np.concatenate((np.flatnonzero(np.diff(lengths)) + 1, np.arange(0, batch.num_rows, BLOCK), [batch.num_rows])))
+        for lo, hi in zip(cuts, cuts[1:]):
+            ids = batch.column(0).slice(lo, hi - lo).to_numpy().tobytes()
+            flat = batch.column(1).slice(lo, hi - lo).flatten().to_numpy().tobytes()
+            cols = (pa.array([block]), pa.array([int(lengths[lo])]), pa.array([ids], pa.binary()), pa.array([flat], pa.binary()))
+            yield pa.RecordBatch.from_arrays(list(cols), names=["block", "n", "ids", "flat"])
+            block += 1
+
+
+def _blocks(vectors: DataFrame) -> DataFrame:
+    """Vectors (``row``, ``v``) in blocks of one length whose first components have like signs."""
+    whole = vectors.select("row", F.col("v").cast("array<double>").alias("v")).filter("size(v) > 0 and forall(v, x -> x is not null)")
+    signs = F.aggregate(F.slice("v", 1, 12), F.lit(0), lambda s, x: s * 2 + (x >= 0).cast("int"))
+    dealt = whole.withColumns({"n": F.size("v"), "signs": signs}).repartitionByRange("n", "signs", "row").sortWithinPartitions("n", "signs")
+    return cut_lineage(dealt.select("row", "v").mapInArrow(_pack_blocks, "block bigint, n bigint, ids binary, flat binary"))
+
+
+def _cell(threshold: float):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        concepts = []
+        for r in right.to_pylist():
+            c = np.frombuffer(r["flat"]).reshape(-1, r["n"])
+            size = np.sqrt((c * c).sum(axis=1))
+            c, size = c[size != 0], size[size != 0]
+            if len(c):
+                unit = c / size[:, None]
+                centre = unit.sum(axis=0)
+                centre /= max(np.sqrt((centre * centre).sum()), 1e-300)
+                concepts.append((r["n"], unit, centre, np.arccos(np.clip(unit @ centre, -1, 1)).max()))
+        found = []
+        for r in left.to_pylist():
+            ids, x = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["flat"]).reshape(-1, r["n"])
+            size = np.sqrt((x * x).sum(axis=1))
+            ids, unit = ids[size != 0], x[size != 0] / size[size != 0][:, None]
+            for n, others, centre, radius in concepts:
+                if n != r["n"] or not len(ids):
+                    continue
+                # no angle to a member is smaller than that to the centre less the radius
+                bound = np.cos(np.maximum(np.arccos(np.clip(unit @ centre, -1, 1)) - radius, 0))
+                look = np.flatnonzero(~(bound < threshold - 1e-9))
+                hit = look[~((unit[look] @ others.T).max(axis=1) < threshold)]
+                found.append(ids[hit])
+                ids, unit = np.delete(ids, hit), np.delete(unit, hit, axis=0)
+        return pa.table({"row": pa.array(np.concatenate(found) if found else np.zeros(0, np.int64))})
+
+    return run
+
+
+def _near_in_blocks(entities: DataFrame, concepts: DataFrame, threshold: float) -> DataFrame:
+    """``row`` of the entities (``row``, ``v``) with a cosine of the threshold or more to a concept.
+
+    Blocks meet on a grid of groups. A block of concepts is passed over for all entities that
+    its centre and radius keep below the threshold, and an entity is done with its first hit.
+    """
+    left = _blocks(entities)
+    right = _blocks(concepts.withColumn("row", F.monotonically_increasing_id()))
+    n, columns = max(left.count(), 1), max(-(-right.count() // GROUP), 1)
+    rows = max(-(-n // GROUP), min(n, 2 * left.sparkSession.sparkContext.defaultParallelism))
+
+    def group(k: int) -> Column:
+        return F.pmod(F.xxhash64("block"), F.lit(k)).cast("int")
+
+    def all_of(k: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+
+    left = left.withColumn("i", group(rows)).withColumn("j", all_of(columns))
+    right = right.withColumn("j", group(columns)).withColumn("i", all_of(rows))
+    return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(_cell(threshold), "row bigint").distinct()
 
 
 def sentences(text: Column, longer_than: int = 15) -> Column:

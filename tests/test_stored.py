@@ -183,3 +183,33 @@ def test_support_with_odd_vectors(spark):
     s = spark.createDataFrame([(1, [2.0, 0.0]), (2, [0.0, 1.0]), (2, None)], "doc_id long, embedding array<double>")
     got = {(r.doc_id, r.pos): r.supported for r in semantic.supported(e, s).collect()}
     assert got == {(1, 1): True, (1, 2): True, (1, 3): True, (2, 1): False, (3, 1): True}
+
+
+def test_many_concepts_meet_in_blocks(spark, monkeypatch):
+    rng = random.Random(12)
+    centres = [[rng.gauss(0, 1) for _ in range(8)] for _ in range(40)]
+
+    def around():
+        return [x + rng.gauss(0, 0.3) for x in rng.choice(centres)]
+
+    concepts = [(around(),) for _ in range(5000)] + [(None,), ([0.0] * 8,), ([1.0, 2.0],), ([1.0] * 7 + [None],)]
+    entities = [(i, around() if i % 3 else [rng.gauss(0, 1) for _ in range(8)]) for i in range(300)]
+    entities += [(300, None), (301, [0.0] * 8), (302, [2.0, 4.0]), (303, []), (304, [1.0, None] * 4)]
+    c = spark.createDataFrame(concepts, "embedding array<double>")
+    e = spark.createDataFrame(entities, "row long, embedding array<double>")
+    monkeypatch.setattr(semantic, "BLOCK", 128)
+    monkeypatch.setattr(semantic, "GROUP", 3)
+    df = semantic.drop_near_concepts(e, c, 0.9)
+    assert df.columns == ["row", "embedding", "kept"]
+    assert "NestedLoop" not in plan_of(df) and "Cartesian" not in plan_of(df)
+
+    def cosine(x, y):
+        if len(x) != len(y) or None in x or None in y:
+            return -2
+        size = sum(a * a for a in x) ** 0.5 * sum(b * b for b in y) ** 0.5
+        return sum(a * b for a, b in zip(x, y)) / size if size else -2
+
+    want = {i: v is None or not any(y and cosine(v, y) >= 0.9 for (y,) in concepts) for i, v in entities}
+    got = {r.row: r.kept for r in df.collect()}
+    assert got == want and 20 < sum(got.values()) < 250 and got[302] is False
+    assert all(r.kept for r in semantic.drop_near_concepts(e.limit(0), c, 0.9).collect())
