@@ -13,7 +13,7 @@ from cotejo.plans import ranking as plan
 from cotejo.sources import files
 from cotejo.sources.fixtures import Tables, with_views
 from cotejo.sources.scratch import cut_lineage, new_folder
-from cotejo.streaming import feeds
+from cotejo.streaming import feeds, timers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -760,3 +760,29 @@ def stream_status_windows(t: Tables) -> DataFrame:
 def stuck_processing(t: Tables) -> DataFrame:
     """Every time a file was being processed for over a quarter of an hour."""
     return feeds.run_available(feeds.stuck(log_stream(t)), new_folder(t.spark)).select("drive_file_id", F.col("since").cast("timestamp_ntz"))
+
+
+def snapshot_and_rest(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """The older half of the log's span as a batch, the newer one as a stream."""
+    middle = t.events.agg(F.expr("timestamp_micros((unix_micros(min(CAST(ts AS timestamp))) + unix_micros(max(CAST(ts AS timestamp)))) div 2)")).first()[0]
+    history = t.webhook_logs.select("id", "drive_file_id", "status", F.col("timestamp").cast("timestamp").alias("timestamp"))
+    return history.filter(F.col("timestamp") < middle), log_stream(t).filter(F.col("timestamp") >= middle)
+
+
+@query(SQL_OF["stuck_processing"])
+def stuck_from_snapshot(t: Tables) -> DataFrame:
+    """The time-outs of a stream that takes over the state of a batch table."""
+    history, rest = snapshot_and_rest(t)
+    with timers.rocks_db(t.spark):
+        found = feeds.run_available(timers.stuck(rest, history), new_folder(t.spark)).drop("batch_id")
+    return timers.stuck_before(history).unionByName(found).select("drive_file_id", F.col("since").cast("timestamp_ntz"))
+
+
+@query(SQL_OF["stream_latest_status"])
+def latest_from_snapshot(t: Tables) -> DataFrame:
+    """The newest status of every file: that of the batch table, unless the stream that begins with it has a newer one."""
+    history, rest = snapshot_and_rest(t)
+    with timers.rocks_db(t.spark):
+        out = feeds.run_available(timers.latest_status(rest, history, "1000 days"), new_folder(t.spark), "update")
+    before = tables.latest(history).select("drive_file_id", "id", "status", "timestamp", F.lit(-1).alias("batch_id"))
+    return feeds.newest(before.unionByName(out), "drive_file_id").select("drive_file_id", "id", "status")
