@@ -12,12 +12,16 @@ Two deterministic machines give the number of tokens without building them:
   may grow into a token, and the last token and relative count at each cut within it. It
   is determinised as it is used and cleared at ``MAX_STATES`` states.
 
-  At the end of a pretoken it is back at its start, so there the counts of chunks add up.
+  A pretoken of up to ``LONGEST`` bytes is a chunk that is entered at the start. Longer ones
+  are cut into chunks of ``SPAN`` bytes; each is run from the few states that can occur at its
+  begin, which gives a partial map from entry to exit state with the tokens emitted between
+  them, and the maps are composed by a prefix scan as well.
 
 Counts of pretokens of up to ``LONGEST`` bytes are remembered, ``MAX_WORDS`` of them a worker.
 
 Defined results: a null text counts as empty (no bytes, no tokens); repeated rows are
-counted one by one; texts of any length are counted in pieces of ``PIECE`` code points.
+counted one by one; texts of any length are counted in pieces of ``PIECE`` code points, and
+both machines go on from piece to piece, so a run without any boundary costs no more than others.
 """
 
 from __future__ import annotations
@@ -37,6 +41,11 @@ from cotejo.llm.common import as_row
 
 CHUNK, PIECE = 512, 1 << 20
 MAX_STATES, MAX_WORDS, LONGEST = 150_000, 400_000, 64
+#: Bytes of a chunk of the transducer and of its warm-up, chunks that are composed at once and that are remembered,
+#: rounds in which the entries of chunks have to settle.
+SPAN, WARM, SPANS, MAX_CHUNKS, ROUNDS = 128, 24, 64, 4096, 8
+#: The state of the transducer before the first byte.
+BEGIN = (b"", ((None, 0),))
 
 # Classes of characters.
 LETTER, NUMBER, BLANK, WHITE, QUOTE, OTHER, ONE, TWO_E, TWO_L, E, END = range(11)
@@ -89,8 +98,8 @@ NEXT = np.array([_step(s, c)[0] for s in range(STATES) for c in range(CLASSES)],
 MARK = np.array([_step(s, c)[1] for s in range(STATES) for c in range(CLASSES)], np.uint8)
 
 
-def boundaries(classes: np.ndarray) -> np.ndarray:
-    """True where a pretoken begins, for the classes of characters one after another."""
+def scan(classes: np.ndarray, entry: int = START) -> tuple[np.ndarray, int]:
+    """The marks of the scanner for the classes of characters one after another, and the state behind the last."""
     n = len(classes)
     lanes = max(1, -(-n // CHUNK))
     grid = np.full(lanes * CHUNK, END, np.uint8)
@@ -103,18 +112,39 @@ def boundaries(classes: np.ndarray) -> np.ndarray:
     while step < lanes:  # maps[:, i] becomes the map of all chunks up to i
         maps[:, step:] = np.take_along_axis(maps[:, step:], maps[:, :-step].astype(np.intp), axis=0)
         step *= 2
-    state = np.concatenate(([START], maps[START, :-1])).astype(np.uint8)
-    marks = np.empty_like(grid)
+    state = np.concatenate(([entry], maps[entry, :-1])).astype(np.uint8)
+    marks, end = np.empty_like(grid), entry
     for j, row in enumerate(grid):
         at = state * np.uint8(CLASSES) + row
         marks[j] = MARK[at]
         state = NEXT[at]
-    flat = marks.T.reshape(-1)[:n]
-    begins = (flat & HERE) > 0
-    begins[:-1] |= (flat[1:] & BEFORE) > 0
+        if n and j == (n - 1) % CHUNK:
+            end = int(state[-1])
+    return marks.T.reshape(-1)[:n], end
+
+
+def boundaries(classes: np.ndarray) -> np.ndarray:
+    """True where a pretoken begins, for the classes of characters one after another."""
+    marks, _ = scan(classes)
+    begins = (marks & HERE) > 0
+    begins[:-1] |= (marks[1:] & BEFORE) > 0
     return begins
 
 
+#: A map of a chunk: entry state to exit state and emitted tokens, for the entries that can occur.
+Map = dict[int, tuple[int, int]]
+
+
+def compose(maps: list[Map]) -> list[Map]:
+    """Element i becomes the map of all chunks up to i, by a prefix scan."""
+    step = 1
+    while step < len(maps):
+        ahead = [{s: (b[t][0], n + b[t][1]) for s, (t, n) in a.items() if t in b} for a, b in zip(maps, maps[step:])]
+        maps = maps[:step] + ahead
+        step *= 2
+    return maps
+
+
 class WordCounter:
     """The byte transducer of one BPE vocabulary, built as it is used."""
 
@@ -128,9 +158,10 @@ class WordCounter:
 
     def clear(self) -> None:
         # a state: suffix, and (last token, count relative to the end) at each cut in it
-        self.states: list[tuple] = [(b"", ((None, 0),))]
-        self.number = {self.states[0]: 0}
+        self.states: list[tuple] = [BEGIN]
+        self.number = {BEGIN: 0}
         self.steps: list[dict[int, tuple[int, int]]] = [{}]
+        self.chunks: dict[tuple[int, bytes], tuple[int, int]] = {}
 
     def encode(self, word: bytes) -> list[bytes]:
         """Byte-pair encoding as defined: the lowest-ranked pair merges first."""
@@ -177,22 +208,70 @@ class WordCounter:
             self.steps.append({})
         return n
 
-    def count(self, word: bytes) -> int:
-        if (n := self.words.get(word)) is not None:
-            return n
-        state = n = 0
-        for i, byte in enumerate(word):
-            if not i % 4096 and len(self.states) > MAX_STATES:  # a long word may fill the table by itself
-                here = self.states[state]
-                self.clear()
-                state = self._number(here)
+    def _run(self, state: int, chunk: bytes) -> tuple[int, int]:
+        """The state behind a chunk, and the tokens that it emits."""
+        n = 0
+        for byte in chunk:
             step = self.steps[state].get(byte) or self._build(state, byte)
             state = step[0]
             n += step[1]
-        if len(word) <= LONGEST:
-            if len(self.words) >= MAX_WORDS:
-                self.words.clear()
-            self.words[word] = n
+        return state, n
+
+    def _chunk(self, entry: int, chunk: bytes) -> tuple[int, int]:
+        """As ``_run``; chunks that come again are not run again."""
+        if (found := self.chunks.get((entry, chunk))) is None:
+            if len(self.chunks) >= MAX_CHUNKS:
+                self.chunks.clear()
+            found = self.chunks[entry, chunk] = self._run(entry, chunk)
+        return found
+
+    def _maps(self, state: int, chunks: list[bytes]) -> list[Map] | None:
+        """The maps of chunks over the entries that can occur; None if these do not settle in a few rounds.
+
+        A chunk is first run from where the last ``WARM`` bytes before it lead from the start,
+        as runs from unlike entries soon meet, and then from each exit found for the chunk
+        before it, so the true entry is among its entries.
+        """
+        maps: list[Map] = [{} for _ in chunks]
+        todo = [(0, state), *((i, self._run(0, chunks[i - 1][-WARM:])[0]) for i in range(1, len(chunks)))]
+        for _ in range(ROUNDS):
+            exits = []
+            for i, entry in todo:
+                if entry not in maps[i]:
+                    maps[i][entry] = self._chunk(entry, chunks[i])
+                    exits.append((i + 1, maps[i][entry][0]))
+            todo = [(i, entry) for i, entry in exits if i < len(chunks) and entry not in maps[i]]
+            if not todo:
+                return maps
+        return None
+
+    def feed(self, state: tuple, word: bytes) -> tuple[tuple, int]:
+        """The state behind a part of a pretoken that is entered in ``state``, and the tokens that it emits.
+
+        The maps of its chunks are composed by a prefix scan. Between blocks of chunks the table
+        of states may be cleared, so states are handed on by value.
+        """
+        total = 0
+        for at in range(0, len(word), SPAN * SPANS):
+            if len(self.states) > MAX_STATES:
+                self.clear()
+            block = word[at : at + SPAN * SPANS]
+            entry = self._number(state)
+            maps = self._maps(entry, [block[i : i + SPAN] for i in range(0, len(block), SPAN)])
+            to, n = compose(maps)[-1][entry] if maps else self._run(entry, block)
+            state, total = self.states[to], total + n
+        return state, total
+
+    def count(self, word: bytes) -> int:
+        if (n := self.words.get(word)) is not None:
+            return n
+        if len(word) > LONGEST:
+            return self.feed(BEGIN, word)[1]
+        if len(self.states) > MAX_STATES:
+            self.clear()
+        if len(self.words) >= MAX_WORDS:
+            self.words.clear()
+        n = self.words[word] = self._run(0, word)[1]
         return n
 
 
@@ -220,40 +299,59 @@ class TokenCounter:
         self.words = WordCounter({raw(t): i for t, i in spec["model"]["vocab"].items() if t not in self.special}, ranks)
         self.classes = _classes()
 
-    def _counts(self, units: list[str], part: bool = False) -> tuple[np.ndarray, int]:
-        """Tokens of each unit; with ``part``, only up to the start of the last pretoken, and where that is."""
+    def _words(self, text: str, codes: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """Tokens of the pretokens that begin at ``begins``; the last one ends with the text."""
+        width = 1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000)
+        offsets = np.concatenate(([0], np.cumsum(width)))[np.append(begins, len(codes))].astype(np.int32)
+        words = pa.Array.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer(offsets), pa.py_buffer(text.encode())])
+        words = words.dictionary_encode()
+        each = np.fromiter(map(self.words.count, words.dictionary.to_pylist()), np.int64, len(words.dictionary))
+        return each[words.indices.to_numpy()]
+
+    def _counts(self, units: list[str]) -> np.ndarray:
+        """Tokens of each unit."""
+        if not units:
+            return np.zeros(0, np.int64)
         text = "\0" + "\0".join(units) + "\0"
         codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
         classes = self.classes[codes]
         ends = np.cumsum([0, *(len(u) + 1 for u in units)])  # the characters between units
         classes[ends] = END
         begins = np.flatnonzero(boundaries(classes))
-        width = 1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000)
-        offsets = np.concatenate(([0], np.cumsum(width)))[np.append(begins, len(codes))].astype(np.int32)
-        words = pa.Array.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer(offsets), pa.py_buffer(text.encode())])
-        words = words.dictionary_encode()
-        of = self.words.count
-        each = np.fromiter(map(of, words.dictionary.to_pylist()), np.int64, len(words.dictionary))[words.indices.to_numpy()]
+        each = self._words(text, codes, begins)
         at = np.searchsorted(begins, ends)
         each[at] = 0
-        cut = 0
-        if part:
-            last = at[-1] - 1
-            i = begins[last]
-            if last > 1 and begins[last - 1] == i - 1 and text[i - 1] == "'" and text[i:-1] in ("l", "r", "v"):
-                last -= 1  # an unfinished contraction is held back from its apostrophe on
-            each[last : at[-1]] = 0
-            cut = int(begins[last]) - 1
-        return np.add.reduceat(each, at)[:-1] if units else np.zeros(0, np.int64), cut
+        return np.add.reduceat(each, at)[:-1]
 
     def _long(self, text: str) -> int:
-        total, rest = 0, ""
-        for at in range(0, len(text), PIECE):
-            rest += text[at : at + PIECE]
-            if at + PIECE < len(text):
-                counts, cut = self._counts([rest], part=True)
-                total, rest = total + int(counts[0]), rest[cut:]
-        return total + int(self._counts([rest])[0][0])
+        """Tokens of one unit, piece by piece; scanner and transducer go on where the last piece ended.
+
+        Whether a pretoken begins at a character is known behind the next one, so the last
+        character of a piece is held back.
+        """
+        total, scanner, state, held, opens = 0, START, BEGIN, "", False
+        for at in range(0, len(text) + 1, PIECE):
+            piece = text[at : at + PIECE]
+            codes = np.frombuffer((held + piece).encode("utf-32-le"), np.uint32)
+            classes = self.classes[codes[len(held) :]]
+            if at + PIECE > len(text):
+                classes = np.append(classes, np.uint8(END))
+            marks, scanner = scan(classes, scanner)
+            here = np.append(np.full(len(held), opens), (marks & HERE) > 0)
+            here[: len(here) - 1] |= (marks[1 - len(held) :] & BEFORE) > 0
+            known = len(here) - 1  # characters that are settled
+            settled, begins = (held + piece)[:known], np.flatnonzero(here[:known])
+            first = int(begins[0]) if len(begins) else known
+            state, n = self.words.feed(state, settled[:first].encode())
+            total += n
+            if len(begins):
+                last = int(begins[-1])
+                if last > first:
+                    total += int(self._words(settled[first:last], codes[first:last], begins[:-1] - first).sum())
+                state, n = self.words.feed(BEGIN, settled[last:].encode())
+                total += n
+            held, opens = (held + piece)[known:], bool(here[-1])
+        return total
 
     def count(self, texts: list[str | None]) -> np.ndarray:
         out = np.zeros(len(texts), np.int64)
@@ -263,7 +361,7 @@ class TokenCounter:
 
         def flush() -> None:
             nonlocal size
-            np.add.at(out, owner, self._counts(units)[0])
+            np.add.at(out, owner, self._counts(units))
             units.clear()
             owner.clear()
             size = 0
