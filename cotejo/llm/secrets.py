@@ -10,7 +10,7 @@ no part of its own.
 
 The parts of a text are joined with their scopes as intervals by sweeps over their sorted
 begins and ends in the row, so nothing is shuffled and no pair is emitted. A sweep gathers
-its results in blocks, so a text of very many parts costs no square of their number.
+its results in blocks of blocks, so a text of a million parts costs no square of their number.
 
 Spans are (start, end exclusive) in code points. A null text counts as empty; repeated rows
 give repeated results; an empty table gives an empty result.
@@ -42,8 +42,8 @@ ENDPOINT = r"""[a-z][a-z0-9+]{1,9}://[A-Za-z0-9.-]+(?::[0-9]+)?"""
 KINDS = ("assign", "access", "hex", "weak_secret", "weak_access", "user", "endpoint")
 #: Code points of the chunks from which redacted texts are put together.
 CHUNK = 1024
-#: Events of a sweep that share a list of results.
-BLOCK = 512
+#: Events, or blocks of them, that share a list of results in a sweep, and how many levels of blocks there are.
+WIDTH, LEVELS = 32, 3
 
 
 class Weak(NamedTuple):
@@ -59,25 +59,35 @@ def _sweep(events: Column, zero: dict[str, Column], step: Callable, result: Call
 
     ``step(state, event)`` gives the fields of the next state, ``result(state, event)`` (of
     the state before it) what the event adds; null adds nothing.
+
+    ``aggregate`` copies its whole accumulator at every element, so results are gathered in
+    blocks of blocks: a block begins with no results and adds its own to those before it when
+    it is done. A result is copied some ``WIDTH / 2`` times a level, whatever their number.
     """
     none = F.array().cast(f"array<{kind}>")
 
+    def next_state(a: Column, e: Column) -> Column:
+        found = result(a, e)
+        out = F.when(found.isNull(), a["out"]).otherwise(F.concat(a["out"], F.array(found)))
+        return F.struct(*[v.alias(k) for k, v in step(a, e).items()], out.alias("out"))
+
+    def state(a: Column, out: Column) -> Column:
+        return F.struct(*[a[k].alias(k) for k in zero], out.alias("out"))
+
     def run(x: Column) -> Column:
-        def inner(a: Column, i: Column) -> Column:
-            e = F.get(x, i)
-            found = result(a, e)
-            out = F.when(found.isNull(), a["out"]).otherwise(F.concat(a["out"], F.array(found)))
-            return F.struct(*[v.alias(k) for k, v in step(a, e).items()], out.alias("out"))
-
-        def block(a: Column, b: Column) -> Column:
-            start = F.struct(*[a[k].alias(k) for k in zero], none.alias("out"))
-            numbers = F.sequence(b * BLOCK, F.least((b + 1) * BLOCK, F.size(x)) - 1)  # a slice would copy all of x
-            # put together by the aggregate itself: a transform would copy all results so far
-            return F.aggregate(numbers, start, inner, lambda d: F.struct(*[d[k].alias(k) for k in zero], F.concat(a["all"], F.array(d["out"])).alias("all")))
-
-        first = F.struct(*[v.alias(k) for k, v in zero.items()], F.array().cast(f"array<array<{kind}>>").alias("all"))
-        blocks = F.sequence(F.lit(0), F.floor((F.size(x) - 1) / BLOCK).cast("int"))
-        return F.when(F.size(x) == 0, none).otherwise(F.flatten(F.aggregate(blocks, first, block)["all"]))
+        def blocks(level: int) -> Column:
+            return F.ceil(F.size(x) / WIDTH**level).cast("int")
+
+        def block(level: int, a: Column, i: Column) -> Column:
+            """The state behind the i-th block of ``WIDTH ** level`` events."""
+            if level == 0:
+                return next_state(a, F.get(x, i))  # a slice would copy all of x
+            numbers = F.sequence(i * WIDTH, F.least((i + 1) * WIDTH, blocks(level - 1)) - 1)
+            return F.aggregate(numbers, state(a, none), lambda c, j: block(level - 1, c, j), lambda c: state(c, F.concat(a["out"], c["out"])))
+
+        first = F.struct(*[v.alias(k) for k, v in zero.items()], none.alias("out"))
+        every = F.sequence(F.lit(0), blocks(LEVELS) - 1)
+        return F.when(F.size(x) == 0, none).otherwise(F.aggregate(every, first, lambda a, i: block(LEVELS, a, i))["out"])
 
     return let(events, run)
 
@@ -121,7 +131,7 @@ def _apart(access: Column, assigned: Column) -> Column:
         return F.struct(x[at].alias("at"), F.lit(ask).alias("turn"), x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"))
 
     # an assignment that begins before the end of an access span overlaps it if it ends behind its start
-    events = F.array_sort(F.concat(F.transform(access, lambda x: event(x, "e", 0)), F.transform(assigned, lambda x: event(x, "s", 1))))
+    events = F.sort_array(F.concat(F.transform(access, lambda x: event(x, "e", 0)), F.transform(assigned, lambda x: event(x, "s", 1))))
     free = _sweep(
         events, {"end": F.lit(-1)}, lambda a, x: {"end": F.when(x["turn"] == 1, x["e"]).otherwise(a["end"])},
         lambda a, x: F.when((x["turn"] == 0) & (a["end"] <= x["s"]), F.struct(x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"))), _SPAN,
@@ -149,7 +159,7 @@ def _linked(parts: Column, scope: int) -> Column:
             return F.when(x["turn"] == 1, F.struct(x["i"].alias("n"), *[(a[r] >= x["at"] - scope).alias(r) for r in "ise"]))
 
         kind = "struct<n:int,i:boolean,s:boolean,e:boolean>"
-        return F.sort_array(_sweep(F.array_sort(F.concat(ends, begins)), {r: F.lit(-far) for r in "ise"}, step, result, kind))
+        return F.sort_array(_sweep(F.sort_array(F.concat(ends, begins)), {r: F.lit(-far) for r in "ise"}, step, result, kind))
 
     def join(p: Column) -> Column:
         def has(b: Column, a: Column) -> Column:

@@ -69,3 +69,23 @@ def test_one_string_is_no_pair(spark):
     df = spark.createDataFrame([("token=AKIAABCDEFGH",), ("token=AKIAABCD1",)], "text string")
     got = [r[0] for r in secrets.scan_secrets(df).select(secrets.span_list(F.col("parts"))).collect()]
     assert got == ["assign:0:18", ""]
+
+
+def test_blocks_of_any_size_give_the_same(spark, monkeypatch):
+    """Sweeps whose events fill blocks exactly, spill over by one, or need every level."""
+    rng = random.Random(4)
+    bits = ["token=AKIAABCDEFGH ", "https://x.org/ ", "user: ab ", "Password: pw1 ", "x " * 90, "0123456789abcdef "]
+    texts = ["".join(rng.choice(bits) for _ in range(n)) for n in (1, 2, 3, 4, 5, 7, 8, 9, 15, 16, 17, 31, 32, 33, 64, 65)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    for width, levels in ((2, 1), (2, 3), (3, 2)):
+        monkeypatch.setattr(secrets, "WIDTH", width)
+        monkeypatch.setattr(secrets, "LEVELS", levels)
+        for r in secrets.scan_secrets(df).select("row.text", secrets.span_list(F.col("parts")).alias("spans")).collect():
+            assert r.spans == plain_spans(r.text)
+
+
+def test_a_hundred_thousand_parts(spark):
+    n = 35_000  # more parts than the blocks of all levels hold together
+    df = spark.createDataFrame([("user: ab token=x1 https://a.org/ x " * n,)], "text string")
+    parts = secrets.scan_secrets(df).select(F.size("parts"), F.element_at("parts", -1)["e"]).first()
+    assert tuple(parts) == (3 * n, 35 * (n - 1) + len("user: ab token=x1 https://a.org"))
