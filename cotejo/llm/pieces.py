@@ -3,8 +3,9 @@
 The pieces of a model file span a lattice over a text in which every path is a
 segmentation; characters without a piece are spelled in byte pieces, and so is U+2581, which
 in pieces stands for a space, where a text has it. A piece's score is
-the log probability that Zipf's law gives its rank in the file, in whole millionths so that
-sums are exact. The N best paths of a unit are found as in SentencePiece itself: forward
+the log probability that Zipf's law gives its rank in the file, or, by choice, the file's
+own score (``scores="file"``; for a model of merges minus the rank), in whole millionths so
+that sums are exact. The N best paths of a unit are found as in SentencePiece itself: forward
 Viterbi scores are an exact heuristic for an A* search from the end of the unit to its
 begin, so every popped path is the next best. That is another objective than the merges of
 the model file, which ranks pieces and has no probabilities, so the best segmentation of a
@@ -49,9 +50,11 @@ SHORT, TOGETHER = 48, 4096
 class Lattice:
     """The scored pieces of a model, and N-best paths through a unit."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, scores: str = "zipf"):
         import sentencepiece
 
+        if scores not in ("zipf", "file"):
+            raise ValueError(f"scores are zipf or file, not {scores!r}")
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         total = sum(1 / (r + 10) for r in range(model.get_piece_size()))
         self.pieces: dict[str, tuple[int, int]] = {}  # piece: score, id
@@ -65,10 +68,13 @@ class Lattice:
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 if "\n" in piece or SPACE in piece.lstrip(SPACE):
                     raise ValueError(f"pieces may cross units: {piece!r}")
-                rank = min(-model.get_score(i), model.get_piece_size()) if model.get_score(i) > -1e8 else 0
-                self.pieces[piece] = self._score(rank, total), i
+                given = model.get_score(i) if model.get_score(i) > -1e8 else 0.0  # -1e9 marks pieces without a rank
+                rank = min(-given, model.get_piece_size())
+                self.pieces[piece] = round(1e6 * given) if scores == "file" else self._score(rank, total), i
                 self.spelled[i] = piece.replace(SPACE, " ").encode()
-        self.byte_score = self._score(4 * model.get_piece_size(), total)
+        # a byte counts less than any piece; the file gives bytes no score of their own
+        least = min(v for v, _ in self.pieces.values())
+        self.byte_score = 4 * least if scores == "file" else self._score(4 * model.get_piece_size(), total)
         self.longest = max(map(len, self.pieces))
         #: Pieces with score and id, and beginnings of pieces with None.
         self.starts: dict[str, tuple[int, int] | None] = {p[:i]: None for p in self.pieces for i in range(1, len(p))} | self.pieces
@@ -246,8 +252,8 @@ def units_of(text: str | None) -> list[str]:
 class Segmenter:
     """N-best segmentation of whole texts; a worker keeps the solved units."""
 
-    def __init__(self, path: str, n: int):
-        self.lattice, self.n = Lattice(path), n
+    def __init__(self, path: str, n: int, scores: str = "zipf"):
+        self.lattice, self.n = Lattice(path, scores), n
         self.clear()
 
     def clear(self) -> None:
@@ -255,7 +261,7 @@ class Segmenter:
         self.options: dict[str, list[tuple[int, tuple[int, ...]]]] = {}
         self.table = np.zeros((1024, 4), np.int64)  # start and number of ids, score, loss of the second
         self.flat: np.ndarray = np.zeros(1024, np.int32)
-        self.used = self.letters = 0
+        self.used = self.letters = self.held = 0
 
     def _learn(self, units: list[str]) -> None:
         known = self.lattice.pieces
@@ -283,9 +289,13 @@ class Segmenter:
 
     def _n_best(self, unit: str) -> list[tuple[int, tuple[int, ...]]]:
         if (known := self.options.get(unit)) is None:
-            if len(self.options) > MAX_UNITS // 10:
+            known = self.lattice.best(unit, self.n)
+            size = len(unit) + sum(len(ids) for _, ids in known)  # bounded in what it holds, not only in entries
+            if len(self.options) > MAX_UNITS // 10 or self.held + size > MAX_LETTERS:
                 self.options.clear()
-            known = self.options[unit] = self.lattice.best(unit, self.n)
+                self.held = 0
+            self.options[unit] = known
+            self.held += size
         return known
 
     def _codes(self, units: list[str]) -> np.ndarray:
@@ -338,9 +348,9 @@ class Segmenter:
 _EDITS = pa.list_(pa.list_(pa.struct([("start", pa.int32()), ("size", pa.int32()), ("ids", pa.list_(pa.int32()))])))
 
 
-def _segment(path: str, n: int, at: int):
+def _segment(path: str, n: int, at: int, scores: str):
     def run(batches):
-        segmenter = _kept(path, n)
+        segmenter = _kept(path, n, scores)
         for batch in batches:
             for lo in range(0, batch.num_rows, 200):
                 part = batch.slice(lo, 200)
@@ -350,19 +360,19 @@ def _segment(path: str, n: int, at: int):
                 offsets = np.cumsum([0, *(len(d[0]) for d in done)]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([d[0] for d in done]).astype(np.int32)))
                 edits = [[[{"start": a, "size": b, "ids": c} for a, b, c in e] for e in d[2]] for d in done]
-                scores = pa.array([d[1] for d in done], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), ids, scores, pa.array(edits, _EDITS)], names=["row", "ids", "scores", "edits"])
+                sums = pa.array([d[1] for d in done], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(0), ids, sums, pa.array(edits, _EDITS)], names=["row", "ids", "scores", "edits"])
 
     return run
 
 
-_segmenters: dict[tuple[str, int], Segmenter] = {}
+_segmenters: dict[tuple[str, int, str], Segmenter] = {}
 
 
-def _kept(path: str, n: int) -> Segmenter:
-    if (path, n) not in _segmenters:
-        _segmenters[path, n] = Segmenter(path, n)
-    return _segmenters[path, n]
+def _kept(path: str, n: int, scores: str) -> Segmenter:
+    if (path, n, scores) not in _segmenters:
+        _segmenters[path, n, scores] = Segmenter(path, n, scores)
+    return _segmenters[path, n, scores]
 
 
 _spellings: dict[str, list[bytes]] = {}
@@ -383,8 +393,8 @@ def _spelled(path: str) -> list[bytes]:
     return _spellings[path]
 
 
-def segment(docs: DataFrame, model: str, n: int = 4, text: str = "text") -> DataFrame:
-    """``row``, ``ids`` (the best segmentation), ``scores`` and ``edits`` of the n best.
+def segment(docs: DataFrame, model: str, n: int = 4, text: str = "text", scores: str = "zipf") -> DataFrame:
+    """``row``, ``ids`` (the best segmentation), ``scores`` and ``edits`` of the n best, by Zipf's law or the file's scores.
 
     ``edits[i]`` turns ``ids`` into the i-th best: at each start, size ids become others.
     """
@@ -393,7 +403,7 @@ def segment(docs: DataFrame, model: str, n: int = 4, text: str = "text") -> Data
 
     edit = StructType().add("start", IntegerType()).add("size", IntegerType()).add("ids", ArrayType(IntegerType()))
     schema = StructType().add(source.schema["row"]).add("ids", ArrayType(IntegerType())).add("scores", ArrayType(LongType()))
-    return source.mapInArrow(_segment(model, n, docs.columns.index(text)), schema.add("edits", ArrayType(ArrayType(edit))))
+    return source.mapInArrow(_segment(model, n, docs.columns.index(text), scores), schema.add("edits", ArrayType(ArrayType(edit))))
 
 
 def decoder(model: str):

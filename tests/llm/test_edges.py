@@ -97,6 +97,35 @@ def test_agreement_with_the_library(spark, folder):
     assert same < len(texts) // 2 and 1 <= total / theirs < 1.05
 
 
+def test_the_files_own_scores(spark):
+    """Scores are sums of the file's; the texts come back; another name of scores is an error."""
+    import sentencepiece
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=model)
+    texts = ["the cat sat on the mat", "  ab\n cd", "ñandú", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    rows = pieces.segment(df, model, scores="file").select("row.text", "ids", "scores", pieces.decoder(model)("ids").alias("back")).collect()
+    assert [r.back for r in rows] == [t or "" for t in texts]
+    for r in rows:
+        if not any(library.is_byte(i) for i in r.ids):
+            assert r.scores[0] == round(1e6 * sum(x for x in map(library.get_score, r.ids) if x > -1e8))
+    with pytest.raises(ValueError):
+        pieces.Lattice(model, "own")
+
+
+def test_n_best_of_long_units_are_held_within_a_bound(monkeypatch):
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    units = [f"{i}".rjust(30, "x") for i in range(60)]
+    want = [pieces.Segmenter(model, 3).segment(u)[1] for u in units[:2]]
+    monkeypatch.setattr(pieces, "MAX_LETTERS", 500)
+    s = pieces.Segmenter(model, 3)
+    assert [s.segment(u)[1] for u in units[:2]] == want
+    for u in units:
+        s.segment(u)
+        assert s.held <= 500 and s.held == sum(len(k) + sum(len(i) for _, i in v) for k, v in s.options.items())
+
+
 def test_a_bad_host_is_refused_and_a_raised_rate_is_not(spark):
     good = " ".join(f"word{i}" for i in range(30))
     rows = [(i, good if i // 40 % 20 else "short", "en", f"h{i % 40}", 1) for i in range(4000)]

@@ -120,8 +120,9 @@ def test_near_duplicates_edge_cases(odd):
 
 # --- op2
 
-def test_n_best_equals_all_paths():
-    s = pieces.Segmenter(public_tokenizers.path("piece_bpe_32k.model"), 4)
+@pytest.mark.parametrize("scores", ["zipf", "file"])
+def test_n_best_equals_all_paths(scores):
+    s = pieces.Segmenter(public_tokenizers.path("piece_bpe_32k.model"), 4, scores)
 
     def all_paths(unit):
         arcs, out = s.lattice.arcs(unit), []
