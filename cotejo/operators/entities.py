@@ -11,7 +11,7 @@ from cotejo.operators.semantic import drop_near_concepts, supported
 
 def clean_entities(
     entities: DataFrame, documents: DataFrame, least: int = 3, most: int = 6, undecided: str = "drop",
-    concepts: DataFrame | None = None, sentence_vectors: DataFrame | None = None, threshold: float = 0.72,
+    concepts: DataFrame | None = None, sentence_vectors: DataFrame | None = None, threshold: float = 0.72, sentence_key: str = "doc_id",
 ) -> DataFrame:
     """``doc_id``, ``entidades``: the first ``most`` valid entities of every document.
 
@@ -21,7 +21,8 @@ def clean_entities(
     the entities that the words do not support where there are no sentence vectors.
     ``concepts`` has ``embedding``, ``sentence_vectors`` doc_id and ``embedding``; entities
     then have an ``embedding`` too. What has no vector, and a document without sentences,
-    speaks for an entity; an empty text supports none.
+    speaks for an entity; an empty text supports none. Documents that share sentences have
+    ``sentence_key``, and so have the sentence vectors, which then need not be repeated.
 
     A document without any left gets the one entity that says so, unless ``least`` is 0.
 
@@ -50,11 +51,12 @@ def clean_entities(
         return F.transform(found, one)
 
     normal = F.array(normalize_text(F.col("text")))  # a list of one, so that it is computed once
-    checked = documents.join(lists, "doc_id", "left").select("doc_id", F.transform(normal, lambda n: judged(F.col("found"), n))[0].alias("found"))
+    shared = [sentence_key] if by_vectors and sentence_key != "doc_id" else []
+    checked = documents.join(lists, "doc_id", "left").select("doc_id", *shared, F.transform(normal, lambda n: judged(F.col("found"), n))[0].alias("found"))
     none = F.array(F.lit(UNDECLARED)) if least > 0 else F.array().cast("array<string>")
     if by_vectors:
-        each = checked.select("doc_id", F.explode("found").alias("x")).select("doc_id", "x.*").dropDuplicates(["doc_id", "key"])
-        near = supported(each.filter("ok is null"), sentence_vectors, threshold=threshold, own=("pos", "key")).filter("supported")
+        each = checked.select("doc_id", *shared, F.explode("found").alias("x")).select("doc_id", *shared, "x.*").dropDuplicates(["doc_id", "key"])
+        near = supported(each.filter("ok is null"), sentence_vectors, sentence_key, threshold, own=("pos", "key")).filter("supported")
         kept = each.filter("ok").select("doc_id", "pos", "entidad").unionByName(near.select("doc_id", "pos", "entidad"))
         lists = kept.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "entidad"))).alias("kept"))
         checked = documents.select("doc_id").join(lists, "doc_id", "left")

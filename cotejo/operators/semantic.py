@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cotejo.sources.scratch import cut_lineage
+from cotejo.sources.scratch import cut_lineage, stored
 
 #: Concept vectors that are one value of the plan; beyond, vectors in a block, and blocks in a cell of the grid.
 CONCEPTS, BLOCK, GROUP = 1000, 4096, 16
@@ -139,17 +139,92 @@ def sentences(text: Column, longer_than: int = 15) -> Column:
 
 
 def supported(entities: DataFrame, sentence_vectors: DataFrame, key: str = "doc_id", threshold: float = 0.72, own: Sequence[str] = ("pos",)) -> DataFrame:
-    """Adds ``supported``: some sentence of the entity's document is near it.
+    """Adds ``supported``: some sentence of the entity's ``key`` is near it.
 
-    Both sides have ``embedding``; ``key`` and ``own`` tell entities apart. An entity without
-    a vector or sentences is supported. Norms are computed once a vector, and the nearest
-    sentence is aggregated map-side per entity.
+    Both sides have ``embedding``. An entity without a vector or sentences is supported.
+    Vectors are packed into blocks of alike keys; those of a bucket of keys meet on a grid as
+    large as the bucket needs, so no key with many vectors is one task and no pair is a row.
+    Products that lie at the threshold are summed again component by component.
     """
-    def norm(v: str) -> Column:
-        return F.sqrt(_dot(F.col(v), F.col(v)))
-
-    s = sentence_vectors.select(key, F.col("embedding").alias("__other"), norm("embedding").alias("__size"))
-    e = entities.select(key, *own, F.col("embedding").alias("__own"), norm("embedding").alias("__norm"))
-    size = F.col("__norm") * F.col("__size")
-    near = e.join(s, key).groupBy(key, *own).agg(F.max(_dot(F.col("__own"), F.col("__other")) / F.when(size != 0, size)).alias("nearest"))
-    return entities.join(near, [key, *own], "left").withColumn("supported", F.coalesce(F.col("nearest") >= threshold, F.lit(True))).drop("nearest")
+    rows = stored(entities.withColumn("__row", F.monotonically_increasing_id()))
+    buckets = max(rows.count() // BLOCK, rows.sparkSession.sparkContext.defaultParallelism)
+
+    def blocks(df: DataFrame, row: Column) -> DataFrame:
+        whole = df.select(F.xxhash64(key).alias("k"), F.col(key).cast("string").alias("name"), row.alias("row"), F.col("embedding").cast("array<double>").alias("v"))
+        whole = whole.filter("name is not null and size(v) > 0 and forall(v, x -> x is not null)").withColumn("bucket", F.pmod("k", F.lit(buckets)))
+        dealt = whole.withColumn("n", F.size("v")).repartitionByRange("bucket", "row").sortWithinPartitions("bucket", "n")
+        return cut_lineage(dealt.select("bucket", "n", "name", "row", "v").mapInArrow(_pack_keyed, "bucket bigint, block bigint, n bigint, names array<string>, ids binary, flat binary"))
+
+    left, right = blocks(rows, F.col("__row")), blocks(sentence_vectors, F.monotonically_increasing_id())
+    sizes = left.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("r")).join(right.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("c")), "bucket")
+
+    def placed(df: DataFrame, own: str, other: str, i: str, j: str) -> DataFrame:
+        df = df.join(sizes, "bucket").withColumn(i, F.pmod(F.xxhash64("block"), F.col(own))).withColumn(j, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(other) - 1)))
+        return df.drop("r", "c")
+
+    left, right = placed(left, "r", "c", "i", "j"), placed(right, "c", "r", "j", "i")
+    cell = ["bucket", "i", "j"]
+    met = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(_supported_cell(threshold), "row bigint, hit boolean")
+    met = met.groupBy(F.col("row").alias("__row")).agg(F.max("hit").alias("supported"))
+    return rows.join(met, "__row", "left").drop("__row").withColumn("supported", F.coalesce("supported", F.lit(True)))
+
+
+def _pack_keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Vectors of one bucket of keys and one length, one after another, as blocks."""
+    block = TaskContext.get().partitionId() << 32
+    for batch in batches:
+        bucket, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        cuts = np.unique(np.concatenate((np.flatnonzero((np.diff(bucket) != 0) | (np.diff(n) != 0)) + 1, np.arange(0, batch.num_rows, BLOCK), [batch.num_rows])))
+        for lo, hi in zip(cuts, cuts[1:]):
+            part = batch.slice(lo, hi - lo)
+            ids, flat = part.column(3).to_numpy().tobytes(), part.column(4).flatten().to_numpy().tobytes()
+            cols = [pa.array([x]) for x in (int(bucket[lo]), block, int(n[lo]))]
+            cols += [pa.array([part.column(2).to_pylist()], pa.list_(pa.string())), pa.array([ids], pa.binary()), pa.array([flat], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["bucket", "block", "n", "names", "ids", "flat"])
+            block += 1
+
+
+def _units(row: dict) -> dict[str, tuple[np.ndarray, ...]]:
+    """By key: numbers, vectors and unit vectors; vectors of length 0 are none, lengths out of range give no unit."""
+    v, ids, names = np.frombuffer(row["flat"]).reshape(-1, row["n"]), np.frombuffer(row["ids"], np.int64), np.array(row["names"], object)
+    with np.errstate(all="ignore"):
+        size = np.sqrt((v * v).sum(axis=1))
+        unit = np.where(((size > 1e-150) & (size < 1e150))[:, None], v / size[:, None], np.nan)
+    order = np.argsort(names, kind="stable")
+    order = order[size[order] != 0]
+    cuts = np.flatnonzero(names[order][1:] != names[order][:-1]) + 1
+    return {names[at[0]]: (ids[at], v[at], unit[at]) for at in np.split(order, cuts) if len(at)}
+
+
+def _reaches(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
+    """Do the cosines of rows reach the threshold, summed in the order of ``cosine``? What is no number does."""
+    with np.errstate(all="ignore"):
+        dots = [np.add.accumulate(a * b, axis=1)[:, -1] for a, b in ((x, y), (x, x), (y, y))]
+        return ~(dots[0] / (np.sqrt(dots[1]) * np.sqrt(dots[2])) < threshold)
+
+
+def _supported_cell(threshold: float, tile: int = 1024):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        sentences: dict[tuple, list] = {}
+        for r in right.to_pylist():
+            for name, (_, v, unit) in _units(r).items():
+                sentences.setdefault((r["n"], name), []).append((v, unit))
+        met: list[tuple[np.ndarray, np.ndarray]] = []
+        for r in left.to_pylist():
+            for name, (ids, v, unit) in _units(r).items():
+                for lo in range(0, len(ids) if (r["n"], name) in sentences else 0, tile):
+                    open_ = np.arange(lo, min(lo + tile, len(ids)))
+                    hit = np.zeros(len(ids), bool)
+                    for others, units in sentences[r["n"], name]:
+                        near = unit[open_] @ units.T
+                        hit[open_] = (near >= threshold + 1e-9).any(axis=1)
+                        i, j = np.nonzero(~(near < threshold - 1e-9) & ~hit[open_][:, None])
+                        for at in range(0, len(i), 1 << 16):
+                            a, b = open_[i[at : at + (1 << 16)]], j[at : at + (1 << 16)]
+                            hit[a[_reaches(v[a], others[b], threshold)]] = True
+                        open_ = open_[~hit[open_]]
+                    met.append((ids[lo : lo + tile], hit[lo : lo + tile]))
+        rows, hits = (np.concatenate(x) for x in zip(*met)) if met else (np.zeros(0, np.int64), np.zeros(0, bool))
+        return pa.table({"row": pa.array(rows, pa.int64()), "hit": pa.array(hits, pa.bool_())})
+
+    return run
