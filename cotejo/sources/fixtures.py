@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 VIEWS = {
     "docentes": """
@@ -90,6 +91,23 @@ VIEWS = {
 }
 
 
+def raw_entities(documents: DataFrame) -> DataFrame:
+    """The view ``entidades_crudas`` with each text read once and cut once, into no more words than it asks for."""
+    words = documents.select("doc_id", F.split("text", " ", 36).alias("words"))
+
+    def entity(pos: int, text: Column) -> Column:
+        return F.struct(F.lit(pos).alias("pos"), text.alias("entidad"))
+
+    def word(n: int) -> Column:
+        return F.when(F.col("words").isNotNull(), F.coalesce(F.try_element_at("words", F.lit(n)), F.lit("")))
+
+    own = F.array(*[entity(n, F.concat(word(n), F.lit(" "), word(n + 1))) for n in (1, 2, 3, 5, 8, 13, 21, 34)])
+    given = {101: "Ingeniería de Software", 102: "Python (inferido)", 103: "Profesor de Redes", 104: "PYTHON", 105: " Bases de datos  ", 106: "", 107: "Doctorado en Física"}
+    same = [F.when(F.col("doc_id") % 3 == r, F.array(*[entity(n, F.lit(x)) for n, x in given.items() if n % 3 == r])) for r in range(3)]
+    none = F.array().cast("array<struct<pos:int,entidad:string>>")
+    return words.select("doc_id", F.explode(F.concat(own, F.coalesce(*same, none))).alias("x")).select("doc_id", "x.pos", "x.entidad")
+
+
 class Tables:
     """The views over one folder of tables, as attributes."""
 
@@ -99,6 +117,8 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name not in VIEWS:
             return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        if name == "entidades_crudas":
+            return raw_entities(self.documents)
         sql = VIEWS[name].replace('"timestamp"', "`timestamp`")
         return self.spark.sql(sql, **{t: getattr(self, t) for t in sorted(set(re.findall(r"\{(\w+)\}", sql)))})
 
