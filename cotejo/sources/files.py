@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import zlib
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -54,6 +58,7 @@ def load_contents(spark: SparkSession, folder: str, listing: DataFrame | None =
 
     Bytes are never moved: paths are matched first, without opening a file, and the scan is
     filtered by those found. Beyond ``LISTED`` paths the bytes meet them in a shuffled join.
+    A file is one value here, of 2 GB at most; ``checksums`` reads larger ones in parts.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     loaded = reader.option("ignoreMissingFiles", True).option("ignoreCorruptFiles", True).load(folder).select("path", "length", "content")
@@ -66,6 +71,96 @@ def load_contents(spark: SparkSession, folder: str, listing: DataFrame | None =
     return loaded.join(F.broadcast(wanted) if few else wanted, "path", "left_semi").unionByName(missing)
 
 
+#: Files of more bytes are read in parts by several tasks.
+WHOLE = 32 << 20
+#: Files that Spark's text source would unpack; they are read whole.
+PACKED = r"(?i)\.(gz|bz2|deflate|snappy|lz4|zst)$"
+POLYNOMIAL = 0xEDB88320
+MARK = b"\xef\xbb\xbf"
+
+
+def _product(a: int, b: int) -> int:
+    """Of two polynomials modulo that of CRC-32; the highest bit is x^0."""
+    out = 0
+    for i in range(32):
+        if a & (0x80000000 >> i):
+            out ^= b
+        b = (b >> 1) ^ (POLYNOMIAL if b & 1 else 0)
+    return out
+
+
+def joined_crc(first: int, second: int, length: int) -> int:
+    """The CRC-32 of two runs of bytes from those of each and the length of the second."""
+    shift, power = 0x80000000, 0x00800000  # x^0 and x^8
+    while length:
+        if length & 1:
+            shift = _product(shift, power)
+        power, length = _product(power, power), length >> 1
+    return _product(first, shift) ^ second
+
+
+def _part_crcs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per part of a file the bytes of its lines, each with its line feed, their CRC-32 and that without the last line feed."""
+    part, size, crc, open_ = None, 0, 0, 0
+
+    def row() -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"file": [part[0]], "start": [part[1]], "size": [size], "crc": [crc], "open": [open_]})
+
+    for batch in batches:
+        names, starts = (batch[c].to_numpy(zero_copy_only=False) for c in ("file", "start"))
+        ends = np.append(np.flatnonzero((names[1:] != names[:-1]) | (starts[1:] != starts[:-1])) + 1, len(names)) if len(names) else []
+        at = 0
+        for end in map(int, ends):
+            here = (int(names[at]), int(starts[at]))
+            if here != part:
+                if part is not None:
+                    yield row()
+                part, size, crc = here, 0, 0
+            text = b"\n".join(batch["line"].slice(at, end - at).to_pylist())
+            open_ = zlib.crc32(text, crc)
+            crc, size, at = zlib.crc32(b"\n", open_), size + len(text) + 1, end
+    if part is not None:
+        yield row()
+
+
+def _whole_crc(parts: pd.DataFrame) -> pd.DataFrame:
+    """The CRC-32 of a file from its parts, and whether they are all of it.
+
+    The source leaves out a byte order mark, and does not tell if the last line has a line feed.
+    """
+    parts = parts.sort_values("start")
+    length, size, crc = int(parts["length"].iloc[0]), 0, 0
+    for n, c, o in zip(parts["size"], parts["crc"], parts["open"]):
+        before, last = (size, crc), (int(n), int(c), int(o))
+        crc, size = joined_crc(crc, int(c), int(n)), size + int(n)
+    missing = length - size
+    if missing in (-1, len(MARK) - 1):  # no line feed at the end
+        crc, size = joined_crc(before[1], last[2], last[0] - 1), size - 1
+    if length - size == len(MARK):
+        crc, size = joined_crc(zlib.crc32(MARK), crc, size), length
+    return pd.DataFrame({"path": [parts["path"].iloc[0]], "length": [length], "crc": [crc], "whole": [size == length]})
+
+
+def checksums(spark: SparkSession, folder: str, whole: int = WHOLE) -> DataFrame:
+    """All files below a folder with the CRC-32 of their bytes: ``path``, ``length``, ``crc``.
+
+    Files of more than ``whole`` bytes are split: their lines, of any bytes, are read by as many
+    tasks as Spark cuts the file into, each gives the checksum of its part, and only these
+    meet. So a task reads no more of a file of any size, except a line that exceeds its part. Packed
+    files (``PACKED``) are read whole. It is an error if the bytes of the parts are not all of the file's.
+    """
+    large = (F.col("_metadata.file_size") > whole) & ~F.col("_metadata.file_name").rlike(PACKED)  # known from the listing: others are not opened
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreMissingFiles", True).option("ignoreCorruptFiles", True).load(folder)
+    file, start = F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")
+    text = spark.read.option("recursiveFileLookup", True).option("ignoreMissingFiles", True).option("lineSep", "\n").text(folder)
+    lines = text.filter(large).select(file, start, F.col("value").cast("binary").alias("line"))
+    parts = lines.mapInArrow(_part_crcs, "file bigint, start bigint, size bigint, crc bigint, open bigint")
+    found = parts.join(read.filter(large).select(file, "path", "length"), "file").groupBy("file")
+    whole_ = found.applyInPandas(_whole_crc, "path string, length bigint, crc bigint, whole boolean")
+    crc = F.when(F.col("whole"), F.col("crc")).otherwise(F.raise_error(F.concat(F.lit("parts are not all of "), "path")))
+    return read.filter(~large).select("path", "length", F.crc32("content").alias("crc")).unionByName(whole_.select("path", "length", crc.alias("crc")))
+
+
 def scan_tree(entries: DataFrame, roots: DataFrame | None = None, mime_types: Sequence[str] | None = None) -> DataFrame:
     """All files below the root folders, at any depth: ``root``, ``id``, ``path``, ``depth``, ``order``.
 
