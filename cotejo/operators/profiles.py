@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
 from cotejo.functions.text import evidence_key
-from cotejo.sources.scratch import cut_lineage, exists
+from cotejo.sources.scratch import cut_lineage, exists, stored
 
 #: A further distinct piece of evidence adds a tenth to a weight, here in units of 10^-4.
 BONUS, UNIT = 1000, 10_000
@@ -199,6 +199,10 @@ def taxonomy_closure(nodes: DataFrame) -> DataFrame:
     return near.unionByName(lost)
 
 
+#: Rows of a part of ``roll_up``, each of which has a row for each ancestor while the part is reduced.
+ROLLED = 1 << 18
+
+
 def roll_up(calls: DataFrame, nodes: DataFrame, who: str = "docente_id") -> DataFrame:
     """Weights of leaves carried up to all their ancestors: ``who``, ``nodo_id``, ``peso``, ``n``.
 
@@ -207,10 +211,12 @@ def roll_up(calls: DataFrame, nodes: DataFrame, who: str = "docente_id") -> Data
     is the number of its evidences and ``peso`` their sum. Calls on nodes that the taxonomy
     does not have stay with that node; calls without evidence count as one without a text.
 
-    Evidence is reduced to one row a node before it meets the closure, and again a branch
-    (both map-side), so rows grow with the depth and not with the leaves of a branch.
+    Evidence is reduced to one row a node (map-side) before it meets the closure. These rows are
+    dealt by ``who`` and evidence into parts of some ``ROLLED`` rows, however many there are, and
+    meet the closure and are reduced there, so the rows of all ancestors are never shuffled.
     """
-    rows = _evidence_rows(calls).groupBy(who, "nodo_id", "ekey").agg(F.max("peso").alias("peso"))
+    rows = stored(_evidence_rows(calls).groupBy(who, "nodo_id", "ekey").agg(F.max("peso").alias("peso")))
+    rows = rows.repartition(rows.count() // ROLLED + 1, who, "ekey")
     above = taxonomy_closure(nodes).select(F.col("descendant").alias("nodo_id"), "ancestor")
     carried = rows.join(above, "nodo_id", "left").withColumn("nodo_id", F.coalesce("ancestor", "nodo_id"))
     once = carried.groupBy(who, "nodo_id", "ekey").agg(F.max("peso").alias("peso"))
