@@ -80,22 +80,19 @@ def course_profile(calls: DataFrame, order: Sequence[str] | None = None) -> Data
     """One row per course and node: largest centrality, sorted weeks, evidence in order of arrival.
 
     A call has one week (``semana``) or several (``semanas``), and evidence and order as in
-    ``teacher_profile``.
+    ``teacher_profile``; the window and the aggregation share one shuffle by course and node.
     """
     if order is None:
         order = [c for c in ORDER[:3] if c in calls.columns]
     key = ["curso_id", "nodo_id"]
     weeks = F.array("semana") if "semanas" not in calls.columns else F.coalesce("semanas", F.array().cast(calls.schema["semanas"].dataType))
     rows = _evidence_rows(calls.withColumn("__weeks", weeks))
-    arrival = F.struct(*order, "place")
-    per_text = rows.groupBy(*key, "ekey").agg(
-        F.min(arrival).alias("at"), F.min_by("e", arrival).alias("e"), F.max("peso").alias("peso"),
-        F.array_distinct(F.flatten(F.collect_set("__weeks"))).alias("weeks"),
-    )
-    seen = F.when(F.col("e").isNotNull(), F.struct("at", "e"))
-    return per_text.groupBy(*key).agg(
+    first = F.row_number().over(Window.partitionBy(*key, "ekey").orderBy(*order, "place")) == 1
+    rows = rows.repartition(*key).withColumn("fresh", first & F.col("e").isNotNull())
+    seen = F.when(F.col("fresh"), F.struct(F.struct(*order, "place").alias("at"), "e"))
+    return rows.groupBy(*key).agg(
         F.max("peso").alias("peso_centralidad"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("weeks")))).alias("semanas"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("__weeks")))).alias("semanas"),
         _in_order(seen).alias("evidencias"),
     )
 
