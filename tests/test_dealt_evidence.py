@@ -1,0 +1,42 @@
+"""The view of evidence is joined in parts of a bounded number of lines."""
+
+import datetime as dt
+import random
+import re
+
+from pyspark.sql import functions as F
+
+from cotejo.sources import fixtures
+
+
+def test_parts_grow_with_the_lines(spark, monkeypatch):
+    rng = random.Random(5)
+    day = dt.datetime(2020, 1, 1)
+    keys = [None, *range(40)]  # some lines have no part or order, some keys of these come twice
+    lines = [
+        (rng.choice(keys), rng.choice(keys), rng.choice([None, 1, 2, 3]), rng.randrange(1, 8), float(rng.randrange(50)), rng.choice("ANR"), rng.choice("OF"), day + dt.timedelta(rng.randrange(900)))
+        for _ in range(700)
+    ]
+    lineitem = spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_returnflag string, l_linestatus string, l_shipdate timestamp")
+    part = spark.createDataFrame([(k, f"p{k}", rng.choice(["x", "y", None]), rng.choice(["a", "b"])) for k in [*keys[:30], 3, 7, 7]], "p_partkey long, p_name string, p_type string, p_brand string")
+    orders = spark.createDataFrame([(k, rng.randrange(9)) for k in [*keys[:35], 5, 5, 9]], "o_orderkey long, o_custkey long")
+    plain = spark.sql(fixtures.VIEWS["evidencias"], lineitem=lineitem, part=part, orders=orders)
+    want = sorted(map(str, plain.collect()))
+    cores = spark.sparkContext.defaultParallelism
+    for dealt, parts in ((1 << 20, 1), (64, 700 // 64 + 1), (1 << 10, cores)):
+        monkeypatch.setattr(fixtures, "DEALT", dealt)
+        out = fixtures.evidence(lineitem, part, orders)
+        assert out.schema == plain.schema and len(want) > 300 and sorted(map(str, out.collect())) == want
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        for key in ("l_orderkey", "o_orderkey", "l_partkey"):  # joins may take more parts, as many as Spark is set to
+            assert any(int(n) >= parts for n in re.findall(rf"hashpartitioning\({key}#\d+L, (\d+)\), REPARTITION_BY_NUM", plan)), (key, parts, plan)
+
+
+def test_rows_of_the_tables(spark, folder, monkeypatch):
+    t = fixtures.Tables(spark, folder)
+    monkeypatch.setattr(fixtures, "DEALT", 100)
+    plain = spark.sql(fixtures.VIEWS["evidencias"], lineitem=t.lineitem, part=t.part, orders=t.orders)
+    figures = [F.count(F.lit(1)), *[F.sum(F.xxhash64(c).cast("decimal(38,0)")) for c in plain.columns], F.sum(F.xxhash64(*plain.columns).cast("decimal(38,0)"))]
+    assert t.evidencias.agg(*figures).first() == plain.agg(*figures).first()
+    largest = t.evidencias.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert largest < 6 * 100  # left alone, some thousands
