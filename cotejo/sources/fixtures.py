@@ -108,29 +108,6 @@ def raw_entities(documents: DataFrame) -> DataFrame:
     return words.select("doc_id", F.explode(F.concat(own, F.coalesce(*same, none))).alias("x")).select("doc_id", "x.pos", "x.entidad")
 
 
-#: Lines of a part of ``evidence``, which a task sorts and aggregates in memory.
-DEALT = 1 << 20
-
-
-def evidence(lineitem: DataFrame, part: DataFrame, orders: DataFrame) -> DataFrame:
-    """The view ``evidencias``, joined in parts of some ``DEALT`` lines, however many there are.
-
-    Left alone, adaptive execution makes parts of 64 MB of compressed shuffle, of which sorting and
-    aggregating take twelve times as much. A table of no more rows than a part is left to Spark,
-    which mostly broadcasts it. Orders come first, as lines are narrow without their part.
-    """
-    spark = lineitem.sparkSession
-    n = max(lineitem.count() // DEALT + 1, spark.sparkContext.defaultParallelism)  # counts come from the files' footers
-
-    def met(lines: DataFrame, key: str, other: DataFrame, by: str) -> DataFrame:
-        if other.count() > DEALT:
-            lines, other = lines.repartition(n, key), other.repartition(n, by)
-        return lines.join(other, F.col(key) == F.col(by))
-
-    lines = met(met(lineitem, "l_orderkey", orders, "o_orderkey"), "l_partkey", part, "p_partkey")
-    return spark.sql(f"{VIEWS['evidencias'].split('FROM')[0]} FROM {{lines}}", lines=lines)
-
-
 class Tables:
     """The views over one folder of tables, as attributes."""
 
@@ -142,8 +119,6 @@ class Tables:
             return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
         if name == "entidades_crudas":
             return raw_entities(self.documents)
-        if name == "evidencias":
-            return evidence(self.lineitem, self.part, self.orders)
         sql = VIEWS[name].replace('"timestamp"', "`timestamp`")
         return self.spark.sql(sql, **{t: getattr(self, t) for t in sorted(set(re.findall(r"\{(\w+)\}", sql)))})
 
