@@ -64,7 +64,8 @@ def _ascii(s: Column, form: str = "NFKD") -> Column:
     """The characters of the decomposition that are ASCII; the others are dropped.
 
     Texts of ASCII are left alone, and texts of ASCII and Latin letters (nearly all others)
-    are translated by the few letters that they can have. In all others, characters of one
+    are translated by the few letters that they can have: those that are ASCII then, which
+    is found far sooner than by a class of the letters. In all others, characters of one
     plain character are translated; texts with others near those of several are cut at
     these, and they are looked up.
     """
@@ -74,8 +75,8 @@ def _ascii(s: Column, form: str = "NFKD") -> Column:
     known = dict(zip(marked, plain))
     letters.sort(key=lambda c: c not in known)  # those without a plain letter come last and are dropped
     latin = F.translate(text, "".join(letters), "".join(known[c] for c in letters if c in known))
-    ascii_ = F.when(~text.rlike(r"[^\x00-\x7F]"), text)
-    return ascii_.when(~text.rlike(f"[^\\x00-\\x7F{''.join(letters)}]"), latin).otherwise(_spelled(text, marked, plain, many))
+    beyond = r"[^\x00-\x7F]"
+    return F.when(~text.rlike(beyond), text).when(~latin.rlike(beyond), latin).otherwise(_spelled(text, marked, plain, many))
 
 
 def _spelled(text: Column, marked: str, plain: str, many: dict[str, str]) -> Column:

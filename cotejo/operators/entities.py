@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cotejo.functions.text import UNDECLARED, is_invalid_entity, is_supported, normalize_text, strip, strip_tag
 from cotejo.operators.semantic import drop_near_concepts, supported
+from cotejo.sources.scratch import stored
 
 
 def clean_entities(
@@ -56,6 +57,8 @@ def clean_entities(
     none = F.array(F.lit(UNDECLARED)) if least > 0 else F.array().cast("array<string>")
     if by_vectors:
         each = checked.select("doc_id", *shared, F.explode("found").alias("x")).select("doc_id", *shared, "x.*").dropDuplicates(["doc_id", "key"])
+        open_only = {v: F.when(F.col("ok").isNull(), F.col(v)) for v in vector}
+        each = stored(each.filter("coalesce(ok, true)").withColumns(open_only))  # for both uses
         near = supported(each.filter("ok is null"), sentence_vectors, sentence_key, threshold, own=("pos", "key")).filter("supported")
         kept = each.filter("ok").select("doc_id", "pos", "entidad").unionByName(near.select("doc_id", "pos", "entidad"))
         lists = kept.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "entidad"))).alias("kept"))

@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from cotejo.sources.scratch import cut_lineage, stored
 
-#: Concept vectors that are one value of the plan; beyond, vectors in a block, and blocks in a cell of the grid.
+#: Concept vectors that go with the plan; beyond, vectors in a block, and blocks in a cell of the grid.
 CONCEPTS, BLOCK, GROUP = 1000, 4096, 16
+#: Products of vectors and concepts that are in memory at a time.
+TILE = 1 << 20
 
 
 def _dot(x: Column, y: Column) -> Column:
@@ -27,30 +29,59 @@ def cosine(a: Column, b: Column) -> Column:
     return _dot(a, b) / F.when(norm != 0, norm)
 
 
-def _nearest(vector: Column, concepts: Column) -> Column:
-    """The largest cosine of a vector to the concepts (structs v, norm); its own norm is computed once."""
-    def over(own: Column) -> Column:
-        norm = lambda c: own * c["norm"]
-        return F.array_max(F.transform(concepts, lambda c: _dot(vector, c["v"]) / F.when(norm(c) != 0, norm(c))))
+def _near(known: dict[int, np.ndarray], threshold: float):
+    """Does a vector's cosine to one of the concepts (by length) reach the threshold? As by ``cosine``: products
+    within 1e-9 of it, and those of sizes out of range, are summed in its order."""
+    def pairs(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+        dots, own, other = (np.add.accumulate(a * b, axis=1)[:, -1] for a, b in ((x, c), (x, x), (c, c)))
+        norm = np.sqrt(own) * np.sqrt(other)
+        return (norm != 0) & ~(dots / norm < threshold)
+
+    def tile(x: np.ndarray, concepts: np.ndarray) -> np.ndarray:
+        with np.errstate(all="ignore"):
+            sizes = [np.sqrt((v * v).sum(axis=1)) for v in (x, concepts)]
+            plain = [(v > 1e-150) & (v < 1e150) for v in sizes]
+            cosines, clear = x @ concepts.T / (sizes[0][:, None] * sizes[1]), plain[0][:, None] & plain[1]
+            hit = (clear & (cosines >= threshold + 1e-9)).any(axis=1)
+            i, j = np.nonzero(~(clear & (cosines < threshold - 1e-9)) & ~hit[:, None])
+            for lo in range(0, len(i), 1 << 14):
+                a, b = i[lo : lo + (1 << 14)], j[lo : lo + (1 << 14)]
+                hit[a[pairs(x[a], concepts[b])]] = True
+        return hit
+
+    def run(vectors: pa.Array) -> pa.Array:
+        near, lengths = np.zeros(len(vectors), bool), pc.fill_null(pc.list_value_length(vectors), -1).to_numpy()
+        for n, concepts in known.items():
+            at = np.flatnonzero(lengths == n)
+            flat = vectors.take(pa.array(at)).flatten()
+            if flat.null_count:
+                at = at[~flat.is_null().to_numpy(zero_copy_only=False).reshape(-1, n).any(axis=1)]
+                flat = vectors.take(pa.array(at)).flatten()
+            x, size = flat.to_numpy().reshape(-1, n), max(TILE // len(concepts), 1)
+            for lo in range(0, len(at), size):
+                near[at[lo : lo + size]] = tile(x[lo : lo + size], concepts)
+        return pa.array(near)
 
-    return F.transform(F.array(F.sqrt(_dot(vector, vector))), over)[0]
+    return run
 
 
 def drop_near_concepts(entities: DataFrame, concepts: DataFrame, threshold: float = 0.72, vector: str = "embedding") -> DataFrame:
     """Adds ``kept``: the largest cosine to a concept is below the threshold.
 
     An entity without a vector, and any entity when there are no concepts, is kept. Up to
-    ``CONCEPTS`` concepts are one value of the plan (a sub-query of one row). More of them
-    meet the entities in blocks of vectors; cosines are then sums in another order, which
-    can tell only where they equal the threshold to the last digits.
+    ``CONCEPTS`` concepts go with the plan, and batches of vectors are multiplied by them. More
+    of them meet the entities in blocks of vectors; cosines are then sums in another order,
+    which can tell only where they equal the threshold to the last digits.
     """
-    unit = F.struct(F.col(vector).alias("v"), F.sqrt(_dot(F.col(vector), F.col(vector))).alias("norm"))
     known = concepts.filter(F.col(vector).isNotNull())
-    n = known.count()
-    if n <= CONCEPTS:
-        all_ = known.agg(F.collect_list(unit).alias("all")).scalar()
-        rows = entities.withColumn("__all", all_)
-        return rows.withColumn("kept", F.coalesce(_nearest(F.col(vector), F.col("__all")) < threshold, F.lit(True))).drop("__all")
+    first = known.select(F.col(vector).cast("array<double>").alias("v")).limit(CONCEPTS + 1).collect()
+    if len(first) <= CONCEPTS:
+        by_length: dict[int, list] = {}
+        for r in first:
+            if r.v and None not in r.v:
+                by_length.setdefault(len(r.v), []).append(r.v)
+        near = F.arrow_udf(_near({n: np.array(v) for n, v in by_length.items()}, threshold), "boolean")
+        return entities.withColumn("kept", ~near(F.col(vector).cast("array<double>")))
     rows = cut_lineage(entities.withColumn("__row", F.monotonically_increasing_id()))
     near = _near_in_blocks(rows.select(F.col("__row").alias("row"), F.col(vector).alias("v")), known.select(F.col(vector).alias("v")), threshold)
     near = near.select(F.col("row").alias("__row"), F.lit(True).alias("__near"))
